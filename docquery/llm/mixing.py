@@ -76,11 +76,12 @@ def _queued(rows: DataFrame, share: float, most: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = SEED, share: float = 1.0, most: int = MOST_REPEATS) -> DataFrame:
-    """The mixture itself: the rows of ``docs`` that it takes, each as often as it takes it, in the order of the queue (range-sorted by virtual finish time)."""
-    taken = queue(docs, seed, share, most).filter("copies > 0")
+    """The mixture itself: the rows of ``docs`` that it takes, each as often as it takes it, in the order of the queue (range-sorted by virtual finish time). Columns pass through, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "source", "text")
+    taken = queue(packed, seed, share, most).drop("text").filter("copies > 0")
     again = taken.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     finish = F.col("first_finish") + F.col("__copy") * F.col("source_size") / F.col("target")
-    return again.withColumn("__finish", finish).orderBy("__finish", "source", "doc_id").select(*docs.columns)
+    return again.withColumn("__finish", finish).orderBy("__finish", "source", "doc_id").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:

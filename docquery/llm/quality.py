@@ -112,10 +112,11 @@ def judged(docs: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame) -> DataFrame:
-    """Kept rows of ``docs`` with their cleaned texts, and n_chars to match where there is such a column; other columns pass through."""
-    names = docs.columns
-    kept = judged(docs).filter("kept").withColumn("text", F.col("clean_text"))
-    return (kept.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else kept).select(*names)
+    """Kept rows of ``docs`` with their cleaned texts, and n_chars to match where there is such a column; other columns pass through, whatever their names."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
+    kinds = dict(docs.dtypes)
+    new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(kinds.get("n_chars", "long"))}
+    return judged(packed).filter("kept").select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
