@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Each module names its query in QUERY and has ``query(spark, sf_dir)``; ORACLE_SQL is its DuckDB SQL, or None.
-MODULES = ("chat", "bpe", "sharding", "mixing", "quality", "simhash", "embeddings", "pii")
+MODULES = ("chat", "bpe", "sharding", "mixing", "quality", "simhash", "embeddings", "pii", "toxicity")
 
 
 def _modules():
