@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Each module names its query in QUERY and has ``query(spark, sf_dir)``; ORACLE_SQL is its DuckDB SQL, or None.
-MODULES = ("chat", "bpe", "sharding", "mixing", "quality", "simhash", "embeddings", "pii", "toxicity")
+MODULES = ("chat", "bpe", "sharding", "mixing", "quality", "simhash", "embeddings", "pii", "toxicity", "licenses")
 
 
 def _modules():
@@ -16,7 +16,7 @@ def _modules():
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {m.QUERY: m.query for m in _modules()}
+    return {m.QUERY: m.query for m in _modules()} | {"pipeline": import_module("corpus_pipeline").run}
 
 
 def oracle_sql() -> dict[str, str]:
