@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays. Near here: shingles of five words and fingerprints that differ in at most three bits, a similarity over 0.8."""
-    return simhash.keep_one(docs, r=simhash.PIPELINE_BITS, shingle=simhash.PIPELINE_SHINGLE)
+    """One document of each group stays, that of the smallest id: the operator's own link, two bits of fingerprints of three-word shingles."""
+    return simhash.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

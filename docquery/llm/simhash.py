@@ -30,7 +30,6 @@ from docquery.llm.components import components
 QUERY = "op9_simhash"
 ORACLE_SQL = None
 BITS, SHINGLE, SEED = 2, 3, 42
-PIPELINE_BITS, PIPELINE_SHINGLE = 3, 5
 #: Fingerprints that the tree is fitted on, at most; leaves of the tree, at most; fingerprints that a leaf is meant to hold.
 SAMPLE, LEAVES, LEAF = 1 << 18, 8192, 8000
 #: Inside a shard: a node of so few fingerprints is compared as a whole, in blocks of so many rows.
