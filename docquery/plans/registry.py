@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-FLAGSHIP = "j1_exact_topk"
+from docquery.plans import memory_plans, search_plans
+
+FLAGSHIP = "j9_retrieve"
+_PLANS = (search_plans, memory_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {name: q for p in _PLANS for name, q in p.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for p in _PLANS for name, sql in p.SQL.items()}
