@@ -13,7 +13,7 @@ def read_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = DEF
     """Files of a directory by extension, with their text (UTF-8; what is no UTF-8 is left out)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     kept = found.filter(F.lower("path").rlike("(" + "|".join(e.replace(".", "\\.") for e in extensions) + ")$"))
-    return kept.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("filename"), F.col("length").alias("file_size"), F.md5("path").alias("document_id"), F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit("")).alias("text"))
+    return kept.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("filename"), F.col("length").alias("file_size"), F.md5("path").alias("document_id"), F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text"))
 
 
 def admitted(files: DataFrame, extensions: tuple[str, ...] = DEFAULTS.extensions, most: int = DEFAULTS.max_file_bytes) -> tuple[DataFrame, DataFrame]:
@@ -82,3 +82,15 @@ def ingest_log(files: DataFrame, chunks: DataFrame) -> DataFrame:
     """Outcome of each admitted file: completed with its chunks, or a warning where it gave none."""
     counted = chunks.groupBy("document_id").agg(F.count("*").alias("n"))
     return files.join(counted, "document_id", "left").select("document_id", "filename", F.coalesce("n", F.lit(0)).alias("chunks_count"), F.when(F.col("n") > 0, "completed").otherwise("warning").alias("status"))
+
+
+def with_metadata(files: DataFrame, *, document_id: Column | None = None, **values: str | None) -> DataFrame:
+    """Files with the metadata of an upload: an id (md5 of the file name unless given, so that runs repeat) and values by name where there is no such column."""
+    out = files.withColumn("document_id", F.md5("filename") if document_id is None else document_id)
+    missing = {k: F.lit(v).cast("string") for k, v in values.items() if k not in files.columns}
+    return out.withColumns(missing) if missing else out
+
+
+def processed_totals(log: DataFrame) -> DataFrame:
+    """Documents processed and chunks created, by an ingest log."""
+    return log.agg(F.count("*").alias("documents_processed"), F.coalesce(F.sum("chunks_count"), F.lit(0)).alias("chunks_created"), F.count_if(F.col("status") == "warning").alias("warnings"))

@@ -90,3 +90,13 @@ def row_chunks(tables: DataFrame, limit: int = DEFAULTS.table_rows_limit, batch:
     body = F.flatten(F.transform("part", lambda r, i: _row_lines(r, F.col("first") + i, F.col("headers"), "")))
     head = F.array(F.concat(F.lit("Table: "), F.col("name"), F.lit(" (Rows "), F.col("row_range"), F.lit(")")), F.lit(""))
     return own.select("table_id", F.lit("table_rows").alias("chunk_type"), "row_range", F.array_join(F.concat(head, body), "\n").alias("content"))
+
+
+def named_by_page(tables: DataFrame) -> DataFrame:
+    """Admitted tables of pages, named by page and place on it."""
+    return admitted(tables).withColumn("name", F.concat_ws("_", F.lit("Table"), F.col("page_number").cast("string"), F.col("place").cast("string")))
+
+
+def named_by_size(tables: DataFrame) -> DataFrame:
+    """Admitted tables of sectioned documents, named by their number of rows."""
+    return admitted(tables).withColumn("name", F.concat(F.lit("Table_"), F.size("rows").cast("string"), F.lit("rows")))
