@@ -30,8 +30,10 @@ from docquery.llm.simhash import hook
 QUERY = "op4_embedding_links"
 ORACLE_SQL = None
 LEAST_COSINE = 0.95
-#: Tables, projections in each, their quantum, the seed of the directions, rows of a block.
-TABLES, PROJECTIONS, QUANTUM, SEED, BLOCK = 24, 8, 1.25, 11, 2000
+#: Quantum of projections, seed of the directions, rows of a block.
+QUANTUM, SEED, BLOCK = 1.25, 11, 2000
+#: Unrelated vectors that a bucket may hold on average; share of pairs at the threshold that may meet in no table.
+CROWD, MISSED = 8, 0.015
 
 
 def usable(vector: Column) -> Column:
@@ -40,12 +42,24 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def directions(dim: int, tables: int = TABLES, projections: int = PROJECTIONS, quantum: float = QUANTUM, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+def collision(distance: float, quantum: float = QUANTUM) -> float:
+    """Chance that two vectors at a distance fall into the same cell of one projection."""
+    x = quantum / distance
+    return 1 - math.erfc(x / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * x) * (1 - math.exp(-x * x / 2))
+
+
+def tuned(n: int, least: float = LEAST_COSINE) -> tuple[int, int]:
+    """(tables, projections) for ``n`` vectors: as many projections as keep unrelated vectors of a bucket to ``CROWD``, and as many tables as then find all but ``MISSED`` of the pairs at the threshold. So work grows little faster than ``n``, and recall stays."""
+    projections = max(3, math.ceil(math.log(max(n, 1) / CROWD) / -math.log(collision(math.sqrt(2)))))
+    return math.ceil(math.log(MISSED) / math.log(1 - collision(math.sqrt(2 - 2 * least)) ** projections)), projections
+
+
+def directions(dim: int, tables: int, projections: int, quantum: float = QUANTUM, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng([seed, dim])
     return rng.standard_normal((dim, tables * projections)), rng.uniform(0, quantum, tables * projections)
 
 
-def hashes(unit: np.ndarray, tables: int = TABLES, projections: int = PROJECTIONS, quantum: float = QUANTUM, seed: int = SEED) -> np.ndarray:
+def hashes(unit: np.ndarray, tables: int, projections: int, quantum: float = QUANTUM, seed: int = SEED) -> np.ndarray:
     """A 64-bit bucket for each vector and table, from its quantised projections."""
     at, shift = directions(unit.shape[1], tables, projections, quantum, seed)
     cells = np.floor((unit @ at + shift) / quantum).astype(np.int64).reshape(len(unit), tables, projections)
@@ -75,20 +89,23 @@ def same_length(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield at, normalised(flat[starts[at][:, None] + np.arange(dim)])
 
 
-def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for whole in batches:
-        for b in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
-            for at, unit in same_length(b.column(2)):
-                h = hashes(unit)
-                rows = np.repeat(at, TABLES)
-                part = b.take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(TABLES, dtype=np.int32), len(at))), pa.array(h.ravel()), pa.array(np.full(len(rows), unit.shape[1], np.int32)), *part.columns], names=["t", "bucket", "dim", "id", "weight", "vector"])
+def _buckets(tables: int, projections: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for b in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
+                for at, unit in same_length(b.column(2)):
+                    h = hashes(unit, tables, projections)
+                    rows = np.repeat(at, tables)
+                    part = b.take(pa.array(rows))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(tables, dtype=np.int32), len(at))), pa.array(h.ravel()), pa.array(np.full(len(rows), unit.shape[1], np.int32)), *part.columns], names=["t", "bucket", "dim", "id", "weight", "vector"])
+
+    return run
 
 
-def _pairs(t: int, cross: bool, left: np.ndarray, unit: np.ndarray, weight: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+def _pairs(t: int, cross: bool, left: np.ndarray, unit: np.ndarray, weight: np.ndarray, least: float, tables: int, projections: int) -> tuple[np.ndarray, np.ndarray]:
     """Of the rows of one task: the weight that each links first in table ``t``, and the root position of each."""
     n = len(unit)
-    own, sums, up = hashes(unit)[:, : t + 1], np.zeros(n, np.int64), np.arange(n)
+    own, sums, up = hashes(unit, tables, projections)[:, : t + 1], np.zeros(n, np.int64), np.arange(n)
     for at in range(0, n, 512):
         rows = np.arange(at, min(n, at + 512))
         i, j = np.nonzero(unit[rows] @ unit.T >= least)
@@ -108,7 +125,7 @@ def _pairs(t: int, cross: bool, left: np.ndarray, unit: np.ndarray, weight: np.n
     return sums, up
 
 
-def _link(least: float):
+def _link(least: float, tables: int, projections: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def groups() -> Iterator[tuple[tuple, pa.Table]]:
             at, kept = None, []
@@ -139,7 +156,7 @@ def _link(least: float):
             if len(own) < 2:
                 continue
             unit = next(same_length(rows.column("vector").combine_chunks()))[1]
-            found, up = _pairs(t, p != q, rows.column("block").to_numpy(), unit, weight, least)
+            found, up = _pairs(t, p != q, rows.column("block").to_numpy(), unit, weight, least, tables, projections)
             if (some := np.flatnonzero(found)).size:
                 ids.append(own[some]), roots.append(own[up[some]]), sums_.append(found[some])
             if len(ids) > 500:
@@ -152,7 +169,8 @@ def _link(least: float):
 
 def links(vectors: DataFrame, least: float = LEAST_COSINE, block: int = BLOCK) -> DataFrame:
     """Distinct vectors (id long, weight long, vector array) to (id, root, links): per task the weight of what each links, and a vector that it is linked with."""
-    placed = vectors.select("id", "weight", "vector").mapInArrow(_buckets, "t int, bucket long, dim int, id long, weight long, vector " + vectors.schema["vector"].dataType.simpleString())
+    tables, projections = tuned(vectors.count(), least)
+    placed = vectors.select("id", "weight", "vector").mapInArrow(_buckets(tables, projections), "t int, bucket long, dim int, id long, weight long, vector " + vectors.schema["vector"].dataType.simpleString())
     keys = ["t", "bucket", "dim"]
     # buckets of one vector have no pairs; the others are split into as many blocks as their size asks for
     shared = placed.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
@@ -161,7 +179,7 @@ def links(vectors: DataFrame, least: float = LEAST_COSINE, block: int = BLOCK) -
     meets = meets.withColumns({"p": F.least("block", "other"), "q": F.greatest("block", "other")})
     task = [*keys, "p", "q"]
     dealt = meets.select(*task, "block", "id", "weight", "vector").repartition(*task).sortWithinPartitions(*task)
-    return dealt.mapInArrow(_link(least), "id long, root long, links long")
+    return dealt.mapInArrow(_link(least, tables, projections), "id long, root long, links long")
 
 
 def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
@@ -175,7 +193,6 @@ def near_duplicates(embeddings: DataFrame, least: float = LEAST_COSINE) -> DataF
     """
     rows = embeddings.select("vec_id", F.col("embedding").alias("vector")).withColumn("usable", usable(F.col("vector")))
     good = rows.filter("usable")
-    # a vector's id: 62 bits of its hash; should two vectors share one, they would be told apart by no one, so both hashes count
     same = good.groupBy("vector").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("weight")).withColumn("id", F.xxhash64("vector", F.size("vector")))
     same = cut(same)
     found = cut(links(same, least))
