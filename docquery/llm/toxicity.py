@@ -192,6 +192,7 @@ def learn_weights(sample: DataFrame, cost: list, fold: int) -> dict[str, float]:
     if not t:
         return {}
     counted = sides.mapInArrow(run, "key string, n long, toxic int").groupBy("key").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
+    counted = cut(counted)
     families = [counted.filter(F.length("key") >= k).groupBy(F.concat(F.lit("^"), F.substring("key", 1, k)).alias("key")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("words"), F.max("bad").alias("most")).filter((F.col("words") >= LEAST_FAMILY) & (2 * F.col("most") <= F.col("bad"))).select("key", "bad", "good") for k in PREFIXES]
     counted = functools.reduce(DataFrame.unionByName, families, counted)
     # families sum over words, so that their counts scatter more
@@ -235,7 +236,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     """Weights from one half of the sample, coefficients from the other, so that these see weights as new documents do; then weights from both."""
     cost = language_model(docs)
     table = cost.tolist()
-    sample = _sample(docs, labels, most)
+    # bounded by ``most``; kept, as it is read several times
+    sample = cut(_sample(docs, labels, most))
     half = learn_weights(sample, table, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -72,3 +72,11 @@ def test_viterbi_finds_the_cheapest_reading():
             options.append(own)
         best = min(p for p in (price(token, way) for way in itertools.product(*options)) if p is not None)
         assert toxicity.decode(token, cost) == best[1]
+
+
+def test_without_labels_or_documents(spark):
+    docs = spark.createDataFrame([(1, "some words"), (None, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
+    for d, y in ((docs, labels), (docs.limit(0), labels.limit(0)), (docs.limit(0), labels)):
+        model = toxicity.train(d, y)
+        assert all(r.score < 0.7 for r in toxicity.score(docs, model).collect())
