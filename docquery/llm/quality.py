@@ -116,7 +116,9 @@ def clean(docs: DataFrame) -> DataFrame:
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text")
     kinds = dict(docs.dtypes)
     new = {"text": F.col("clean_text"), "n_chars": F.length("clean_text").cast(kinds.get("n_chars", "long"))}
-    return judged(packed).filter("kept").select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
+    # a filter on a projection with a row number is not moved below it, where all rules would be evaluated once more
+    kept = judged(packed).withColumn("__n", F.monotonically_increasing_id()).filter("kept and __n >= 0")
+    return kept.select(*[new.get(c, F.col("__row")[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
