@@ -11,9 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquery.llm import bpe, mixing, pii, quality, simhash
+from docquery.llm import bpe, jaccard, mixing, pii, quality
 
-#: Not expressible in SQL: fingerprints, trees and tokens. The test holds the stages against brute-force versions.
+#: Not expressible in SQL: components, trees and tokens. The test holds the stages against brute-force versions.
 ORACLE_SQL = None
 
 
@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest id: the operator's own link, two bits of fingerprints of three-word shingles."""
-    return simhash.keep_one(docs)
+    """One document of each group stays, that of the smallest id: shingles of five words, a Jaccard similarity of 0.8 or more."""
+    return jaccard.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, digests=True).drop("decoded")
 
 
-STAGES = [("quality rules", quality_rules), ("simhash near-dedup", near_duplicates), ("pii redaction", personal_data), ("source mixture", mixture), ("bpe tokens", tokens)]
+STAGES = [("quality rules", quality_rules), ("jaccard near-dedup", near_duplicates), ("pii redaction", personal_data), ("source mixture", mixture), ("bpe tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
