@@ -1,10 +1,16 @@
 """Toxicity of obfuscated text by a noisy channel.
 
-A character trigram model is counted over all documents. Tokens that look disguised
-(digits or symbols among letters, letters in a row, letters set apart) are read as a
-lattice: each written character may stand for itself, for the letters it imitates, for
-a repeat of the letter before or for nothing, each at a price. Viterbi decoding finds
-the cheapest reading under the model, and the restored text is scored.
+A character trigram model is counted over all documents. What looks disguised (digits
+or symbols among letters, letters in a row, runs of short pieces set apart) is read as
+a lattice: each written character may stand for itself, for the letters it imitates,
+for a repeat of the letter before or for nothing, and each blank or mark for nothing
+or for the boundary of a word, each at a price. Viterbi decoding finds the cheapest
+reading under the model, and the words of the restored text are scored. What is longer
+than ``WINDOW`` is decoded in windows that overlap, from its first to its last
+character. The model alone parts rare words badly, so what lies between any two blanks
+or marks of a restored run is looked up too, as is what two or three neighbouring
+tokens, one of them short, make together: these count where they are words with a
+weight.
 
 Scoring looks a document's words, and the beginnings of its words, up in weights that
 were learnt from labelled documents; a small logistic model turns the strongest
@@ -43,17 +49,29 @@ THRESHOLD = 0.7
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïñòóôõöøùúûüýÿœ"
 #: What a written character may imitate.
 IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i", "*": "aeiou", "#": "h", "%": "", "&": "", ".": "", "-": "", "_": "", "~": "", "'": "", ",": "", "/": "", "\\": "", "^": "", "=": "", ":": ""}
-#: Prices in nats: a letter imitated, a mark or separator that stands for nothing, a digit or letter-like sign that does, a letter repeated.
-IMITATED, NOTHING, LOST, REPEATED = 1.0, 1.5, 7.0, 1.0
-#: Longest token that is decoded; longer ones (data, not words) are taken as written. A defined limit of the channel, not of texts.
-LONGEST = 48
+#: Prices in nats: a letter imitated, a mark or separator that stands for nothing, a digit or letter-like sign that does, a letter repeated; a mark that parts words, a blank inside a run that stands for nothing.
+IMITATED, NOTHING, LOST, REPEATED, BROKEN, JOINED = 1.0, 1.5, 7.0, 1.0, 2.0, 0.3
+#: Characters that are decoded at once, and how many of them the next window repeats: whatever the length, memory is that of a window.
+WINDOW, OVERLAP = 256, 64
+#: A token of so many characters at most is joined with its neighbours, where that makes a word with a weight.
+SHORT = 3
 PREFIXES = (4, 5, 6)
 CACHED = 150_000
 A = len(LETTERS) + 1
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 _EDGE = "".join(sorted({*".,;:!?\"'()[]{}<>|*#%&$@^~=/\\-_+`¡¿«»„“”‚‘’…–—"}))
-_APART = re.compile(r"(?<!\w)\w(?:[ .\-_*·]{1,2}\w(?!\w)){3,40}")
+#: A run of pieces set apart: three or more of one or two characters, and one of three at either end.
+_APART = re.compile(r"(?<!\S)(?:\S{3}\s{1,3})?\S{1,2}(?:\s{1,3}\S{1,2}(?!\S)){2,}(?:\s{1,3}\S{3}(?!\S))?")
+_GAP = re.compile(r"\s+")
+#: More than three of the same character in a row are three.
+_MANY = re.compile(r"(.)\1{3,}", re.DOTALL)
 _ROW = re.compile(r"(.)\1\1")
+_DOUBLE = re.compile(r"(.)\1+", re.DOTALL)
+#: In a reading: a blank or mark that stands for nothing.
+SEAM = "\x1f"
+_SEAMS = re.compile(r"[ \x1f]+")
+#: Longest token or run that a task remembers; longer ones are decoded each time.
+REMEMBERED = 64
 
 
 def held_out(doc_id: Column) -> Column:
@@ -97,63 +115,143 @@ def language_model(docs: DataFrame) -> np.ndarray:
 
 
 def decode(token: str, cost: list) -> str:
-    """The cheapest reading of a token: Viterbi over states of the last two letters. cost: nested lists of ``language_model``."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
-    for c in token:
-        options = [(_INDEX[c], 0.0)] if c in _INDEX else [(_INDEX[x], IMITATED) for x in IMITATES.get(c, "")]
-        nothing = None if c in _INDEX else LOST if IMITATES.get(c) else NOTHING
-        new: dict[tuple[int, int], tuple[float, str]] = {}
+    """The cheapest reading of a token or run: words, blanks between them, and a ``SEAM`` where a blank or mark stands for nothing. cost: nested lists of ``language_model``. Long ones are read in overlapping windows."""
+    if len(token) <= WINDOW:
+        return _decoded(token, cost)
+    return " ".join(_decoded(token[at : at + WINDOW], cost) for at in range(0, len(token) - OVERLAP, WINDOW - OVERLAP))
 
-        def offer(state: tuple[int, int], price: float, text: str) -> None:
-            if state not in new or price < new[state][0]:
-                new[state] = (price, text)
 
-        for (a, b), (price, text) in states.items():
+def _decoded(token: str, cost: list) -> str:
+    """Viterbi over states of the last two letters, 0 being a boundary; a blank is a gap as wide as the run's others, a line feed is a wider one."""
+    prices: dict[tuple[int, int], float] = {(0, 0): 0.0}
+    came: list[dict[tuple[int, int], tuple[tuple[int, int], str]]] = []
+    for c in token:
+        options = [(_INDEX[c], 0.0)] if c in _INDEX else [(_INDEX[x], IMITATED) for x in IMITATES.get(c, "")]
+        if c == " ":
+            nothing, boundary = JOINED, 0.0
+        elif c == "\n":
+            nothing, boundary = LOST, 0.0
+        elif options:
+            nothing, boundary = (None if c in _INDEX else LOST), None
+        else:
+            nothing, boundary = NOTHING, BROKEN
+        new: dict[tuple[int, int], float] = {}
+        back: dict[tuple[int, int], tuple[tuple[int, int], str]] = {}
+        seam = "" if options else SEAM
+
+        def offer(state: tuple[int, int], price: float, before: tuple[int, int], written: str) -> None:
+            if state not in new or price < new[state]:
+                new[state] = price
+                back[state] = before, written
+
+        for state, price in prices.items():
+            a, b = state
             for x, extra in options:
-                offer((b, x), price + extra + cost[a][b][x], text + LETTERS[x - 1])
+                offer((b, x), price + extra + cost[a][b][x], state, LETTERS[x - 1])
                 if x == b:
-                    offer((a, b), price + extra + REPEATED, text)
+                    offer(state, price + extra + REPEATED, state, "")
             if nothing is not None:
-                offer((a, b), price + nothing, text)
-        states = new
-    return min((price + cost[a][b][0], text) for (a, b), (price, text) in states.items())[1] if states else ""
+                offer(state, price + nothing, state, seam)
+            if boundary is not None:
+                if b:
+                    offer((b, 0), price + boundary + cost[a][b][0], state, " ")
+                else:  # no word to end
+                    offer(state, price + boundary, state, "")
+        prices = new
+        came.append(back)
+    state = min((price + (cost[a][b][0] if b else 0.0), (a, b)) for (a, b), price in prices.items())[1]
+    out = []
+    for back in reversed(came):
+        state, written = back[state]
+        out.append(written)
+    return "".join(reversed(out)).strip(" " + SEAM)
+
+
+class Known:
+    """Words with a weight, to be found in restored runs whatever letters are doubled there."""
+
+    def __init__(self, weights: dict[str, float]):
+        self.words = {w for w in weights if not w.startswith("^")}
+        self.forms = {_DOUBLE.sub(r"\1", w): w for w in sorted(self.words)}
+        self.longest = max(map(len, self.forms), default=0)
+
+    def within(self, reading: str) -> set[str]:
+        """Words that lie between any two seams of a reading."""
+        found = set()
+        pieces = _SEAMS.split(reading) if self.forms else []
+        for k in range(len(pieces)):
+            text = ""
+            for piece in pieces[k:]:
+                text = _DOUBLE.sub(r"\1", text + piece)
+                if len(text) > self.longest:
+                    break
+                if text in self.forms:
+                    found.add(self.forms[text])
+        return found
+
 
+def restored(run: str, cost: list, known: Known) -> set[str]:
+    """Words of what a token or run decodes to, and words with a weight between its seams."""
+    reading = decode(run, cost)
+    return {*reading.replace(SEAM, "").split(), *known.within(reading)}
 
-def readings(token: str, cost: list) -> list[str]:
+
+def readings(token: str, cost: list, known: Known) -> list[str]:
     """Words that a token, in lower case, may be: itself without punctuation, and what it decodes to if it looks disguised."""
     bare = token.strip(_EDGE)
     if bare.isalpha() and len(bare) == len(token) and not _ROW.search(bare):
         return [bare]
     out = [bare] if bare else []
     # repeated signs at an end are punctuation; a sign in their stead may also be a letter
-    if len(token) <= LONGEST and any(c in _INDEX for c in bare) and (not bare.isalpha() or _ROW.search(bare) or (token != bare and any(c in "@$|!*10+" for c in token[: len(token) - len(token.lstrip(_EDGE))] + token[len(token.rstrip(_EDGE)) :][:1]))):
-        out += [w for w in {decode(bare, cost), decode(token.rstrip(".,;:?!"), cost)} if w and w != bare]
+    if any(c in _INDEX for c in bare) and (not bare.isalpha() or _ROW.search(bare) or (token != bare and any(c in "@$|!*10+" for c in token[: len(token) - len(token.lstrip(_EDGE))] + token[len(token.rstrip(_EDGE)) :][:1]))):
+        for x in {bare, token.rstrip(".,;:?!")}:
+            out += [w for w in restored(_MANY.sub(r"\1\1\1", x), cost, known) if w not in out]
     return out
 
 
+def set_apart(text: str) -> set[str]:
+    """Runs of short pieces in a text in lower case: gaps as wide as the run's narrowest are blanks, wider ones line feeds."""
+    found = set()
+    for m in _APART.finditer(text):
+        run = m[0]
+        if sum(c in _INDEX or bool(IMITATES.get(c)) for c in run) < 4 or not any(c in _INDEX for c in run):
+            continue
+        least = min(map(len, _GAP.findall(run)))
+        found.add(_GAP.sub(lambda g: " " if len(g[0]) == least else "\n", run))
+    return found
+
+
 def keys(word: str) -> list[str]:
     """What a word is looked up by: itself, and its beginnings."""
     return [word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
 
 
-class Reader:
-    """The distinct words of texts, disguised ones restored; remembers tokens within bounds."""
+def joined(tokens: list[str], known: set[str]) -> set[str]:
+    """Words of ``known`` that two or three tokens in a row make together, one of them short."""
+    found = set()
+    for a, b, c in zip(tokens, tokens[1:], [*tokens[2:], ""], strict=False):
+        if len(a) <= SHORT or len(b) <= SHORT:
+            if a + b in known:
+                found.add(a + b)
+            if c and a + b + c in known:
+                found.add(a + b + c)
+    return found
 
-    def __init__(self, cost: list):
-        self.cost, self.seen = cost, {}
 
-    def tokens(self, text: str) -> set[str]:
-        low = text.lower()
-        out = set(low.split())
-        for m in _APART.finditer(low):  # letters set apart
-            joined = "".join(c for c in m[0] if c.isalnum())
-            out |= {joined, *(joined[k:] for k in range(1, min(4, len(joined) - 3))), *(joined[:-k] for k in range(1, min(4, len(joined) - 3)))}
-        return out
+class Reader:
+    """The distinct words of texts, disguised ones restored. ``known``: words that tokens may be joined to."""
+
+    def __init__(self, cost: list, known: dict[str, float] | None = None):
+        self.cost, self.known = cost, Known(known or {})
 
     def words(self, text: str) -> set[str]:
-        found = set()
-        for t in self.tokens(text):
-            found.update(readings(t, self.cost))
+        low = text.lower()
+        tokens = low.split()
+        found = joined(tokens, self.known.words)
+        for t in set(tokens):
+            found.update(readings(t, self.cost, self.known))
+        for run in set_apart(low):
+            found |= restored(run, self.cost, self.known)
         return found
 
 
@@ -181,7 +279,7 @@ def learn_weights(sample: DataFrame, cost: list, fold: int) -> dict[str, float]:
                 own = counts[y]
                 own.update(reader.words(text or ""))
         toxic, clean = counts[1], counts[0]
-        rows = [(k, n, 1) for k, n in toxic.items() if len(k) <= LONGEST] + [(k, n, 0) for k, n in clean.items() if len(k) <= LONGEST]
+        rows = [(k, n, 1) for k, n in toxic.items()] + [(k, n, 0) for k, n in clean.items()]
         for at in range(0, len(rows), 20_000):
             part = rows[at : at + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int32())], names=["key", "n", "toxic"])
@@ -241,7 +339,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     half = learn_weights(sample, table, 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = Reader(table)
+        reader = Reader(table, half)
         for b in batches:
             rows = [evidence(reader.words(t or ""), half) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], pa.float64()) for k in range(3)), b.column(1)], names=["a", "b", "c", "toxic"])
@@ -260,27 +358,45 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
 
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """Adds ``score`` to the other columns of ``docs`` (the text itself is left out): 0 to 1, higher for toxic. Null text is empty; empty texts get the score of no evidence."""
+    """Adds ``score`` to the other columns of ``docs`` (the text itself is left out): 0 to 1, higher for toxic.
+
+    Null text is empty; empty texts get the score of no evidence. Every text is read
+    from end to end, however long. The score is a function of the text and the model
+    alone: repeated rows are scored each and equally, and ties stay ties. An empty
+    table gives no rows; a column named ``score`` is replaced, others pass through.
+    """
     kept = [c for c in docs.columns if c not in (text, "score")]
     shared = docs.sparkSession.sparkContext.broadcast((model.cost.astype(np.float32), model.weights, model.coefficients))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cost, weights, b = shared.value
-        reader = Reader(cost.tolist())
+        table, known = cost.tolist(), Known(weights)
         memo: dict[str, float] = {}
+        runs: dict[str, list[float]] = {}
         get = weights.get
 
-        def strongest(token: str) -> float:
-            return max((get(k, 0.0) for w in readings(token, reader.cost) for k in keys(w)), default=0.0)
+        def strongest(words: list[str]) -> float:
+            return max((get(k, 0.0) for w in words for k in keys(w)), default=0.0)
 
         def one(text: str) -> float:
-            own = []
-            for t in reader.tokens(text):
+            low, own = text.lower(), []
+            tokens = low.split()
+            for t in set(tokens):
                 w = memo.get(t)
                 if w is None:
-                    w = memo[t] = strongest(t)
+                    w = strongest(readings(t, table, known))
+                    if len(t) <= REMEMBERED:
+                        memo[t] = w
                 if w > 0:
                     own.append(w)
+            own += [weights[w] for w in joined(tokens, known.words)]
+            for run in set_apart(low):
+                found = runs.get(run)
+                if found is None:
+                    found = [w for x in restored(run, table, known) if (w := strongest([x])) > 0]
+                    if len(run) <= REMEMBERED:
+                        runs[run] = found
+                own += found
             own.sort(reverse=True)
             z = b[0] + b[1] * (own[0] if own else 0.0) + b[2] * sum(own[:5]) + b[3] * math.log1p(len(own))
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
@@ -288,8 +404,9 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for whole in batches:
             for part in (whole.slice(at, 500) for at in range(0, whole.num_rows, 500)):
                 scores = [one(t or "") for t in part.column(part.num_columns - 1).to_pylist()]
-                if len(memo) > CACHED:
+                if len(memo) + len(runs) > CACHED:
                     memo.clear()
+                    runs.clear()
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(scores, pa.float64())], names=[*kept, "score"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in kept), "score double"])

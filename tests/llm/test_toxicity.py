@@ -49,31 +49,66 @@ def test_viterbi_finds_the_cheapest_reading():
     rng = np.random.default_rng(1)
     cost = rng.uniform(0.5, 5, (toxicity.A, toxicity.A, toxicity.A)).tolist()
 
-    def price(token, text_of):
+    def price(text_of):
         a = b = 0
         total, out = 0.0, ""
-        for c, (letter, extra, kept) in zip(token, text_of, strict=True):
+        for kind, letter, extra in text_of:
             total += extra
-            if letter is not None and kept:
+            if kind == "letter":
                 x = toxicity._INDEX[letter]
                 total += cost[a][b][x]
                 a, b, out = b, x, out + letter
-            elif letter is not None and (not out or out[-1] != letter):
+            elif kind == "repeat" and (not b or toxicity._INDEX[letter] != b):
                 return None
-        return total + cost[a][b][0], out
-
-    for token in ("1oo", "a1-b", "$$a", "0l1"):
+            elif kind == "seam":
+                out += toxicity.SEAM
+            elif kind == "boundary" and b:
+                total += cost[a][b][0]
+                a, b, out = b, 0, out + " "
+        return total + (cost[a][b][0] if b else 0.0), out.strip(" " + toxicity.SEAM)
+
+    for token in ("1oo", "a1-b", "$$a", "0l1", "a b c", "a 1 a", "a\nb", "ab-.c"):
         options = []
         for c in token:
-            o = [(c, 0.0)] if c in toxicity._INDEX else [(x, toxicity.IMITATED) for x in toxicity.IMITATES[c]]
-            own = [(x, e, True) for x, e in o] + [(x, e + toxicity.REPEATED, False) for x, e in o]
-            if c not in toxicity._INDEX:
-                own.append((None, toxicity.LOST if toxicity.IMITATES[c] else toxicity.NOTHING, False))
+            o = [(c, 0.0)] if c in toxicity._INDEX else [(x, toxicity.IMITATED) for x in toxicity.IMITATES.get(c, "")]
+            own = [(k, x, e + p) for x, e in o for k, p in (("letter", 0.0), ("repeat", toxicity.REPEATED))]
+            if c == " ":
+                own += [("seam", None, toxicity.JOINED), ("boundary", None, 0.0)]
+            elif c == "\n":
+                own += [("seam", None, toxicity.LOST), ("boundary", None, 0.0)]
+            elif not o:
+                own += [("seam", None, toxicity.NOTHING), ("boundary", None, toxicity.BROKEN)]
+            elif c not in toxicity._INDEX:
+                own.append(("lost", None, toxicity.LOST))
             options.append(own)
-        best = min(p for p in (price(token, way) for way in itertools.product(*options)) if p is not None)
+        best = min(p for p in (price(way) for way in itertools.product(*options)) if p is not None)
         assert toxicity.decode(token, cost) == best[1]
 
 
+def test_any_length_and_spacing(spark, model):
+    base = "the tion of and thing onan er in " * 8
+    written = [
+        "1d10t" + "!" * 60,
+        "s" + "t" * 70 + "upid",
+        "i   d   i   o   t",
+        "i d ! 0 t",
+        "id io t",
+        "y o u a r e a n i d i o t s o g o",
+        "s t u p i d a n d u g l y l o s e r",
+        " ".join("nothinghereatallbutsomanylettersthatthewordcomesverylate" + "scum" + "andgoes"),
+        "x" * 300 + "-1d10t-" + "y" * 300,
+        "word " * 60_000 + "1d10t and s t u p i d",
+        "los er and stu pid",
+    ]
+    rows = [(i, f"{base} {w} {base}") for i, w in enumerate(written)]
+    rows += [*rows[:2], (None, rows[0][1])]  # repeated rows and ties
+    scored = [(r.doc_id, r.score) for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()]
+    assert len(scored) == len(rows) and all(s >= 0.7 for _, s in scored), scored
+    assert len({s for d, s in scored if d in (0, None)}) == 1
+    clean = ["is it in an of to be", "A B C D E F G", "0123456789abcdef" * 3000, "1 2 3 4 5 6", "a.b.c.d.e.f", ("q w e r t z " * 2000)]
+    assert all(r.score < 0.7 for r in toxicity.score(spark.createDataFrame([(i, t) for i, t in enumerate(clean)], "doc_id long, text string"), model).collect())
+
+
 def test_without_labels_or_documents(spark):
     docs = spark.createDataFrame([(1, "some words"), (None, None)], "doc_id long, text string")
     labels = spark.createDataFrame([(1, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")
