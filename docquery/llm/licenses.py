@@ -265,16 +265,16 @@ WITH known AS (
   SELECT k, unnest(forms) AS form, generate_subscripts(forms, 1) AS i FROM parts
 ), starts AS (
   SELECT k, string_split(form, ' ')[1] AS opening,
-         1 + coalesce(sum(len(string_split(form, ' '))) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+         1 + coalesce(sum(len(string_split(form, ' '))) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS place
   FROM lines
 ), wholes AS (
   SELECT k, string_split(array_to_string(forms, ' '), ' ') AS words FROM parts
 ), hits AS (
-  SELECT s.k, s.at, license, s.at = 1 AND n = len(words) AS whole
+  SELECT s.k, s.place, license, s.place = 1 AND n = len(words) AS whole
   FROM starts s JOIN sized USING (opening) JOIN wholes w ON w.k = s.k
-  WHERE array_to_string(words[CAST(s.at AS BIGINT):CAST(s.at + n - 1 AS BIGINT)], ' ') = form
+  WHERE array_to_string(words[CAST(s.place AS BIGINT):CAST(s.place + n - 1 AS BIGINT)], ' ') = form
 ), found AS (
-  SELECT k, max(license) FILTER (whole) AS whole_license, count(DISTINCT at) AS n_license_blocks,
+  SELECT k, max(license) FILTER (whole) AS whole_license, count(DISTINCT place) AS n_license_blocks,
          string_agg(DISTINCT license, ',' ORDER BY license) AS licenses
   FROM hits GROUP BY k
 )
