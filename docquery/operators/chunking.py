@@ -45,9 +45,12 @@ def with_sections(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("section", F.coalesce(F.last_value(F.when(F.col("type") == "heading", F.col("text")), F.lit(True)).over(so_far), F.lit("")))
 
 
-def document_stats(blocks: DataFrame) -> DataFrame:
-    """Blocks, headings, pages and characters of each document."""
-    return blocks.groupBy("document_id").agg(F.count("*").alias("blocks"), F.count_if(F.col("type") == "heading").alias("headings"), F.max("page_number").alias("page_count"), F.sum(F.length("text")).alias("character_count"))
+def document_stats(blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """Blocks, headings, paragraphs, pages, characters and tables (document_id: a row each) of each document."""
+    kind = lambda t: F.count_if(F.col("type") == t)
+    own = blocks.groupBy("document_id").agg(F.count("*").alias("blocks"), kind("heading").alias("headings"), kind("paragraph").alias("paragraph_count"), F.max("page_number").alias("page_count"), F.sum(F.length("text")).alias("character_count"))
+    n = tables.groupBy("document_id").agg(F.count("*").alias("table_count"))
+    return own.join(n, "document_id", "left").withColumn("table_count", F.coalesce("table_count", F.lit(0)))
 
 
 def sentences(text: Column) -> Column:

@@ -11,6 +11,7 @@ from docquery.config import DEFAULTS
 ANAPHORA = ("it", "its", "they", "them", "their", "those", "these", "that", "this", "he", "she", "his", "her", "there", "which", "such", "the same", "the above", "aforementioned", "the previous", "the latter", "the former", "3 people", "2 people", "those people", "those authors", "those documents", "that policy", "that procedure")
 #: The prompt of a rewrite.
 REWRITE_PROMPT = "Conversation history (most recent last):\n%s\n\nFollow-up question: %s\n\nRewritten standalone question:"
+#: The prompt of an answer.
 SYSTEM_PROMPT = "Answer from the given context and cite its sources."
 ANSWER_PROMPT = "Answer the following question based on the provided context.\n\nCONTEXT:\n%s\n\nQUESTION: %s\n\nANSWER:"
 
@@ -68,8 +69,9 @@ def with_context_prefix(question: Column, last_user: Column, prefix: int = DEFAU
 
 
 def histories(turns: DataFrame, ids: DataFrame) -> DataFrame:
-    """For each wanted conversation its turns in order; null where it is unknown."""
-    said = turns.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda x: F.concat_ws(": ", x["role"], x["text"])).alias("messages"))
+    """The turns of each wanted conversation with their place in it, a row each, so that no conversation is one value; one row without a place where it is unknown."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
+    said = turns.join(ids.select("conv_id").distinct(), "conv_id", "left_semi").select("conv_id", place.alias("place"), "role", "text")
     return ids.select("conv_id").distinct().join(said, "conv_id", "left")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from docquery.functions.text import let
+from docquery.functions.text import counts, let
 from docquery.operators.search import normalise, tokens
 
 #: What stands before queries and passages for models of this family.
@@ -21,7 +21,5 @@ def hashed_vector(text: Column, dimension: int = 1024) -> Column:
     """Unit vector of word counts by hashed bucket (md5): repeatable and without a model; a stand-in for one."""
     buckets = F.transform(tokens(text), lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long"), F.lit(dimension)))
 
-    def counted(b: Column) -> Column:
-        return F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda i: F.size(F.filter(b, lambda x: x == i)).cast("double"))
-
-    return normalise(let(buckets, counted))
+    # counted once; then each place of the vector is a lookup
+    return normalise(let(F.map_from_entries(counts(buckets)), lambda n: F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dimension - 1).cast("long")), lambda i: F.coalesce(F.try_element_at(n, i), F.lit(0)).cast("double"))))

@@ -17,33 +17,48 @@ def read_cases(spark: SparkSession, path: str, limit: int | None = None) -> Data
 
 
 def evaluated(cases: DataFrame, ranked: DataFrame, answers: DataFrame) -> DataFrame:
-    """All metrics of each case (query_id): ranking metrics joined with the text metrics of its answer (question, answer, cited, reference, context, ground_truth). A case without an answer is a row with an error; the run goes on."""
-    a, c = F.col("answer"), F.col("context")
+    """All metrics of each case (query_id, category): ranking metrics joined with the text metrics of its answer (question, answer, cited, context, ground_truth).
+
+    Without a ground truth the answer stands in for it, as a run without references
+    has it. A case without an answer or without chunks is a row with an error; the
+    run goes on.
+    """
+    a, c, truth = F.col("answer"), F.col("context"), F.col("ground_truth")
+    reference = F.when(F.coalesce(truth, F.lit("")) != "", truth).otherwise(a)
     text = answers.select(
         "query_id",
-        metrics.bleu(F.col("reference"), a).alias("bleu"),
-        metrics.rouge_n(F.col("reference"), a, 1).alias("rouge1"),
-        metrics.faithfulness(a, c).alias("faithfulness"),
+        metrics.bleu(reference, a).alias("bleu"),
+        metrics.rouge_l(reference, a).alias("rouge_l"),
         metrics.similarity(F.col("question"), a).alias("answer_relevancy"),
+        metrics.faithfulness(a, c).alias("faithfulness"),
         metrics.citation_accuracy(F.col("cited"), c).alias("citation_accuracy"),
         metrics.hallucinated(a, c).alias("hallucinated"),
+        metrics.correctness(a, truth, c).alias("answer_correctness"),
     )
-    out = cases.select("query_id").join(ranked, "query_id", "left").join(text, "query_id", "left")
-    out = out.withColumn("error", F.when(F.col("bleu").isNull() | F.col("precision").isNull(), F.lit("no chunks or no answer")))
-    total = metrics.overall(*[F.col(x) for x in ("precision", "recall", "ndcg", "bleu", "rouge1", "faithfulness", "context_precision", "context_recall", "citation_accuracy", "hallucinated")])
-    return out.withColumn("overall", F.when(F.col("error").isNull(), total))
+    out = cases.select("query_id", "category").join(ranked, "query_id", "left").join(text, "query_id", "left")
+    out = out.withColumn("error", F.when(F.col("bleu").isNull() | (F.coalesce("n_retrieved", F.lit(0)) == 0), F.lit("no chunks or no answer")))
+    total = metrics.overall(*[F.col(x) for x in ("precision", "recall", "ndcg", "bleu", "rouge_l", "faithfulness", "context_precision", "context_recall", "citation_accuracy", "hallucinated")])
+    return out.withColumn("semantic_similarity", F.col("answer_relevancy")).withColumn("overall", F.when(F.col("error").isNull(), total))
+
+
+#: The parts of a nested result and what each holds.
+PARTS = {
+    "retrieval": ("precision", "recall", "f1", "mrr", "ndcg"),
+    "generation": ("bleu", "rouge_l", "semantic_similarity", "answer_relevancy", "faithfulness"),
+    "end_to_end": ("context_precision", "context_recall", "context_f1", "citation_accuracy", "answer_correctness"),
+}
 
 
 def projected(results: DataFrame) -> DataFrame:
-    """Nested results, three digits."""
-    r = lambda *names: F.struct(*[F.round(n, 3).alias(n) for n in names])
-    return results.select("query_id", r("precision", "recall", "f1", "mrr", "ndcg").alias("retrieval"), r("bleu", "rouge1", "answer_relevancy", "faithfulness").alias("generation"), r("context_precision", "context_recall", "citation_accuracy").alias("context"), "hallucinated", "overall", "error")
+    """Nested results, three digits, with the number of chunks retrieved."""
+    part = lambda names: F.struct(*[F.round(n, 3).alias(n) for n in names])
+    return results.select("query_id", "category", *[part(names).alias(p) for p, names in PARTS.items()], F.col("hallucinated").alias("hallucination_detected"), F.col("n_retrieved").alias("chunks_retrieved"), "overall", "error")
 
 
 def displayed(results: DataFrame) -> DataFrame:
-    """A line for each case."""
-    number = lambda c: F.coalesce(F.format_string("%.3f", F.col(c)), F.lit("-"))
-    return results.select("query_id", *[number(c).alias(c) for c in ("precision", "recall", "ndcg", "bleu", "faithfulness", "overall")], F.coalesce("error", F.lit("ok")).alias("status"))
+    """A line for each case that went through: two digits, a mark for no hallucination, twelve characters of the category."""
+    number = lambda c: F.format_string("%.2f", F.round(c, 2)).alias(c)
+    return results.filter("error is null").select("query_id", F.substring("category", 1, 12).alias("category"), *[number(c) for c in ("precision", "recall", "ndcg", "bleu", "faithfulness", "context_f1", "overall")], F.when(F.col("hallucinated"), "✗").otherwise("✓").alias("hallucination"))
 
 
 def write_report(results: DataFrame, path: str, config: str, at: Column | None = None) -> None:

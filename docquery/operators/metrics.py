@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+import functools
+from pathlib import Path
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from docquery.config import DEFAULTS
-from docquery.functions.text import let
+from docquery.functions.text import counts, let
+
+#: English words without a topic, one a line: the built-in list of the usual TF-IDF vectoriser. Another file may be named.
+STOP_WORDS_FILE = Path(__file__).parent.parent / "functions" / "stop_words_en.txt"
+
 
-#: Common English words that carry no topic.
-STOP_WORDS = "a about above after again against all am an and any are as at be because been before being below between both but by could did do does doing down during each few for from further had has have having he her here hers herself him himself his how i if in into is it its itself just me more most my myself no nor not now of off on once only or other our ours ourselves out over own same she should so some such than that the their theirs them themselves then there these they this those through to too under until up very was we were what when where which while who whom why will with would you your yours yourself yourselves".split()
+@functools.cache
+def stop_words(path: str | Path = STOP_WORDS_FILE) -> tuple[str, ...]:
+    return tuple(Path(path).read_text(encoding="utf-8").split())
 
 
 def ranking(queries: DataFrame, retrieved: DataFrame, relevant: DataFrame, k: int = 5) -> DataFrame:
@@ -21,6 +31,20 @@ def ranking(queries: DataFrame, retrieved: DataFrame, relevant: DataFrame, k: in
     """
     wanted = relevant.select("query_id", "id").distinct()
     hit = retrieved.join(wanted.withColumn("hit", F.lit(True)), ["query_id", "id"], "left")
+    return _ranked(queries, hit, wanted.groupBy("query_id").agg(F.count("*").alias("n_relevant")), k)
+
+
+def ranking_by_label(queries: DataFrame, retrieved: DataFrame, items: DataFrame, k: int = 5) -> DataFrame:
+    """As ``ranking``, where the items (id, label) of a query's own label (query_id, label) are relevant, itself left out. No pair of a query and an item is formed but the retrieved ones: labels are counted for the denominators."""
+    own = items.select(F.col("id").alias("query_id"), F.lit(1).alias("self"), F.col("label").alias("own"))
+    sizes = queries.join(items.groupBy("label").agg(F.count("*").alias("n")), "label", "left").join(own, "query_id", "left")
+    n = F.coalesce("n", F.lit(0)) - F.when(F.col("own") == F.col("label"), F.col("self")).otherwise(0)
+    hit = retrieved.join(items.select("id", F.col("label").alias("found")), "id", "left").join(queries.select("query_id", "label"), "query_id", "left")
+    hit = hit.withColumn("hit", F.coalesce((F.col("found") == F.col("label")) & (F.col("id") != F.col("query_id")), F.lit(False)))
+    return _ranked(queries, hit, sizes.select("query_id", n.alias("n_relevant")), k)
+
+
+def _ranked(queries: DataFrame, hit: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
     found = hit.groupBy("query_id").agg(
         F.countDistinct(F.when(F.col("hit") & (F.col("rank") <= k), F.col("id"))).alias("hits_k"),
         F.countDistinct(F.when(F.col("hit"), F.col("id"))).alias("hits"),
@@ -28,7 +52,6 @@ def ranking(queries: DataFrame, retrieved: DataFrame, relevant: DataFrame, k: in
         F.min(F.when(F.col("hit"), F.col("rank"))).alias("first"),
         F.coalesce(F.sum(F.when(F.col("hit") & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1.0))), F.lit(0.0)).alias("dcg"),
     )
-    sizes = wanted.groupBy("query_id").agg(F.count("*").alias("n_relevant"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     joined = queries.select("query_id").join(found, "query_id", "left").join(sizes, "query_id", "left").select("query_id", zero("hits_k").alias("hits_k"), zero("hits").alias("hits"), zero("n_retrieved").alias("n_retrieved"), "first", F.coalesce("dcg", F.lit(0.0)).alias("dcg"), zero("n_relevant").alias("n_relevant"))
     ideal = F.aggregate(F.sequence(F.lit(1), F.greatest(F.least(F.col("n_relevant"), F.lit(k)), F.lit(1)).cast("int")), F.lit(0.0), lambda a, i: a + 1 / F.log2(i + 1.0))
@@ -45,7 +68,7 @@ def ranking(queries: DataFrame, retrieved: DataFrame, relevant: DataFrame, k: in
     )
     out = out.withColumns({"f1": f1(F.col("precision"), F.col("recall")), "context_f1": f1(F.col("context_precision"), F.col("context_recall"))})
     names = ["precision", "recall", "f1", "mrr", "ndcg", "context_precision", "context_recall", "context_f1"]
-    return out.select("query_id", *[F.round(c, 6).alias(c) for c in names])
+    return out.select("query_id", *[F.round(c, 6).alias(c) for c in names], "n_retrieved")
 
 
 def words(text: Column) -> Column:
@@ -53,21 +76,10 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
 
 
-def counts(items: Column) -> Column:
-    """Distinct items with their numbers, sorted: array<struct<w, n>>. Sorted once and cut at changes, so n log n for long texts."""
-    ordered = F.array_sort(items)
-
-    def of(s: Column) -> Column:
-        starts = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i - 1) == x, F.lit(False)), None).otherwise(i)), lambda i: i.isNotNull())
-        return let(starts, lambda p: F.transform(p, lambda i, j: F.struct(F.get(s, i).alias("w"), (F.coalesce(F.get(p, j + 1), F.size(s)) - i).alias("n"))))
-
-    return let(ordered, of)
-
-
-def topic_words(text: Column) -> Column:
+def topic_words(text: Column, stops: tuple[str, ...] | None = None) -> Column:
     """Words of two or more letters, digits or underscores that are no stop words."""
     found = F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{2,}"), F.lit(0))
-    return F.filter(found, lambda w: ~w.isin(STOP_WORDS))
+    return F.filter(found, lambda w: ~w.isin(*(stop_words() if stops is None else stops)))
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -118,25 +130,29 @@ def _f(match: Column, size_h: Column, size_r: Column) -> Column:
     return F.coalesce(2 * p * q / F.nullif(p + q, F.lit(0.0)), F.lit(0.0))
 
 
-def rouge_l(reference: Column, hypothesis: Column) -> Column:
-    """ROUGE-L F-measure: longest common subsequence by one row of the table at a time."""
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-
-    def lcs(r: Column, h: Column) -> Column:
-        row0 = F.array_repeat(F.lit(0), F.size(r) + 1)
+def _longest_common(r: list[str], h: list[str]) -> int:
+    """Length of the longest common subsequence, a row of the table as the bits of one number."""
+    places: dict[str, int] = {}
+    for i, w in enumerate(r):
+        places[w] = places.get(w, 0) | 1 << i
+    full = (1 << len(r)) - 1
+    row = full
+    for w in h:
+        both = row & places.get(w, 0)
+        row = ((row + both) | (row - both)) & full
+    return len(r) - row.bit_count()
 
-        def step(row: Column, w: Column) -> Column:
-            def cell(acc: Column, x: Column) -> Column:
-                # acc: cells so far and the last of them; x: the word of the reference and the cells above
-                v = F.when(x["w"] == w, x["corner"] + 1).otherwise(F.greatest(acc["last"], x["up"]))
-                return F.struct(v.alias("last"), F.concat(acc["out"], F.array(v)).alias("out"))
 
-            above = F.transform(r, lambda x, i: F.struct(x.alias("w"), F.get(row, i).alias("corner"), F.get(row, i + 1).alias("up")))
-            return F.aggregate(above, F.struct(F.lit(0).alias("last"), F.array(F.lit(0)).alias("out")), cell, lambda acc: acc["out"])
+@F.pandas_udf(IntegerType())
+def _lcs(r: pd.Series, h: pd.Series) -> pd.Series:
+    return pd.Series([0 if x is None or y is None else _longest_common(list(x), list(y)) for x, y in zip(r, h, strict=True)], dtype="int32")
 
-        return F.element_at(F.aggregate(h, row0, step), -1)
 
-    return let(tokens(reference), lambda r: let(tokens(hypothesis), lambda h: F.when((F.size(r) == 0) | (F.size(h) == 0), 0.0).otherwise(_f(lcs(r, h).cast("double"), F.size(h), F.size(r)))))
+def rouge_l(reference: Column, hypothesis: Column) -> Column:
+    """ROUGE-L F-measure on words of letters and digits, not stemmed. The longest common subsequence is a fold that no column function does in linear memory: an Arrow batch at a time in Python."""
+    tokens = lambda c: F.coalesce(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), F.expr("cast(array() as array<string>)"))
+    r, h = tokens(reference), tokens(hypothesis)
+    return _f(_lcs(r, h).cast("double"), F.size(h), F.size(r))
 
 
 def faithfulness(answer: Column, context: Column, at: float = DEFAULTS.faithful_at) -> Column:
@@ -165,14 +181,18 @@ def correctness(answer: Column, ground_truth: Column, context: Column) -> Column
 
 
 def overall(p: Column, r: Column, ndcg: Column, bleu_: Column, rouge: Column, faithful: Column, context_p: Column, context_r: Column, cite: Column, hallucination: Column) -> Column:
-    """0.4 of the mean of ranking, 0.4 of text and 0.2 of context metrics; halved on hallucination; three digits."""
+    """0.4 of the mean of ranking, 0.4 of text (BLEU, ROUGE-L, faithfulness) and 0.2 of context metrics; halved on hallucination; three digits."""
     total = 0.4 * (p + r + ndcg) / 3 + 0.4 * (bleu_ + rouge + faithful) / 3 + 0.2 * (context_p + context_r + cite) / 3
     return F.round(F.when(hallucination, total / 2).otherwise(total), 3)
 
 
+#: The means at which a run passes.
+PASS_MARKS = {"precision": 0.7, "recall": 0.7, "ndcg": 0.75, "bleu": 0.5, "faithfulness": 0.8}
+
+
 def summary(results: DataFrame) -> DataFrame:
-    """Means of a run's metrics, each rounded to three digits before averaging, and whether they pass."""
-    mean = lambda c: F.round(F.avg(F.round(c, 3)), 6)
-    marks = {"precision": 0.7, "recall": 0.7, "ndcg": 0.75}
-    means = results.agg(F.count("*").alias("total"), *[mean(c).alias(f"mean_{c}") for c in ("precision", "recall", "ndcg", "mrr", "context_precision")])
-    return means.withColumns({f"{c}_passes": F.col(f"mean_{c}") >= m for c, m in marks.items()})
+    """Of a run's results (error is null where a case went through): cases and valid ones, the means of the valid ones' metrics, each rounded to three digits before averaging, the number of hallucinations, and what passes."""
+    good = F.col("error").isNull()
+    mean = lambda c: F.round(F.avg(F.when(good, F.round(c, 3))), 6)
+    means = results.agg(F.count("*").alias("total"), F.count_if(good).alias("valid"), *[mean(c).alias(f"mean_{c}") for c in (*PASS_MARKS, "context_precision")], F.count_if(good & F.col("hallucinated")).alias("hallucinations"))
+    return means.withColumns({**{f"{c}_passes": F.col(f"mean_{c}") >= m for c, m in PASS_MARKS.items()}, "no_hallucination": F.col("hallucinations") == 0})

@@ -15,14 +15,14 @@ def durations(log: DataFrame) -> DataFrame:
 
 
 def model_totals(log: DataFrame) -> DataFrame:
-    """Successes, failures, tokens of successes, fallbacks, success rate in percent and mean latency over all requests."""
+    """Successes, failures, tokens in and out of successes, fallbacks, success rate in percent and mean latency over all requests."""
     good = F.col("status") < 500
     n = F.greatest(F.count("*"), F.lit(1))
     return log.agg(
         F.count("*").alias("total_requests"),
         F.count_if(good).alias("successful"),
         F.count_if(~good).alias("failed"),
-        F.coalesce(F.sum(F.when(good, F.col("tokens"))), F.lit(0)).alias("tokens"),
+        *[F.coalesce(F.sum(F.when(good, F.col(c))), F.lit(0)).alias(c) for c in ("tokens_in", "tokens_out")],
         F.count_if("fallback").alias("fallbacks"),
         F.round(100.0 * F.count_if(good) / n, 2).alias("success_rate"),
         F.round(F.coalesce(F.sum("latency_ms"), F.lit(0.0)) / n, 2).alias("average_latency_ms"),
@@ -40,3 +40,14 @@ def exposition(counts: DataFrame, name: str, labels: list[str], value: str, kind
     return counts.select(F.lit(name).alias("name"), pairs.alias("labels"), F.lit(kind).alias("type"), F.col(value).cast("double").alias("value")).withColumn("line", F.concat("name", F.lit("{"), "labels", F.lit("} "), F.col("value").cast("string")))
 
 
+
+
+def snapshot(log: DataFrame, replayed: DataFrame, processed: DataFrame) -> DataFrame:
+    """All totals in one nested row: requests in all and by method and endpoint, models, cache and documents (``processed``: one row of totals)."""
+    ends = request_counts(log).groupBy("method", "endpoint").agg(F.sum("requests").alias("n"))
+    http = ends.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("requests_total"), F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.concat_ws(":", "method", "endpoint").alias("k"), "n")))).alias("requests_by_endpoint"))
+    one = lambda df, name: df.select(F.struct(*df.columns).alias(name))
+    out = one(http, "http")
+    for part in (one(model_totals(log), "llm"), one(hit_rate(replayed), "cache"), one(processed, "documents")):
+        out = out.join(F.broadcast(part))  # one row each
+    return out

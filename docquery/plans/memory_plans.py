@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docquery.operators import cache, catalogue, conversation, intents, telemetry
-from docquery.plans.search_plans import HINTS_SQL, INTENT_SQL
+from docquery.plans.search_plans import HINTS_SQL, INTENT_SQL, needs_sql
 from docquery.sources import fixtures as fx
 
 C, Q, R, FI = fx.CHUNKS_SQL, fx.QUESTIONS_SQL, fx.REQUESTS_SQL, fx.FILES_SQL
@@ -29,8 +29,8 @@ def gated(spark: SparkSession, sf: str) -> DataFrame:
 
 def prompts(spark: SparkSession, sf: str) -> DataFrame:
     t = _turns(spark, sf)
-    answer = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('  "'), F.substring("text", 1, 20), F.lit('" '))).when(F.col("turn") % 3 == 1, "  ")
-    return t.select("conv_id", "turn", F.md5(conversation.rewrite_prompt(F.col("history"), F.substring("text", 1, 60))).alias("prompt_md5"), conversation.rewritten(answer, F.substring("text", 1, 30)).alias("rewritten"), conversation.history_text(F.col("history"), 50).alias("history"))
+    answer = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('  "'), "text", F.lit('" '))).when(F.col("turn") % 3 == 1, "  ")
+    return t.select("conv_id", "turn", F.md5(conversation.rewrite_prompt(F.col("history"), F.col("text"))).alias("prompt_md5"), F.md5(conversation.rewritten(answer, F.col("text"))).alias("rewritten_md5"), F.md5(conversation.history_text(F.col("history"))).alias("history_md5"))
 
 
 def prefixed(spark: SparkSession, sf: str) -> DataFrame:
@@ -43,16 +43,14 @@ TURNS_SQL = """said AS (SELECT conv_id, turn, role, CASE WHEN turn = 4 THEN '' E
          last_value(CASE WHEN role = 'user' THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') END IGNORE NULLS) OVER before AS last_user
   FROM said WHERE text <> ''
   WINDOW before AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), last6 AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND 1 PRECEDING))"""
-_WORDS = [w for w in conversation.ANAPHORA if " " not in w]
-_PHRASES = "|".join(w for w in conversation.ANAPHORA if " " in w)
-NEEDS_SQL = f"(list_has_any(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''), {_WORDS!r}) OR regexp_matches(lower(text), '{_PHRASES}'))"
+NEEDS_SQL = needs_sql("text")
 
 
 def _history_sql(chars: int) -> str:
     return f"array_to_string(list_transform(history, lambda h: concat(upper(h.role[1]), lower(h.role[2:]), ': ', substring(h.text, 1, {chars}))), chr(10))"
 
 
-PROMPT_SQL = f"concat('Conversation history (most recent last):', chr(10), {_history_sql(400)}, chr(10), chr(10), 'Follow-up question: ', substring(text, 1, 60), chr(10), chr(10), 'Rewritten standalone question:')"
+PROMPT_SQL = f"concat('Conversation history (most recent last):', chr(10), {_history_sql(400)}, chr(10), chr(10), 'Follow-up question: ', text, chr(10), chr(10), 'Rewritten standalone question:')"
 
 
 def appended(spark: SparkSession, sf: str) -> DataFrame:
@@ -130,7 +128,7 @@ QUERIES = {
     "u6_u7_prompts": prompts,
     "u8_context_prefix": prefixed,
     "f7_prior_turns": lambda spark, sf: _turns(spark, sf).select("conv_id", "turn", "prior_turns", F.size("history").alias("kept")),
-    "w1_history": lambda spark, sf: conversation.histories(fx.conversations(spark, sf), spark.createDataFrame([(0,), (3,), (-5,)], "conv_id long")).select("conv_id", F.array_join("messages", "\n").alias("messages")),
+    "w1_history": lambda spark, sf: conversation.histories(fx.conversations(spark, sf), fx.conversations(spark, sf).filter("conv_id % 50 in (0, 3)").select("conv_id").unionByName(spark.createDataFrame([(-5,)], "conv_id long"))),
     "w2_append_trim": appended,
     "w3_evict": lambda spark, sf: conversation.evicted(fx.conversations(spark, sf), 25).select("conv_id", "turn"),
     "w4_summary": lambda spark, sf: conversation.summaries(fx.conversations(spark, sf)),
@@ -164,10 +162,10 @@ SQL = {
     "u2_hints": f"WITH {Q}, {HINTS_SQL}, named AS (SELECT query_id, {INTENT_SQL} AS intent FROM questions) SELECT query_id, intent, confidence::DOUBLE AS confidence, array_to_string(page_filter, ',') AS pages, boost FROM named JOIN hints USING (intent)",
     "u3_expansion": f"WITH {Q}, {HINTS_SQL}, named AS (SELECT query_id, question, {INTENT_SQL} AS intent FROM questions) SELECT query_id, concat_ws(' ', question, terms) AS expanded FROM named JOIN hints USING (intent)",
     "u4_u5_rewrite_gate": f"WITH {Q}, {TURNS_SQL} SELECT conv_id, turn, prior_turns, {NEEDS_SQL} AS needs, prior_turns >= 2 AND {NEEDS_SQL} AS gate FROM turns",
-    "u6_u7_prompts": f"WITH {Q}, {TURNS_SQL} SELECT conv_id, turn, md5({PROMPT_SQL}) AS prompt_md5, CASE WHEN turn % 3 = 0 THEN coalesce(nullif(regexp_replace(regexp_replace(concat('\"', substring(text, 1, 20), '\"'), '^\\s+|\\s+$', '', 'g'), '^[\"'']+|[\"'']+$', '', 'g'), ''), substring(text, 1, 30)) ELSE substring(text, 1, 30) END AS rewritten, {_history_sql(50)} AS history FROM turns",
+    "u6_u7_prompts": f"WITH {Q}, {TURNS_SQL} SELECT conv_id, turn, md5({PROMPT_SQL}) AS prompt_md5, md5(CASE WHEN turn % 3 = 0 THEN coalesce(nullif(regexp_replace(regexp_replace(concat('\"', text, '\"'), '^\\s+|\\s+$', '', 'g'), '^[\"'']+|[\"'']+$', '', 'g'), ''), text) ELSE text END) AS rewritten_md5, md5({_history_sql(400)}) AS history_md5 FROM turns",
     "u8_context_prefix": f"WITH {Q}, {TURNS_SQL} SELECT conv_id, turn, CASE WHEN last_user IS NOT NULL AND last_user <> '' AND substring(lower(last_user), 1, 80) <> substring(lower(text), 1, 80) THEN concat('Context: ', substring(last_user, 1, 120), ' | Question: ', text) ELSE text END AS query FROM turns WHERE role = 'user'",
     "f7_prior_turns": f"WITH {Q}, {TURNS_SQL} SELECT conv_id, turn, prior_turns, CAST(len(history) AS INTEGER) AS kept FROM turns",
-    "w1_history": "SELECT i.conv_id, m.messages FROM (VALUES (0), (3), (-5)) AS i(conv_id) LEFT JOIN (SELECT conv_id, string_agg(concat(role, ': ', text), chr(10) ORDER BY turn) AS messages FROM conversations GROUP BY conv_id) m USING (conv_id)",
+    "w1_history": "SELECT i.conv_id, m.place, m.role, m.text FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 50 IN (0, 3) UNION ALL SELECT -5) AS i LEFT JOIN (SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS place, role, text FROM conversations) m USING (conv_id)",
     "w2_append_trim": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, max(turn) + 1, 'user', 'one more' FROM conversations GROUP BY conv_id)) WHERE back <= 4",
     "w3_evict": f"WITH {Q} SELECT conv_id, turn FROM conv WHERE conv_id IN (SELECT conv_id FROM conv GROUP BY conv_id ORDER BY max(ts) DESC, conv_id LIMIT 25)",
     "w4_summary": f"WITH {Q} SELECT conv_id, min(ts) AS created_at, max(ts) AS updated_at, count(*) AS message_count FROM conv GROUP BY conv_id",
@@ -182,7 +180,7 @@ SQL = {
     "c3_cache_invalidation": INVALID_SQL,
     "g1_request_counts": f"WITH {R} SELECT method, endpoint, status, count(*) AS requests FROM requests GROUP BY ALL",
     "g2_durations": f"WITH {R} SELECT method, endpoint, count(*) AS observations, round(sum(latency_ms), 4) AS total_ms, round(avg(latency_ms), 6) AS mean_ms FROM requests GROUP BY ALL",
-    "g3_g4_model_totals": f"WITH {R} SELECT count(*) AS total_requests, count(*) FILTER (status < 500) AS successful, count(*) FILTER (status >= 500) AS failed, CAST(coalesce(sum(tokens) FILTER (status < 500), 0) AS BIGINT) AS tokens, count(*) FILTER (fallback) AS fallbacks, round(100.0::DOUBLE * count(*) FILTER (status < 500) / greatest(count(*), 1), 2) AS success_rate, round(coalesce(sum(latency_ms), 0) / greatest(count(*), 1), 2) AS average_latency_ms FROM requests",
+    "g3_g4_model_totals": f"WITH {R} SELECT count(*) AS total_requests, count(*) FILTER (status < 500) AS successful, count(*) FILTER (status >= 500) AS failed, CAST(coalesce(sum(tokens_in) FILTER (status < 500), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(tokens_out) FILTER (status < 500), 0) AS BIGINT) AS tokens_out, count(*) FILTER (fallback) AS fallbacks, round(100.0::DOUBLE * count(*) FILTER (status < 500) / greatest(count(*), 1), 2) AS success_rate, round(coalesce(sum(latency_ms), 0) / greatest(count(*), 1), 2) AS average_latency_ms FROM requests",
     "g5_hit_rate": f"{REPLAY_SQL} SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 2) AS hit_rate FROM fold",
     "g8_exposition": f"WITH {R}, c AS (SELECT concat('method=\"', method, '\",endpoint=\"', endpoint, '\",status=\"', status, '\"') AS labels, count(*)::DOUBLE AS value FROM requests GROUP BY method, endpoint, status) SELECT 'requests_total' AS name, labels, 'counter' AS type, value, concat('requests_total{{', labels, '}} ', value) AS line FROM c",
     "s2_admission": ADMISSION_SQL,

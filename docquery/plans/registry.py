@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docquery.plans import memory_plans, run_plans, search_plans, text_plans
+from docquery.plans import memory_plans, run_plans, search_plans, stream_plans, text_plans
 
 FLAGSHIP = "j9_retrieve"
-_PLANS = (search_plans, memory_plans, text_plans, run_plans)
+_PLANS = (search_plans, memory_plans, text_plans, run_plans, stream_plans)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.operators import intents, metrics, search
+from docquery.operators import conversation, embed, intents, metrics, retrieval, search
 from docquery.operators.filters import above, apply_filters
 from docquery.sources import fixtures as fx
 from docquery.sources.tables import table
@@ -96,7 +96,7 @@ FUSED_SQL = f"""{C}, {S}, top20 AS (SELECT * FROM (SELECT query_id, vec_id, scor
 vectors AS (SELECT * FROM top20 WHERE rank <= 10),
 keywords AS (SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY vec_id) AS rank FROM top20 WHERE vec_id % 2 = 0),
 summed AS (SELECT query_id, vec_id, round(sum(part), 12) AS score, min(place) AS place FROM (
-  SELECT query_id, vec_id, 0.5::DOUBLE / (60 + rank) AS part, rank AS place FROM vectors UNION ALL SELECT query_id, vec_id, 0.5::DOUBLE / (60 + rank), rank + 1000000 FROM keywords) GROUP BY query_id, vec_id),
+  SELECT query_id, vec_id, 0.5::DOUBLE / (60 + rank) AS part, rank AS place FROM vectors UNION ALL SELECT query_id, vec_id, 0.5::DOUBLE / (60 + rank), rank + 1000000000 FROM keywords) GROUP BY query_id, vec_id),
 fused AS (SELECT query_id, vec_id, score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, vec_id) AS INTEGER) AS rank FROM summed)"""
 
 
@@ -104,11 +104,74 @@ def reranked(spark: SparkSession, sf: str) -> DataFrame:
     return search.reranked(fused(spark, sf), 1 / (1 + F.col("vec_id") % 7))
 
 
+DIMENSION = 64
+RETRIEVE_FILTERS = {"page_number": {"$lte": 40}, "department": {"$nin": ["none"]}}
+
+
+def asked(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions with what their conversations say before them; every fourth turn has a model's rewrite."""
+    turns = conversation.with_history(fx.conversations(spark, sf)).filter((F.col("role") == "user") & (F.col("conv_id") % fx.QUERY_EVERY == 0))
+    own = turns.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "turn", "prior_turns", "last_user").join(fx.questions(spark, sf).select("query_id", "question"), "query_id")
+    return own.withColumn("rewrite", F.when(F.col("turn") % 4 == 2, F.concat(F.lit('"'), "question", F.lit(" "), "last_user", F.lit('"'))))
+
+
 def retrieved_pipeline(spark: SparkSession, sf: str) -> DataFrame:
-    """Search, threshold, boost, fusion with an empty keyword side, rerank."""
-    ranked = search.boosted(search.within_k(hinted(spark, sf)))
-    both = search.fused(ranked.select("query_id", "vec_id", "rank"), search.no_keyword_hits(fx.vector_queries(spark, sf)))
-    return search.reranked(both, 1 / (1 + F.col("vec_id") % 7))
+    """Questions of conversations over the lines of all documents: rewriting, intents, expansion, prefix, vectors, filters, threshold, boost, keywords, fusion, rerank. Questions that find nothing are rows with rank 0."""
+    chunks = fx.lines(spark, sf).withColumn("embedding", embed.hashed_vector(F.col("content"), DIMENSION))
+    questions = asked(spark, sf)
+    found = retrieval.retrieve(chunks, questions, lambda t: embed.hashed_vector(t, DIMENSION), lambda q, c: 1 / (1 + (F.length(q) + F.length(c)) % 7), filters=RETRIEVE_FILTERS)
+    none = search.without_results(questions, found).select("query_id", F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast("double").alias("score"), F.lit(0).alias("rank"))
+    return found.unionByName(none)
+
+
+_WORDS = [w for w in conversation.ANAPHORA if " " not in w]
+_PHRASES = "|".join(w for w in conversation.ANAPHORA if " " in w)
+
+
+def needs_sql(text: str) -> str:
+    """Whether a text points back to an earlier turn."""
+    return f"(list_has_any(list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda w: w <> ''), {_WORDS!r}) OR regexp_matches(lower({text}), '{_PHRASES}'))"
+
+
+_NEEDS = needs_sql("question")
+_HASHED = lambda t: rf"list_transform(range({DIMENSION}), lambda i: len(list_filter(list_transform(regexp_extract_all(lower({t}), '[\p{{L}}\p{{N}}_]{{2,}}'), lambda w: CAST(concat('0x', substring(md5(w), 1, 8)) AS BIGINT) % {DIMENSION}), lambda x: x = i))::DOUBLE)"
+_UNIT = "CASE WHEN list_inner_product(v, v) > 0 THEN list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) ELSE v END"
+RETRIEVED_SQL = f"""WITH {HINTS_SQL}, {fx.LINES_SQL}, said AS (
+  SELECT conv_id, turn, role, text, count(*) OVER earlier AS prior_turns, last_value(CASE WHEN role = 'user' THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') END IGNORE NULLS) OVER earlier AS last_user
+  FROM conversations WHERE text <> '' WINDOW earlier AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+), asked AS (
+  SELECT conv_id * 100 + turn AS query_id, turn, prior_turns, last_user, concat({list(fx.TEMPLATES)!r}[CAST((conv_id + turn) % {len(fx.TEMPLATES)} + 1 AS INTEGER)], ' ', text) AS question
+  FROM said WHERE role = 'user' AND conv_id % {fx.QUERY_EVERY} = 0
+), alone AS (
+  SELECT *, {INTENT_SQL} AS intent, CASE WHEN prior_turns >= 2 AND {_NEEDS} AND turn % 4 = 2 THEN coalesce(nullif(regexp_replace(concat(question, ' ', last_user), '^["'']+|["'']+$', '', 'g'), ''), question) ELSE question END AS rq FROM asked
+), expanded AS (
+  SELECT *, concat_ws(' ', rq, terms) AS ex FROM alone JOIN hints USING (intent)
+), ready AS (
+  SELECT *, CASE WHEN last_user IS NOT NULL AND last_user <> '' AND substring(lower(last_user), 1, 80) <> substring(lower(ex), 1, 80) THEN concat('Context: ', substring(last_user, 1, 120), ' | Question: ', ex) ELSE ex END AS enhanced FROM expanded
+), own AS (SELECT * FROM lines WHERE page_number <= 40 AND department NOT IN ('none')
+), cv AS (SELECT vec_id, {_UNIT} AS u FROM (SELECT vec_id, {_HASHED('content')} AS v FROM own)
+), qv AS (SELECT query_id, {_UNIT} AS u FROM (SELECT query_id, {_HASHED('enhanced')} AS v FROM ready)
+), scored AS (SELECT query_id, vec_id, round(list_inner_product(qv.u, cv.u), 6) AS score FROM qv, cv
+), near AS (
+  SELECT * FROM (SELECT query_id, vec_id, score, {RANKED} AS rank FROM scored WHERE score >= 0.3) JOIN ready USING (query_id) JOIN own USING (vec_id) WHERE rank <= CASE WHEN len(page_filter) > 0 THEN 20 ELSE 10 END
+), lifted AS (
+  SELECT query_id, vec_id, row_number() OVER (PARTITION BY query_id ORDER BY round(CASE WHEN coalesce(list_contains(page_filter, page_number), false) THEN score * coalesce(boost, 5.0) ELSE score END, 6) DESC, rank) AS rank FROM near
+), wanted AS (SELECT query_id, unnest(list_distinct({TOKENS.format('enhanced')})) AS term FROM ready
+), sized AS (SELECT vec_id, {TOKENS.format('content')} AS words FROM own
+), stats AS (SELECT count(*) AS docs, avg(len(words)) AS mean FROM sized
+), posted AS (SELECT vec_id, length, term, count(*) AS tf FROM (SELECT vec_id, len(words) AS length, unnest(words) AS term FROM sized) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL
+), dfs AS (SELECT term, count(*) AS df FROM posted GROUP BY term
+), keyed AS (SELECT query_id, vec_id, round(sum(ln(1 + (docs - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 6) AS score FROM wanted JOIN posted USING (term) JOIN dfs USING (term) CROSS JOIN stats GROUP BY query_id, vec_id
+), keywords AS (SELECT * FROM (SELECT query_id, vec_id, {RANKED} AS rank FROM keyed) WHERE rank <= 10
+), summed AS (
+  SELECT query_id, vec_id, round(sum(part), 12) AS score, min(place) AS place FROM (
+    SELECT query_id, vec_id, 0.5::DOUBLE / (60 + rank) AS part, rank AS place FROM lifted UNION ALL SELECT query_id, vec_id, 0.5::DOUBLE / (60 + rank), rank + 1000000000 FROM keywords) GROUP BY query_id, vec_id
+), fused AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, place, vec_id) AS rank FROM summed
+), final AS (
+  SELECT query_id, vec_id, score2 AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score2 DESC, rank, vec_id) AS INTEGER) AS rank
+  FROM (SELECT query_id, vec_id, rank, round(0.3::DOUBLE * score + 0.7::DOUBLE * (1 / CAST(1 + (length(question) + length(content)) % 7 AS DOUBLE)), 6) AS score2 FROM fused JOIN own USING (vec_id) JOIN asked USING (query_id))
+)
+SELECT * FROM final WHERE rank <= 5 UNION ALL SELECT query_id, NULL, NULL, 0 FROM asked WHERE query_id NOT IN (SELECT query_id FROM final)"""
 
 
 def unanswered(spark: SparkSession, sf: str) -> DataFrame:
@@ -118,26 +181,32 @@ def unanswered(spark: SparkSession, sf: str) -> DataFrame:
 def judged(spark: SparkSession, sf: str) -> DataFrame:
     """Ranking metrics of the exact search; relevant: the other vectors of the query's label. Two more queries have nothing relevant, or nothing retrieved."""
     chunks = fx.chunks(spark, sf)
-    queries = fx.vector_queries(spark, sf)
-    extra = spark.createDataFrame([(-1,), (-2,)], "query_id long")
-    relevant = queries.select("query_id", "query_label").join(chunks.select("vec_id", "label"), F.col("query_label") == F.col("label")).filter("query_id <> vec_id").select("query_id", F.col("vec_id").alias("id")).unionByName(spark.createDataFrame([(-2, 1)], "query_id long, id long"))
+    queries = fx.vector_queries(spark, sf).select("query_id", F.col("query_label").alias("label")).unionByName(spark.createDataFrame([(-1, None), (-2, -2)], "query_id long, label int"))
+    items = chunks.select(F.col("vec_id").alias("id"), "label").unionByName(spark.createDataFrame([(-3, -2)], "id long, label int"))
     retrieved = exact(spark, sf).select("query_id", "rank", F.col("vec_id").alias("id")).unionByName(spark.createDataFrame([(-1, 1, 1)], "query_id long, rank int, id long"))
-    return metrics.ranking(queries.select("query_id").unionByName(extra), retrieved, relevant)
+    return metrics.ranking_by_label(queries, retrieved, items)
 
 
-JUDGED_SQL = f"""{C}, {S}, retrieved AS (SELECT * FROM (SELECT query_id, vec_id AS id, {RANKED} AS rank FROM scored) WHERE rank <= 10 UNION ALL SELECT -1, 1, 1),
-relevant AS (SELECT query_id, vec_id AS id FROM scored WHERE label = query_label UNION ALL SELECT -2, 1),
-ids AS (SELECT vec_id AS query_id FROM embeddings WHERE vec_id % {fx.QUERY_EVERY} = 0 UNION ALL SELECT -1 UNION ALL SELECT -2),
+def ranking_sql(ids: str, retrieved: str, relevant: str) -> str:
+    """Ranking metrics as CTEs up to ``judged``, from selects of (query_id), (query_id, id, rank) and (query_id, id)."""
+    return f"""retrieved AS ({retrieved}), relevant AS ({relevant}), ids AS ({ids}),
 n AS (SELECT query_id, count(*) AS n FROM relevant GROUP BY query_id),
 found AS (SELECT r.query_id, count(DISTINCT r.id) FILTER (v.id IS NOT NULL AND rank <= 5) AS hk, count(DISTINCT r.id) FILTER (v.id IS NOT NULL) AS h, count(DISTINCT r.id) AS nr,
   min(rank) FILTER (v.id IS NOT NULL) AS first, coalesce(sum(1 / log2(rank + 1.0::DOUBLE)) FILTER (v.id IS NOT NULL AND rank <= 5), 0) AS dcg
   FROM retrieved r LEFT JOIN relevant v ON r.query_id = v.query_id AND r.id = v.id GROUP BY r.query_id),
-m AS (SELECT query_id, coalesce(hk, 0) / 5.0::DOUBLE AS p, CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE coalesce(hk, 0) / CAST(n AS DOUBLE) END AS r, coalesce(1.0::DOUBLE / first, 0) AS mrr,
+m AS (SELECT ids.query_id, coalesce(hk, 0) / 5.0::DOUBLE AS p, CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE coalesce(hk, 0) / CAST(n AS DOUBLE) END AS r, coalesce(1.0::DOUBLE / first, 0) AS mrr,
   CASE WHEN coalesce(n, 0) = 0 THEN 0 ELSE coalesce(dcg, 0) / list_sum(list_transform(range(1, least(n, 5) + 1), lambda i: 1 / log2(i + 1.0::DOUBLE))) END AS ndcg,
-  CASE WHEN coalesce(nr, 0) = 0 THEN 1.0 ELSE h / CAST(nr AS DOUBLE) END AS cp, CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE coalesce(h, 0) / CAST(n AS DOUBLE) END AS cr
+  CASE WHEN coalesce(nr, 0) = 0 THEN 1.0 ELSE h / CAST(nr AS DOUBLE) END AS cp, CASE WHEN coalesce(n, 0) = 0 THEN 1.0 ELSE coalesce(h, 0) / CAST(n AS DOUBLE) END AS cr, coalesce(nr, 0) AS n_retrieved
   FROM ids LEFT JOIN found USING (query_id) LEFT JOIN n USING (query_id)),
 judged AS (SELECT query_id, round(CAST(p AS DOUBLE), 6) AS precision, round(CAST(r AS DOUBLE), 6) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 6) AS f1, round(mrr, 6) AS mrr, round(CAST(ndcg AS DOUBLE), 6) AS ndcg,
-  round(CAST(cp AS DOUBLE), 6) AS context_precision, round(CAST(cr AS DOUBLE), 6) AS context_recall, round(CASE WHEN cp + cr > 0 THEN 2 * cp * cr / (cp + cr) ELSE 0 END, 6) AS context_f1 FROM m)"""
+  round(CAST(cp AS DOUBLE), 6) AS context_precision, round(CAST(cr AS DOUBLE), 6) AS context_recall, round(CASE WHEN cp + cr > 0 THEN 2 * cp * cr / (cp + cr) ELSE 0 END, 6) AS context_f1, n_retrieved FROM m)"""
+
+
+JUDGED_SQL = f"{C}, {S}, " + ranking_sql(
+    f"SELECT vec_id AS query_id FROM embeddings WHERE vec_id % {fx.QUERY_EVERY} = 0 UNION ALL SELECT -1 UNION ALL SELECT -2",
+    f"SELECT * FROM (SELECT query_id, vec_id AS id, {RANKED} AS rank FROM scored) WHERE rank <= 10 UNION ALL SELECT -1, 1, 1",
+    "SELECT query_id, vec_id AS id FROM scored WHERE label = query_label UNION ALL SELECT -2, -3",
+)
 METRICS = {"m1_precision": ["precision"], "m2_recall": ["recall"], "m3_f1": ["f1"], "m4_mrr": ["mrr"], "m5_ndcg": ["ndcg"], "m11_context_precision": ["context_precision"], "m12_context_recall": ["context_recall"], "m13_context_f1": ["context_f1"]}
 
 
@@ -145,14 +214,6 @@ def _metric(columns):
     return lambda spark, sf: judged(spark, sf).select("query_id", *columns)
 
 
-def run_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.summary(judged(spark, sf))
-
-
-SUMMARY_SQL = f"""WITH {JUDGED_SQL} SELECT count(*) AS total, round(avg(round(precision, 3)), 6) AS mean_precision, round(avg(round(recall, 3)), 6) AS mean_recall, round(avg(round(ndcg, 3)), 6) AS mean_ndcg, round(avg(round(mrr, 3)), 6) AS mean_mrr,
-  round(avg(round(context_precision, 3)), 6) AS mean_context_precision, round(avg(round(precision, 3)), 6) >= 0.7 AS precision_passes, round(avg(round(recall, 3)), 6) >= 0.7 AS recall_passes, round(avg(round(ndcg, 3)), 6) >= 0.75 AS ndcg_passes FROM judged"""
-
-
 def normalised(spark: SparkSession, sf: str) -> DataFrame:
     unit = F.transform(search.normalise(F.transform("embedding", lambda x: x * 3.0)), lambda x: F.round(x, 5))
     return fx.chunks(spark, sf).select("vec_id", F.round(F.aggregate(unit, F.lit(0.0), lambda a, x: a + x * x), 3).alias("squares"), F.size(unit).alias("n"))
@@ -164,8 +225,6 @@ def dimensions(spark: SparkSession, sf: str) -> DataFrame:
     return good.select("vec_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("vec_id", "reason"))
 
 
-
-
 QUERIES = {
     "j1_exact_topk": exact,
     "j1_exact_topk_filtered": exact_filtered,
@@ -181,7 +240,6 @@ QUERIES = {
     "f6_threshold": lambda spark, sf: above(exact(spark, sf), 0.30),
     "e3_normalise": normalised,
     "e4_dimension": dimensions,
-    "m20_run_summary": run_summary,
     **{n: _filter(f) for n, (f, _) in FILTERS.items()},
     **{n: _metric(c) for n, c in METRICS.items()},
 }
@@ -196,13 +254,12 @@ SQL = {
     "j6_intent_boost": f"WITH {HINTED_SQL} SELECT query_id, vec_id, score2 AS score, CAST(rank2 AS INTEGER) AS rank, intent FROM boosted",
     "j7_rank_fusion": f"WITH {FUSED_SQL} SELECT * FROM fused",
     "j8_rerank": f"WITH {FUSED_SQL} SELECT * FROM (SELECT query_id, vec_id, score2 AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score2 DESC, rank, vec_id) AS INTEGER) AS rank FROM (SELECT *, round(0.3::DOUBLE * score + 0.7::DOUBLE * (1 / CAST(1 + vec_id % 7 AS DOUBLE)), 6) AS score2 FROM fused)) WHERE rank <= 5",
-    "j9_retrieve": f"WITH {HINTED_SQL}, fused AS (SELECT query_id, vec_id, round(0.5::DOUBLE / (60 + rank2), 12) AS score, rank2 AS rank FROM boosted) SELECT * FROM (SELECT query_id, vec_id, score2 AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score2 DESC, rank, vec_id) AS INTEGER) AS rank FROM (SELECT *, round(0.3::DOUBLE * score + 0.7::DOUBLE * (1 / CAST(1 + vec_id % 7 AS DOUBLE)), 6) AS score2 FROM fused)) WHERE rank <= 5",
+    "j9_retrieve": RETRIEVED_SQL,
     "j10_no_results": f"WITH {C}, {S} SELECT vec_id AS query_id, 'no_documents' AS status FROM embeddings WHERE vec_id % {fx.QUERY_EVERY} = 0 AND vec_id NOT IN (SELECT query_id FROM scored WHERE score >= 0.45)",
     "j11_chunk_by_id": f"WITH {C} SELECT {', '.join(SHOWN)}, content FROM chunks WHERE chunk_id = '7_3'",
     "f6_threshold": f"WITH {C}, {S} SELECT * FROM (SELECT query_id, vec_id, score, CAST({RANKED} AS INTEGER) AS rank FROM scored) WHERE rank <= 10 AND score >= 0.3",
     "e3_normalise": f"WITH {C}, u AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 3.0) AS v FROM chunks), w AS (SELECT vec_id, list_transform(v, lambda x: round(x / sqrt(list_inner_product(v, v)), 5)) AS v FROM u) SELECT vec_id, round(list_inner_product(v, v), 3) AS squares, CAST(len(v) AS INTEGER) AS n FROM w",
     "e4_dimension": "SELECT vec_id, CASE WHEN vec_id % 9 = 0 THEN 'dimension 60, expected 64' END AS reason FROM embeddings",
-    "m20_run_summary": SUMMARY_SQL,
     **{n: f"WITH {C} SELECT {', '.join(SHOWN)} FROM chunks WHERE {w}" for n, (_, w) in FILTERS.items()},
     **{n: f"WITH {JUDGED_SQL} SELECT query_id, {', '.join(c)} FROM judged" for n, c in METRICS.items()},
 }

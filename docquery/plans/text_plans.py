@@ -53,20 +53,21 @@ HITS_SQL = f"""{C}, {S}, hits AS (SELECT query_id, vec_id, document_id, filename
 
 
 def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    """(query_id, question, answer, reference, context, ground_truth): a user's turn, the answer to it, the conversation's last turn, all of the conversation."""
+    """(query_id, question, answer, cited, reference, context, ground_truth): a user's turn, the answer to it, the conversation's last turn, the six turns before with the question (and in every other conversation the answer)."""
     c = fx.conversations(spark, sf)
-    whole = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("context"), F.max_by("text", "turn").alias("reference"))
-    after = Window.partitionBy("conv_id").orderBy("turn")
-    said = c.withColumns({"answer": F.lead("text").over(after), "who": F.lead("role").over(after)}).filter("role = 'user' and who = 'assistant'")
+    last = c.groupBy("conv_id").agg(F.max_by("text", "turn").alias("reference"))
+    by = Window.partitionBy("conv_id").orderBy("turn")
+    said = c.withColumns({"answer": F.lead("text").over(by), "who": F.lead("role").over(by), "before": F.array_join(F.collect_list("text").over(by.rowsBetween(-6, 0)), "\n")}).filter("role = 'user' and who = 'assistant'")
     cited = F.when(F.col("turn") % 5 != 4, F.concat(F.col("answer"), F.lit(" [Source 1: "), F.regexp_extract("answer", r"(\S+)", 1), F.lit(", Page 2] [Source 2: zz"), F.col("conv_id"), F.lit("]"))).otherwise(F.col("answer"))
-    return said.join(whole, "conv_id").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("question"), "answer", cited.alias("cited"), "reference", "context", F.when(F.col("conv_id") % 3 != 0, F.col("reference")).alias("ground_truth"))
+    context = F.when(F.col("conv_id") % 2 == 0, F.concat_ws("\n", "before", "answer")).otherwise(F.col("before"))
+    return said.join(last, "conv_id").select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), F.col("text").alias("question"), "answer", cited.alias("cited"), "reference", context.alias("context"), F.when(F.col("conv_id") % 3 != 0, F.col("reference")).alias("ground_truth"))
 
 
-PAIRS_SQL = r"""whole AS (SELECT conv_id, string_agg(text, chr(10) ORDER BY turn) AS context, arg_max(text, turn) AS reference FROM conversations GROUP BY conv_id),
-said AS (SELECT *, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS who FROM conversations),
-pairs AS (SELECT conv_id * 100 + turn AS query_id, text AS question, answer, CASE WHEN turn % 5 <> 4 THEN concat(answer, ' [Source 1: ', regexp_extract(answer, '(\S+)', 1), ', Page 2] [Source 2: zz', conv_id, ']') ELSE answer END AS cited, reference, context, CASE WHEN conv_id % 3 <> 0 THEN reference END AS ground_truth
-  FROM said JOIN whole USING (conv_id) WHERE role = 'user' AND who = 'assistant')"""
-_STOPS = ", ".join(f"'{w}'" for w in metrics.STOP_WORDS)
+PAIRS_SQL = r"""last AS (SELECT conv_id, arg_max(text, turn) AS reference FROM conversations GROUP BY conv_id),
+said AS (SELECT *, lead(text) OVER w AS answer, lead(role) OVER w AS who, array_to_string(list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), chr(10)) AS before FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+pairs AS (SELECT conv_id * 100 + turn AS query_id, text AS question, answer, CASE WHEN turn % 5 <> 4 THEN concat(answer, ' [Source 1: ', regexp_extract(answer, '(\S+)', 1), ', Page 2] [Source 2: zz', conv_id, ']') ELSE answer END AS cited, reference, CASE WHEN conv_id % 2 = 0 THEN concat_ws(chr(10), before, answer) ELSE before END AS context, CASE WHEN conv_id % 3 <> 0 THEN reference END AS ground_truth
+  FROM said JOIN last USING (conv_id) WHERE role = 'user' AND who = 'assistant')"""
+_STOPS = ", ".join(f"'{w}'" for w in metrics.stop_words())
 
 
 def _topics(text: str) -> str:
@@ -77,7 +78,7 @@ def _n(words: str) -> str:
     return f"map_from_entries(list_transform(list_distinct({words}), lambda w: struct_pack(k := w, v := len(list_filter({words}, lambda z: z = w)))))"
 
 
-def _similarity(x: str, y: str) -> str:
+def similarity_sql(x: str, y: str) -> str:
     """Of two count maps (columns)."""
     norm = lambda a, b: f"sqrt(list_sum(list_transform(map_keys({a}), lambda w: ({a}[w] * CASE WHEN map_contains({b}, w) THEN 1.0::DOUBLE ELSE 1.4054651081081644::DOUBLE END) ** 2)))"
     return f"CASE WHEN cardinality({x}) = 0 OR cardinality({y}) = 0 THEN 0.0::DOUBLE ELSE coalesce(list_sum(list_transform(map_keys({x}), lambda w: CAST({x}[w] * coalesce({y}[w], 0) AS DOUBLE))) / ({norm(x, y)} * {norm(y, x)}), 0) END"
@@ -86,7 +87,11 @@ def _similarity(x: str, y: str) -> str:
 COUNTED_SQL = f"""{PAIRS_SQL}, counted AS (SELECT *, {_n('tq')} AS q, {_n('ta')} AS a, {_n('tc')} AS c, {_n('tr')} AS r FROM (SELECT *, {_topics('question')} AS tq, {_topics('answer')} AS ta, {_topics('context')} AS tc, {_topics('reference')} AS tr FROM pairs))"""
 FAITHFUL_SQL = rf"""{COUNTED_SQL}, sentences AS (SELECT query_id, unnest(list_filter(list_transform(regexp_split_to_array(answer, '[.!?]+'), lambda s: regexp_replace(s, '^\s+|\s+$', '', 'g')), lambda s: s <> '')) AS s FROM pairs),
 scored AS (SELECT query_id, {_n('ts')} AS s FROM (SELECT query_id, {_topics('s')} AS ts FROM sentences)),
-faithful AS (SELECT p.query_id, coalesce(avg(CASE WHEN s IS NULL THEN NULL WHEN {_similarity('scored.s', 'p.c')} >= 0.4 THEN 1.0::DOUBLE ELSE 0 END), 0) AS faithfulness FROM counted p LEFT JOIN scored USING (query_id) GROUP BY p.query_id)"""
+faithful AS (SELECT p.query_id, coalesce(avg(CASE WHEN s IS NULL THEN NULL WHEN {similarity_sql('scored.s', 'p.c')} >= 0.4 THEN 1.0::DOUBLE ELSE 0 END), 0) AS faithfulness FROM counted p LEFT JOIN scored USING (query_id) GROUP BY p.query_id)"""
+HALLUCINATED_SQL = f"""numbers AS (SELECT *, list_distinct(regexp_extract_all(answer, '[0-9]+')) AS x, regexp_extract_all(context, '[0-9]+') AS y FROM counted),
+hallucinated_ AS (SELECT query_id, coalesce(len(list_filter(x, lambda v: NOT list_contains(y, v))) / nullif(len(x), 0)::DOUBLE > 0.3, false) OR {similarity_sql('a', 'c')} < 0.3 AS hallucinated FROM numbers)"""
+CITED_SQL = r"""cites AS (SELECT query_id, context, regexp_extract_all(cited, '\[Source [0-9]+: ([^\]]+)\]', 1) AS cs FROM pairs),
+cited_ AS (SELECT query_id, CASE WHEN len(cs) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(cs, lambda c: contains(context, c) OR len(list_filter(list_filter(regexp_split_to_array(c, '\s+'), lambda w: w <> '')[1:2], lambda w: contains(context, w))) > 0)) / len(cs)::DOUBLE END AS citation_accuracy FROM cites)"""
 _W = lambda c: rf"list_filter(regexp_split_to_array(lower({c}), '\s+'), lambda w: w <> '')"
 _R = lambda c: f"regexp_extract_all(lower({c}), '[a-z0-9]+')"
 
@@ -99,9 +104,29 @@ def _clipped(a: str, b: str) -> str:
     return f"coalesce(list_sum(list_transform(list_distinct({a}), lambda g: least(len(list_filter({a}, lambda z: z = g)), len(list_filter({b}, lambda z: z = g))))), 0)"
 
 
-BLEU_SQL = f"""WITH {PAIRS_SQL}, w AS (SELECT query_id, {_W('reference')} AS r, {_W('answer')} AS h FROM pairs), g AS (SELECT query_id, r, h, {', '.join(f'{_grams("r", n)} AS r{n}, {_grams("h", n)} AS h{n}' for n in range(1, 5))} FROM w),
-m AS (SELECT query_id, len(r) AS nr, len(h) AS nh, {', '.join(f'{_clipped(f"h{n}", f"r{n}")} AS m{n}, greatest(len(h{n}), 1) AS t{n}' for n in range(1, 5))} FROM g)
-SELECT query_id, round(CASE WHEN m1 = 0 THEN 0.0::DOUBLE ELSE CASE WHEN nh > nr THEN 1.0::DOUBLE ELSE exp(1 - nr / nh::DOUBLE) END * exp(({' + '.join(f'ln((CASE WHEN m{n} = 0 THEN 0.1::DOUBLE ELSE m{n}::DOUBLE END) / t{n})' for n in range(1, 5))}) / 4) END, 6) AS bleu FROM m"""
+def bleu_sql(source: str) -> str:
+    """BLEU as CTEs up to ``bleu_`` (query_id, bleu), from a select of (query_id, reference, answer)."""
+    grams = ", ".join(f'{_grams("r", n)} AS r{n}, {_grams("h", n)} AS h{n}' for n in range(1, 5))
+    found = ", ".join(f'{_clipped(f"h{n}", f"r{n}")} AS m{n}, greatest(len(h{n}), 1) AS t{n}' for n in range(1, 5))
+    logs = " + ".join(f"ln((CASE WHEN m{n} = 0 THEN 0.1::DOUBLE ELSE m{n}::DOUBLE END) / t{n})" for n in range(1, 5))
+    return f"""bleu_w AS (SELECT query_id, {_W('reference')} AS r, {_W('answer')} AS h FROM ({source})), bleu_g AS (SELECT query_id, r, h, {grams} FROM bleu_w),
+bleu_m AS (SELECT query_id, len(r) AS nr, len(h) AS nh, {found} FROM bleu_g),
+bleu_ AS (SELECT query_id, CASE WHEN m1 = 0 THEN 0.0::DOUBLE ELSE CASE WHEN nh > nr THEN 1.0::DOUBLE ELSE exp(1 - nr / nh::DOUBLE) END * exp(({logs}) / 4) END AS bleu FROM bleu_m)"""
+
+
+def rouge_l_sql(source: str) -> str:
+    """ROUGE-L as CTEs up to ``rouge_`` (query_id, rouge_l): one row of the table of common subsequences a step; a cell is the greatest of all that may be carried to it."""
+    cell = "greatest(row[j + 1], CASE WHEN r[j] = h[i + 1] THEN row[j] + 1 ELSE 0 END)"
+    return f"""lcs_w AS (SELECT query_id, {_R('reference')} AS r, {_R('answer')} AS h FROM ({source})),
+lcs_fold AS (
+  SELECT query_id, 0 AS i, list_transform(range(len(r) + 1), lambda x: 0) AS row FROM lcs_w
+  UNION ALL SELECT query_id, i + 1, list_concat([0], list_transform(range(1, len(c) + 1), lambda j: CAST(list_max(c[1:j]) AS INTEGER)))
+  FROM (SELECT query_id, i, list_transform(range(1, len(r) + 1), lambda j: CAST({cell} AS INTEGER)) AS c FROM lcs_fold JOIN lcs_w USING (query_id) WHERE i < len(h))
+),
+rouge_ AS (SELECT query_id, coalesce(2 * (n / nh) * (n / nr) / nullif(n / nh + n / nr, 0), 0) AS rouge_l FROM (SELECT query_id, coalesce(row[len(r) + 1], 0)::DOUBLE AS n, nullif(len(h), 0) AS nh, nullif(len(r), 0) AS nr FROM lcs_fold JOIN lcs_w USING (query_id) WHERE i = len(h)))"""
+
+
+BLEU_SQL = f"WITH {PAIRS_SQL}, {bleu_sql('SELECT query_id, reference, answer FROM pairs')} SELECT query_id, round(bleu, 6) AS bleu FROM bleu_"
 ROUGE_SQL = f"""WITH {PAIRS_SQL}, w AS (SELECT query_id, {_R('reference')} AS r, {_R('answer')} AS h FROM pairs), g AS (SELECT query_id, r, h, {_grams('r', 2)} AS r2, {_grams('h', 2)} AS h2 FROM w), m AS (SELECT query_id, len(r) AS nr, len(h) AS nh, len(r2) AS nr2, len(h2) AS nh2, {_clipped('h', 'r')}::DOUBLE AS m1, {_clipped('h2', 'r2')}::DOUBLE AS m2 FROM g)
 SELECT query_id, round(coalesce(2 * (m1 / nullif(nh, 0)) * (m1 / nullif(nr, 0)) / nullif(m1 / nullif(nh, 0) + m1 / nullif(nr, 0), 0), 0), 6) AS rouge1, round(coalesce(2 * (m2 / nullif(nh2, 0)) * (m2 / nullif(nr2, 0)) / nullif(m2 / nullif(nh2, 0) + m2 / nullif(nr2, 0), 0), 0), 6) AS rouge2 FROM m"""
 
@@ -134,8 +159,7 @@ RECORDS_SQL = r"""SELECT table_id, CAST(row_idx AS INTEGER) AS row_idx, key, CAS
 
 
 def packed(spark: SparkSession, sf: str) -> DataFrame:
-    b = blocks(spark, sf)
-    return chunking.pack_blocks(b, 120, 25, 30)
+    return chunking.pack_blocks(blocks(spark, sf), 120, 25, 30)
 
 
 def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
@@ -143,18 +167,83 @@ def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return fx.files(spark, sf).select("document_id", F.posexplode(parts).alias("chunk_index", "content"))
 
 
-def record_counts(spark: SparkSession, sf: str) -> DataFrame:
+def records(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks of all files with their metadata, and a table chunk for each file of one type."""
     files = fx.files(spark, sf)
-    text = chunking.chunk_records(chunking.pack_blocks(blocks(spark, sf)), files).select("document_id", "chunk_type")
+    text = chunking.chunk_records(chunking.pack_blocks(blocks(spark, sf)), files)
     tables = files.filter("file_type = 'md'").select("document_id", F.lit("table").alias("chunk_type"), F.lit(1).alias("row_count"))
-    return chunking.ingest_counts(files, chunking.combined(text, tables))
+    return chunking.combined(text, tables)
+
+
+_STRIP = lambda t: rf"regexp_replace({t}, '^\s+|\s+$', '', 'g')"
+_SPLIT = lambda t: rf"string_split(regexp_replace({t}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+def _overlap(text: str, overlap: int) -> str:
+    """The longest run of whole sentences at the end that fits: the first of all runs that do, longest first."""
+    runs = f"list_transform(range(1, len({_SPLIT(text)}) + 1), lambda o: concat(array_to_string(({_SPLIT(text)})[o:], ' '), ' '))"
+    return f"CASE WHEN {text} = '' THEN '' ELSE coalesce(list_filter({runs}, lambda z: length(z) // 4 <= {overlap})[1], '') END"
+
+
+def sentences_sql(source: str, size: int, overlap: int) -> str:
+    """Packing by sentences, and by words where one is too long, as CTEs up to ``packed_sentences`` (id, step, part, content), from a select of (id, text); one sentence, or word, a step."""
+    return rf"""split_ AS (SELECT id, {_SPLIT('text')} AS ss FROM ({source})),
+sents AS (SELECT id, unnest(ss) AS s, unnest(range(len(ss))) AS k, len(ss) AS n FROM split_),
+longs AS (SELECT row_number() OVER () AS n, s, list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '') AS ws FROM (SELECT DISTINCT s FROM sents WHERE length(s) // 4 > {size})),
+word_fold AS (
+  SELECT n, 0 AS i, '' AS cur, NULL::VARCHAR AS done FROM longs
+  UNION ALL SELECT n, i + 1, CASE WHEN full_ THEN w ELSE longer END, CASE WHEN full_ AND cur <> '' THEN cur END
+  FROM (SELECT *, length(longer) // 4 >= {size} AS full_ FROM (SELECT f.n, i, cur, ws[i + 1] AS w, CASE WHEN cur = '' THEN ws[i + 1] ELSE concat(cur, ' ', ws[i + 1]) END AS longer FROM word_fold f JOIN longs USING (n) WHERE i < len(ws)))
+),
+word_parts AS (
+  SELECT s, list_concat(coalesce(list(done ORDER BY i) FILTER (done IS NOT NULL), []), list(cur) FILTER (i = len(ws) AND cur <> '')) AS parts FROM word_fold JOIN longs USING (n) GROUP BY s
+),
+sentence_fold AS (
+  SELECT id, 0::BIGINT AS i, '' AS cur, []::VARCHAR[] AS done FROM split_
+  UNION ALL SELECT id, i + 1,
+    CASE WHEN length(longer) // 4 <= {size} THEN longer WHEN length(s) // 4 > {size} THEN '' ELSE concat({_overlap('cur', overlap)}, s, ' ') END,
+    CASE WHEN length(longer) // 4 <= {size} THEN [] ELSE list_concat(CASE WHEN cur <> '' THEN [{_STRIP('cur')}] ELSE [] END, CASE WHEN length(s) // 4 > {size} THEN coalesce(parts, []) ELSE [] END) END
+  FROM (SELECT x.*, w.parts FROM (SELECT f.id, i, cur, s, concat(cur, s, ' ') AS longer FROM sentence_fold f JOIN sents t ON t.id = f.id AND t.k = f.i) x LEFT JOIN word_parts w ON w.s = x.s AND length(x.s) // 4 > {size})
+),
+packed_sentences AS (
+  SELECT id, i AS step, unnest(range(len(done))) AS part, unnest(done) AS content FROM sentence_fold
+  UNION ALL SELECT id, i + 1, 0, {_STRIP('cur')} FROM sentence_fold JOIN split_ USING (id) WHERE i = len(ss) AND {_STRIP('cur')} <> ''
+)"""
+
+
+def blocks_sql(size: int, overlap: int, least: int) -> str:
+    """Packing of blocks as CTEs up to ``chunks_`` (document_id, chunk_index, content, pages, sections), one block a step."""
+    piece = lambda t, split="false": f"[struct_pack(t := {t}, p := pages, s := sections, split := {split})]"
+    closed = f"CASE WHEN enough THEN {piece(_STRIP('cur'))} ELSE [] END"
+    return f"""{BLOCKS_SQL}, placed AS (SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY block_idx) - 1 AS i, type, text, [page_number] AS page, CASE WHEN section = '' THEN [] ELSE [section] END AS section FROM blocks),
+block_fold AS (
+  SELECT DISTINCT document_id, 0::BIGINT AS i, '' AS cur, []::INTEGER[] AS pages, []::VARCHAR[] AS sections, []::STRUCT(t VARCHAR, p INTEGER[], s VARCHAR[], split BOOLEAN)[] AS done FROM placed
+  UNION ALL SELECT document_id, i + 1,
+    CASE WHEN type = 'heading' THEN concat(text, chr(10), chr(10)) WHEN fits THEN longer WHEN large THEN '' ELSE concat({_overlap('cur', overlap)}, text, chr(10), chr(10)) END,
+    CASE WHEN type = 'heading' THEN page WHEN fits THEN CASE WHEN list_contains(pages, page[1]) THEN pages ELSE list_concat(pages, page) END WHEN large THEN [] ELSE page END,
+    CASE WHEN type = 'heading' THEN section WHEN fits THEN CASE WHEN len(section) = 0 OR list_contains(sections, section[1]) THEN sections ELSE list_concat(sections, section) END WHEN large THEN [] ELSE section END,
+    CASE WHEN type = 'heading' THEN CASE WHEN enough THEN {piece('cur')} ELSE [] END WHEN fits THEN [] WHEN large THEN list_concat({closed}, [struct_pack(t := text, p := page, s := section, split := true)]) ELSE {closed} END
+  FROM (SELECT f.document_id, f.i, cur, pages, sections, type, text, page, section, concat(cur, text, chr(10), chr(10)) AS longer, cur <> '' AND length(cur) // 4 >= {least} AS enough,
+    length(concat(cur, text, chr(10), chr(10))) // 4 <= {size} AS fits, length(text) // 4 > {size} AS large FROM block_fold f JOIN placed b ON b.document_id = f.document_id AND b.i = f.i)
+),
+pieces AS (
+  SELECT document_id, i AS step, unnest(range(len(done))) AS part, unnest(done) AS c FROM block_fold
+  UNION ALL SELECT document_id, i + 1, 0, struct_pack(t := {_STRIP('cur')}, p := pages, s := sections, split := false) FROM block_fold f WHERE i = (SELECT count(*) FROM placed b WHERE b.document_id = f.document_id) AND cur <> '' AND length(cur) // 4 >= {least}
+),
+numbered AS (SELECT row_number() OVER () AS id, document_id, step, part, c FROM pieces),
+{sentences_sql('SELECT id, c.t AS text FROM numbered WHERE c.split', size, overlap)},
+found_ AS (
+  SELECT document_id, step, part, 0 AS inner_step, 0 AS inner_part, c.t AS content, c.p AS pages, c.s AS sections FROM numbered WHERE NOT c.split
+  UNION ALL SELECT document_id, n.step, n.part, q.step, q.part, q.content, c.p, c.s FROM numbered n JOIN packed_sentences q USING (id)
+),
+chunks_ AS (SELECT document_id, CAST(row_number() OVER (PARTITION BY document_id ORDER BY step, part, inner_step, inner_part) - 1 AS INTEGER) AS chunk_index, content, pages, sections FROM found_)"""
 
 
 QUERIES = {
     "p1_paragraphs": lambda spark, sf: chunking.paragraphs(marked(spark, sf)),
     "p2_page_blocks": lambda spark, sf: chunking.page_blocks(pages(spark, sf)),
     "p3_sections": lambda spark, sf: blocks(spark, sf).select("document_id", "block_idx", "section"),
-    "p6_document_stats": lambda spark, sf: chunking.document_stats(blocks(spark, sf)),
+    "p6_document_stats": lambda spark, sf: chunking.document_stats(blocks(spark, sf), blocks(spark, sf).filter("block_idx % 5 = 3").select("document_id")),
     "t1_t2_clean_table": lambda spark, sf: clean(spark, sf).select("table_id", "name", F.array_join("headers", "|").alias("headers"), F.array_join(F.transform("rows", lambda r: F.array_join(r, "~")), "\n").alias("rows")),
     "t3_row_text_indented": lambda spark, sf: clean(spark, sf).select("table_id", tb.row_text("  ").alias("content")),
     "t4_row_text": lambda spark, sf: clean(spark, sf).select("table_id", tb.row_text().alias("content")),
@@ -164,9 +253,10 @@ QUERIES = {
     "t8_table_chunk": lambda spark, sf: tb.table_chunks(clean(spark, sf)).select("table_id", "chunk_type", "row_count", F.md5("content").alias("content_md5")),
     "t9_row_chunks": lambda spark, sf: tb.row_chunks(clean(spark, sf)).select("table_id", "row_range", "content"),
     "k1_token_count": lambda spark, sf: fx.files(spark, sf).select("document_id", chunking.count_tokens(F.col("text")).alias("tokens")),
-    "k2_pack_blocks": packed,
+    "k2_pack_blocks": lambda spark, sf: packed(spark, sf).select("document_id", "chunk_index", "content", F.array_join(F.col("page_numbers").cast("array<string>"), ",").alias("page_numbers"), F.array_join("sections", "|").alias("sections"), "token_count"),
     "k3_k5_sentence_chunks": sentence_chunks,
-    "k6_k7_ingest_counts": record_counts,
+    "k6_chunk_records": lambda spark, sf: records(spark, sf).select("document_id", "chunk_id", "chunk_type", "filename", "department", "token_count", "row_count"),
+    "k7_ingest_counts": lambda spark, sf: chunking.ingest_counts(fx.files(spark, sf), records(spark, sf)),
     "e1_prefix": lambda spark, sf: fx.files(spark, sf).select("document_id", F.md5(embed.with_prefix(F.col("text"), "bge-m3")).alias("with_prefix"), F.md5(embed.with_prefix(F.col("text"), "other")).alias("without")),
     "e2_hashed_vectors": lambda spark, sf: fx.conversations(spark, sf).select("conv_id", "turn", F.transform(embed.hashed_vector(F.col("text"), 16), lambda x: F.round(x, 6)).alias("v")).select("conv_id", "turn", *[F.element_at("v", i + 1).alias(f"v{i}") for i in (0, 3, 7, 15)]),
     "x1_context": lambda spark, sf: context.contexts(hits(spark, sf)),
@@ -174,10 +264,10 @@ QUERIES = {
     "x3_sources": lambda spark, sf: context.sources(hits(spark, sf)),
     "m6_bleu": _pair(bleu=lambda: metrics.bleu(F.col("reference"), F.col("answer"))),
     "m7_rouge": _pair(rouge1=lambda: metrics.rouge_n(F.col("reference"), F.col("answer"), 1), rouge2=lambda: metrics.rouge_n(F.col("reference"), F.col("answer"), 2)),
-    "m7_rouge_l": _pair(rouge_l=lambda: metrics.rouge_l(F.col("question"), F.col("answer"))),
+    "m7_rouge_l": _pair(rouge_l=lambda: metrics.rouge_l(F.col("reference"), F.col("answer"))),
     "m8_m9_similarity": _pair(similarity=lambda: metrics.similarity(F.col("answer"), F.col("context")), relevancy=lambda: metrics.similarity(F.col("question"), F.col("answer"))),
     "m10_faithfulness": _pair(faithfulness=lambda: metrics.faithfulness(F.col("answer"), F.col("context"))),
-    "m14_hallucination": _pair(hallucinated=lambda: metrics.hallucinated(F.col("answer"), F.col("question"))),
+    "m14_hallucination": _pair(hallucinated=lambda: metrics.hallucinated(F.col("answer"), F.col("context"))),
     "m15_citations": _pair(citation_accuracy=lambda: metrics.citation_accuracy(F.col("cited"), F.col("context"))),
     "m16_correctness": _pair(correctness=lambda: metrics.correctness(F.col("answer"), F.col("ground_truth"), F.col("context"))),
 }
@@ -186,7 +276,42 @@ SQL = {
     "p1_paragraphs": f"WITH {BLOCKS_SQL} SELECT document_id, CAST(block_idx AS INTEGER) AS block_idx, type, text FROM blocks",
     "p2_page_blocks": f"WITH {PAGES_SQL} SELECT document_id, page_number, type, text, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, place) - 1 AS INTEGER) AS block_idx FROM found WHERE text IS NOT NULL",
     "p3_sections": f"WITH {BLOCKS_SQL} SELECT document_id, CAST(block_idx AS INTEGER) AS block_idx, section FROM blocks",
-    "p6_document_stats": f"WITH {BLOCKS_SQL} SELECT document_id, count(*) AS blocks, count(*) FILTER (type = 'heading') AS headings, max(page_number) AS page_count, CAST(sum(length(text)) AS BIGINT) AS character_count FROM blocks GROUP BY document_id",
+    "p6_document_stats": f"WITH {BLOCKS_SQL} SELECT document_id, count(*) AS blocks, count(*) FILTER (type = 'heading') AS headings, count(*) FILTER (type = 'paragraph') AS paragraph_count, count(*) FILTER (block_idx % 5 = 3) AS table_count, max(page_number) AS page_count, CAST(sum(length(text)) AS BIGINT) AS character_count FROM blocks GROUP BY document_id",
+    "t1_t2_clean_table": f"WITH {CLEAN_SQL} SELECT table_id, name, array_to_string(headers, '|') AS headers, array_to_string(list_transform(rows, lambda r: array_to_string(r, '~')), chr(10)) AS rows FROM clean",
+    "t3_row_text_indented": f"WITH {CLEAN_SQL} SELECT table_id, replace(content, '@@', '  ') AS content FROM texts",
+    "t4_row_text": f"WITH {CLEAN_SQL} SELECT table_id, replace(content, '@@', '') AS content FROM texts",
+    "t5_records": f"WITH {CLEAN_SQL} {RECORDS_SQL}",
+    "t6_markdown": MD_SQL,
+    "t7_summary": f"WITH {CLEAN_SQL} SELECT table_id, concat('Table ''', name, ''' with ', len(headers), ' columns (', array_to_string(headers[1:3], ', '), CASE WHEN len(headers) > 3 THEN '...' ELSE '' END, ') and ', len(rows), ' rows') AS summary FROM clean",
+    "t8_table_chunk": f"WITH {CLEAN_SQL} SELECT table_id, 'table' AS chunk_type, CAST(len(rows) AS INTEGER) AS row_count, md5(replace(content, '@@', '')) AS content_md5 FROM texts JOIN clean USING (table_id)",
+    "t9_row_chunks": f"WITH {CLEAN_SQL}, parts AS (SELECT table_id, name, row_idx // 5 AS p, min(row_idx) + 1 AS first, max(row_idx) + 1 AS last, string_agg(t, chr(10) ORDER BY row_idx) AS body FROM lines WHERE table_id IN (SELECT table_id FROM clean WHERE len(rows) > 10) GROUP BY ALL) SELECT table_id, concat(first, '-', last) AS row_range, concat('Table: ', name, ' (Rows ', first, '-', last, ')', chr(10), chr(10), replace(body, '@@', '')) AS content FROM parts",
+    "k1_token_count": f"WITH {FI} SELECT document_id, CAST(length(text) // 4 AS INTEGER) AS tokens FROM files",
+    "k2_pack_blocks": f"WITH RECURSIVE {blocks_sql(120, 25, 30)} SELECT document_id, chunk_index, content, array_to_string(pages, ',') AS page_numbers, array_to_string(sections, '|') AS sections, CAST(length(content) // 4 AS INTEGER) AS token_count FROM chunks_",
+    "k3_k5_sentence_chunks": f"WITH RECURSIVE {FI}, {sentences_sql('SELECT document_id AS id, text FROM files', 120, 25)} SELECT id AS document_id, CAST(row_number() OVER (PARTITION BY id ORDER BY step, part) - 1 AS INTEGER) AS chunk_index, content FROM packed_sentences",
+    "k6_chunk_records": f"WITH RECURSIVE {blocks_sql(500, 50, 100)} SELECT document_id, concat(document_id, '_', chunk_index) AS chunk_id, 'text' AS chunk_type, filename, department, CAST(length(content) // 4 AS INTEGER) AS token_count, NULL::INTEGER AS row_count FROM chunks_ JOIN files USING (document_id) UNION ALL SELECT document_id, NULL, 'table', NULL, NULL, NULL, 1 FROM files WHERE file_type = 'md'",
+    "k7_ingest_counts": f"WITH RECURSIVE {blocks_sql(500, 50, 100)}, n AS (SELECT document_id, count(*) AS n FROM chunks_ GROUP BY document_id) SELECT document_id, coalesce(n, 0) AS text_chunks, CAST(file_type = 'md' AS BIGINT) AS table_chunks, CASE WHEN coalesce(n, 0) + CAST(file_type = 'md' AS BIGINT) > 0 THEN 'success' ELSE 'warning' END AS status FROM files LEFT JOIN n USING (document_id)",
+    "e1_prefix": f"WITH {FI} SELECT document_id, md5(concat('{embed.PREFIXES['query']}', text)) AS with_prefix, md5(text) AS without FROM files",
+    "e2_hashed_vectors": r"WITH b AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda w: CAST(concat('0x', substring(md5(w), 1, 8)) AS BIGINT) % 16) AS b FROM conversations), v AS (SELECT conv_id, turn, list_transform(range(16), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM b), n AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v) SELECT conv_id, turn, "
+    + ", ".join(f"round(CASE WHEN n > 0 THEN v[{i + 1}] / n ELSE v[{i + 1}] END, 6) AS v{i}" for i in (0, 3, 7, 15))
+    + " FROM n",
+    "x1_context": f"WITH {HITS_SQL} SELECT query_id, string_agg(concat('[Source ', rank, ': ', filename, ', ', concat_ws(' | ', concat('Page ', coalesce(CAST(page_number AS VARCHAR), 'N/A'), CASE WHEN chunk_type = 'table' THEN ', Type: Table' ELSE '' END), concat('Dept: ', department), CASE WHEN version IS NOT NULL THEN concat('Version: ', version) END), ']', chr(10), content, chr(10)), concat(chr(10), '---', chr(10)) ORDER BY rank) AS context FROM hits GROUP BY query_id",
+    "x2_short_context": f"WITH {HITS_SQL} SELECT query_id, string_agg(concat('[Source ', rank, ': ', filename, ']', chr(10), content, chr(10)), concat(chr(10), '---', chr(10)) ORDER BY rank) AS context FROM hits GROUP BY query_id",
+    "x3_sources": f"WITH {HITS_SQL} SELECT query_id, rank, substring(content, 1, 500) AS content, document_id, filename AS document_name, page_number, chunk_type, score AS relevance_score FROM hits",
+    "m6_bleu": BLEU_SQL,
+    "m7_rouge": ROUGE_SQL,
+    "m8_m9_similarity": f"WITH {COUNTED_SQL} SELECT query_id, round({similarity_sql('a', 'c')}, 6) AS similarity, round({similarity_sql('q', 'a')}, 6) AS relevancy FROM counted",
+    "m10_faithfulness": f"WITH {FAITHFUL_SQL} SELECT query_id, round(faithfulness, 6) AS faithfulness FROM faithful",
+    "m7_rouge_l": f"WITH RECURSIVE {PAIRS_SQL}, {rouge_l_sql('SELECT query_id, reference, answer FROM pairs')} SELECT query_id, round(rouge_l, 6) AS rouge_l FROM rouge_",
+    "m14_hallucination": f"WITH {COUNTED_SQL}, {HALLUCINATED_SQL} SELECT query_id, hallucinated FROM hallucinated_",
+    "m15_citations": f"WITH {PAIRS_SQL}, {CITED_SQL} SELECT query_id, round(citation_accuracy, 6) AS citation_accuracy FROM cited_",
+    "m16_correctness": _pair(correctness=lambda: metrics.correctness(F.col("answer"), F.col("ground_truth"), F.col("context"))),
+}
+
+SQL = {
+    "p1_paragraphs": f"WITH {BLOCKS_SQL} SELECT document_id, CAST(block_idx AS INTEGER) AS block_idx, type, text FROM blocks",
+    "p2_page_blocks": f"WITH {PAGES_SQL} SELECT document_id, page_number, type, text, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, place) - 1 AS INTEGER) AS block_idx FROM found WHERE text IS NOT NULL",
+    "p3_sections": f"WITH {BLOCKS_SQL} SELECT document_id, CAST(block_idx AS INTEGER) AS block_idx, section FROM blocks",
+    "p6_document_stats": f"WITH {BLOCKS_SQL} SELECT document_id, count(*) AS blocks, count(*) FILTER (type = 'heading') AS headings, count(*) FILTER (type = 'paragraph') AS paragraph_count, count(*) FILTER (block_idx % 5 = 3) AS table_count, max(page_number) AS page_count, CAST(sum(length(text)) AS BIGINT) AS character_count FROM blocks GROUP BY document_id",
     "t1_t2_clean_table": f"WITH {CLEAN_SQL} SELECT table_id, name, array_to_string(headers, '|') AS headers, array_to_string(list_transform(rows, lambda r: array_to_string(r, '~')), chr(10)) AS rows FROM clean",
     "t3_row_text_indented": f"WITH {CLEAN_SQL} SELECT table_id, replace(content, '@@', '  ') AS content FROM texts",
     "t4_row_text": f"WITH {CLEAN_SQL} SELECT table_id, replace(content, '@@', '') AS content FROM texts",
@@ -196,6 +321,10 @@ SQL = {
     "t8_table_chunk": f"WITH {CLEAN_SQL} SELECT table_id, 'table' AS chunk_type, CAST(len(rows) AS INTEGER) AS row_count, md5(replace(content, '@@', '')) AS content_md5 FROM texts JOIN clean USING (table_id)",
     "t9_row_chunks": f"WITH {CLEAN_SQL}, parts AS (SELECT table_id, name, row_idx // 5 AS p, min(row_idx) + 1 AS first, max(row_idx) + 1 AS last, string_agg(t, chr(10) ORDER BY row_idx) AS body FROM lines WHERE table_id IN (SELECT table_id FROM clean WHERE len(rows) > 10) GROUP BY ALL) SELECT table_id, concat(first, '-', last) AS row_range, concat('Table: ', name, ' (Rows ', first, '-', last, ')', chr(10), chr(10), replace(body, '@@', '')) AS content FROM parts",
     "k1_token_count": f"WITH {FI} SELECT document_id, CAST(length(text) // 4 AS INTEGER) AS tokens FROM files",
+    "k2_pack_blocks": f"WITH RECURSIVE {blocks_sql(120, 25, 30)} SELECT document_id, chunk_index, content, array_to_string(pages, ',') AS page_numbers, array_to_string(sections, '|') AS sections, CAST(length(content) // 4 AS INTEGER) AS token_count FROM chunks_",
+    "k3_k5_sentence_chunks": f"WITH RECURSIVE {FI}, {sentences_sql('SELECT document_id AS id, text FROM files', 120, 25)} SELECT id AS document_id, CAST(row_number() OVER (PARTITION BY id ORDER BY step, part) - 1 AS INTEGER) AS chunk_index, content FROM packed_sentences",
+    "k6_chunk_records": f"WITH RECURSIVE {blocks_sql(500, 50, 100)} SELECT document_id, concat(document_id, '_', chunk_index) AS chunk_id, 'text' AS chunk_type, filename, department, CAST(length(content) // 4 AS INTEGER) AS token_count, NULL::INTEGER AS row_count FROM chunks_ JOIN files USING (document_id) UNION ALL SELECT document_id, NULL, 'table', NULL, NULL, NULL, 1 FROM files WHERE file_type = 'md'",
+    "k7_ingest_counts": f"WITH RECURSIVE {blocks_sql(500, 50, 100)}, n AS (SELECT document_id, count(*) AS n FROM chunks_ GROUP BY document_id) SELECT document_id, coalesce(n, 0) AS text_chunks, CAST(file_type = 'md' AS BIGINT) AS table_chunks, CASE WHEN coalesce(n, 0) + CAST(file_type = 'md' AS BIGINT) > 0 THEN 'success' ELSE 'warning' END AS status FROM files LEFT JOIN n USING (document_id)",
     "e1_prefix": f"WITH {FI} SELECT document_id, md5(concat('{embed.PREFIXES['query']}', text)) AS with_prefix, md5(text) AS without FROM files",
     "e2_hashed_vectors": r"WITH b AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda w: CAST(concat('0x', substring(md5(w), 1, 8)) AS BIGINT) % 16) AS b FROM conversations), v AS (SELECT conv_id, turn, list_transform(range(16), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM b), n AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v) SELECT conv_id, turn, "
     + ", ".join(f"round(CASE WHEN n > 0 THEN v[{i + 1}] / n ELSE v[{i + 1}] END, 6) AS v{i}" for i in (0, 3, 7, 15))
@@ -205,11 +334,12 @@ SQL = {
     "x3_sources": f"WITH {HITS_SQL} SELECT query_id, rank, substring(content, 1, 500) AS content, document_id, filename AS document_name, page_number, chunk_type, score AS relevance_score FROM hits",
     "m6_bleu": BLEU_SQL,
     "m7_rouge": ROUGE_SQL,
-    "m8_m9_similarity": f"WITH {COUNTED_SQL} SELECT query_id, round({_similarity('a', 'c')}, 6) AS similarity, round({_similarity('q', 'a')}, 6) AS relevancy FROM counted",
+    "m8_m9_similarity": f"WITH {COUNTED_SQL} SELECT query_id, round({similarity_sql('a', 'c')}, 6) AS similarity, round({similarity_sql('q', 'a')}, 6) AS relevancy FROM counted",
     "m10_faithfulness": f"WITH {FAITHFUL_SQL} SELECT query_id, round(faithfulness, 6) AS faithfulness FROM faithful",
-    "m14_hallucination": f"WITH {COUNTED_SQL}, n AS (SELECT *, list_distinct(regexp_extract_all(answer, '[0-9]+')) AS x, regexp_extract_all(question, '[0-9]+') AS y FROM counted) SELECT query_id, coalesce(len(list_filter(x, lambda v: NOT list_contains(y, v))) / nullif(len(x), 0)::DOUBLE > 0.3, false) OR {_similarity('a', 'q')} < 0.3 AS hallucinated FROM n",
+    "m7_rouge_l": f"WITH RECURSIVE {PAIRS_SQL}, {rouge_l_sql('SELECT query_id, reference, answer FROM pairs')} SELECT query_id, round(rouge_l, 6) AS rouge_l FROM rouge_",
+    "m14_hallucination": f"WITH {COUNTED_SQL}, {HALLUCINATED_SQL} SELECT query_id, hallucinated FROM hallucinated_",
     "m15_citations": r"WITH "
     + PAIRS_SQL
     + r", k AS (SELECT query_id, context, regexp_extract_all(cited, '\[Source [0-9]+: ([^\]]+)\]', 1) AS cs FROM pairs) SELECT query_id, round(CASE WHEN len(cs) = 0 THEN 0.0::DOUBLE ELSE len(list_filter(cs, lambda c: contains(context, c) OR len(list_filter(list_filter(regexp_split_to_array(c, '\s+'), lambda w: w <> '')[1:2], lambda w: contains(context, w))) > 0)) / len(cs)::DOUBLE END, 6) AS citation_accuracy FROM k",
-    "m16_correctness": f"WITH {FAITHFUL_SQL} SELECT query_id, round(CASE WHEN coalesce(ground_truth, '') <> '' THEN {_similarity('a', 'r')} ELSE faithfulness END, 6) AS correctness FROM counted JOIN faithful USING (query_id)",
+    "m16_correctness": f"WITH {FAITHFUL_SQL} SELECT query_id, round(CASE WHEN coalesce(ground_truth, '') <> '' THEN {similarity_sql('a', 'r')} ELSE faithfulness END, 6) AS correctness FROM counted JOIN faithful USING (query_id)",
 }

@@ -76,13 +76,13 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(query_id, conv_id, turn, question, asked_at) from the user turns of ``conversations``."""
     opening = F.element_at(F.array(*map(F.lit, TEMPLATES)), ((F.col("conv_id") + F.col("turn")) % len(TEMPLATES) + 1).cast("int"))
     rows = conversations(spark, sf_dir).filter("role = 'user'")
-    return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "conv_id", "turn", F.concat_ws(" ", opening, F.substring("text", 1, 40)).alias("question"), F.col("ts").alias("asked_at"))
+    return rows.select((F.col("conv_id") * 100 + F.col("turn")).alias("query_id"), "conv_id", "turn", F.concat_ws(" ", opening, "text").alias("question"), F.col("ts").alias("asked_at"))
 
 
 QUESTIONS_SQL = f"""conv AS (
   SELECT conv_id, turn, role, text, TIMESTAMP '{START}' + to_minutes(conv_id) + to_seconds(turn) AS ts FROM conversations
 ), questions AS (
-  SELECT conv_id * 100 + turn AS query_id, conv_id, turn, concat({list(TEMPLATES)!r}[CAST((conv_id + turn) % {len(TEMPLATES)} + 1 AS INTEGER)], ' ', substring(text, 1, 40)) AS question, ts AS asked_at
+  SELECT conv_id * 100 + turn AS query_id, conv_id, turn, concat({list(TEMPLATES)!r}[CAST((conv_id + turn) % {len(TEMPLATES)} + 1 AS INTEGER)], ' ', text) AS question, ts AS asked_at
   FROM conv WHERE role = 'user')"""
 
 
@@ -94,7 +94,11 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A request log from ``events``."""
-    return table(spark, sf_dir, "events").select(
+    return requests_of(table(spark, sf_dir, "events"))
+
+
+def requests_of(events: DataFrame) -> DataFrame:
+    return events.select(
         "event_id",
         F.col("ts").alias("asked_at"),
         F.col("user_id").alias("key"),
@@ -102,14 +106,15 @@ def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_type").alias("endpoint"),
         F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
         F.col("value").alias("latency_ms"),
-        F.get_json_object("props", "$.k").cast("long").alias("tokens"),
+        F.get_json_object("props", "$.k").cast("long").alias("tokens_in"),
+        (F.get_json_object("props", "$.k").cast("long") % 50 + 1).alias("tokens_out"),
         (F.col("event_id") % 17 == 0).alias("fallback"),
     )
 
 
 REQUESTS_SQL = """requests AS (
   SELECT event_id, ts AS asked_at, user_id AS key, CASE WHEN event_type IN ('purchase', 'signup') THEN 'POST' ELSE 'GET' END AS method, event_type AS endpoint,
-         CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value AS latency_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens, event_id % 17 = 0 AS fallback
+         CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS status, value AS latency_ms, CAST(json_extract_string(props, '$.k') AS BIGINT) AS tokens_in, CAST(json_extract_string(props, '$.k') AS BIGINT) % 50 + 1 AS tokens_out, event_id % 17 = 0 AS fallback
   FROM events)"""
 
 
@@ -135,17 +140,29 @@ FILES_SQL = """files AS (
 
 
 def tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(table_id, name, headers, rows): parts by brand, some cells null, padded or over-long rows among them."""
+    """(table_id, name, headers, rows): parts by brand and thousand of keys, so that no table grows with the data; some cells null, padded or over-long rows among them."""
     row = F.array(F.col("p_partkey").cast("string"), F.concat(F.lit("  "), "p_name", F.lit(" \t ")), F.when(F.col("p_partkey") % 7 == 0, None).otherwise(F.col("p_size").cast("string")), F.concat(F.lit("1_"), F.col("p_size").cast("string")))
     ragged = F.when(F.col("p_partkey") % 11 == 0, F.slice(row, 1, 2)).when(F.col("p_partkey") % 13 == 0, F.concat(row, F.array(F.lit("more|one")))).otherwise(row)
     rows = F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", ragged.alias("cells")))), lambda x: x["cells"])
-    return table(spark, sf_dir, "part").groupBy("p_brand").agg(rows.alias("rows")).select(F.col("p_brand").alias("table_id"), F.when(F.col("p_brand").endswith("5"), "").otherwise(F.concat(F.lit("Parts of "), "p_brand")).alias("name"), F.when(F.col("p_brand").endswith("4"), F.array(F.lit(""), F.lit(" "))).otherwise(F.array(F.lit("Part Key"), F.lit(" Name "), F.lit("Size"), F.lit("Retail-Price"))).alias("headers"), "rows")
+    span = F.expr("p_partkey div 1000").alias("span")
+    return table(spark, sf_dir, "part").groupBy("p_brand", span).agg(rows.alias("rows")).select(F.concat_ws("_", "p_brand", "span").alias("table_id"), F.when(F.col("p_brand").endswith("5"), "").otherwise(F.concat(F.lit("Parts of "), "p_brand")).alias("name"), F.when(F.col("p_brand").endswith("4"), F.array(F.lit(""), F.lit(" "))).otherwise(F.array(F.lit("Part Key"), F.lit(" Name "), F.lit("Size"), F.lit("Retail-Price"))).alias("headers"), "rows")
 
 
 TABLES_SQL = """part_rows AS (
   SELECT p_brand, p_partkey, [CAST(p_partkey AS VARCHAR), concat('  ', p_name, ' ', chr(9), ' '), CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_size AS VARCHAR) END, concat('1_', p_size)] AS r FROM part
 ), tables_ AS (
-  SELECT p_brand AS table_id, CASE WHEN p_brand LIKE '%5' THEN '' ELSE concat('Parts of ', p_brand) END AS name,
+  SELECT concat(p_brand, '_', p_partkey // 1000) AS table_id, CASE WHEN p_brand LIKE '%5' THEN '' ELSE concat('Parts of ', p_brand) END AS name,
          CASE WHEN p_brand LIKE '%4' THEN ['', ' '] ELSE ['Part Key', ' Name ', 'Size', 'Retail-Price'] END AS headers,
          list(CASE WHEN p_partkey % 11 = 0 THEN r[1:2] WHEN p_partkey % 13 = 0 THEN list_concat(r, ['more|one']) ELSE r END ORDER BY p_partkey) AS rows
-  FROM part_rows GROUP BY p_brand)"""
+  FROM part_rows GROUP BY p_brand, p_partkey // 1000)"""
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chunk store of texts: the lines of ``documents``, ten to a page."""
+    found = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("department"), F.posexplode(F.split("text", "\n")).alias("place", "content")).filter("trim(content) <> ''")
+    return found.select((F.col("doc_id") * 1_000_000 + F.col("place")).alias("vec_id"), "department", F.expr("place div 10 + 1").cast("int").alias("page_number"), "content")
+
+
+LINES_SQL = """lines AS (
+  SELECT doc_id * 1000000 + place AS vec_id, department, CAST(place // 10 + 1 AS INTEGER) AS page_number, content
+  FROM (SELECT doc_id, source AS department, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS place FROM documents) WHERE trim(content) <> '')"""

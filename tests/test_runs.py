@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from docquery.operators import catalogue, evaluation
+from docquery.operators import catalogue, evaluation, metrics
 from docquery.plans import run_plans
 from pyspark.sql import functions as F
 
@@ -40,9 +40,14 @@ def test_a_run_goes_on_after_failed_cases(spark):
     bad = [r for r in rows if r.error]
     assert bad and all((r.query_id // 100) % 11 == 0 and r.overall is None for r in bad)
     for r in (x for x in rows if not x.error):
-        total = 0.4 * (r.precision + r.recall + r.ndcg) / 3 + 0.4 * (r.bleu + r.rouge1 + r.faithfulness) / 3 + 0.2 * (r.context_precision + r.context_recall + r.citation_accuracy) / 3
+        total = 0.4 * (r.precision + r.recall + r.ndcg) / 3 + 0.4 * (r.bleu + r.rouge_l + r.faithfulness) / 3 + 0.2 * (r.context_precision + r.context_recall + r.citation_accuracy) / 3
         assert r.overall == pytest.approx(total / 2 if r.hallucinated else total, abs=6e-4)
-        assert all(0 <= x <= 1 for x in (r.precision, r.recall, r.bleu, r.rouge1, r.faithfulness, r.citation_accuracy))
+        assert all(0 <= x <= 1 for x in (r.precision, r.recall, r.bleu, r.rouge_l, r.faithfulness, r.citation_accuracy))
+
+
+def test_stop_words_and_similarity():
+    words = metrics.stop_words()
+    assert len(words) == 318 and list(words) == sorted(words) and {"amoungst", "sincere", "yourselves", "system"} <= set(words) and "just" not in words
 
 
 def test_prompts_end_with_the_question(spark):
