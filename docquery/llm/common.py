@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquery.sources.storage import cut, shared_folder
+
+__all__ = ["BUCKETS", "WORD", "cut", "documents", "key_bucket", "let", "n_words", "running_total", "scan", "shared_folder", "shuffle_key"]
+
 #: A word: a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Range buckets of a running total: each task sorts a 4096th of the largest group, not the group.
@@ -19,23 +22,28 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     return df.select(*columns) if columns else df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where the session names none (tests on one machine), a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    return context.getCheckpointDir()
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row, also where ``body`` uses it inside a lambda."""
+    return F.transform(F.array(value), body)[0]
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder: a lost executor then costs a read, not a recomputation."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def scan(values: Column, start: Column, step: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str, block: int = 512) -> Column:
+    """``out(state, x)`` for every x of an array, the state going from ``start`` by ``step(state, x)``: array<``kind``>.
 
+    Appending to an array copies it, so results are gathered in blocks: the work grows
+    with the array and not with its square.
+    """
+    none, no_blocks = F.expr(f"cast(array() as array<{kind}>)"), F.expr(f"cast(array() as array<array<{kind}>>)")
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body(value)`` with ``value`` evaluated once a row, also where ``body`` uses it inside a lambda."""
-    return F.transform(F.array(value), body)[0]
+    def inside(state: Column, xs: Column) -> Column:
+        return F.aggregate(xs, F.struct(state.alias("state"), none.alias("out")), lambda acc, x: F.struct(step(acc["state"], x).alias("state"), F.concat(acc["out"], F.array(out(acc["state"], x))).alias("out")))
+
+    def whole(vs: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.greatest(F.size(vs), F.lit(1)) - 1) / block).cast("int")), lambda b: F.slice(vs, b * block + 1, F.lit(block)))
+        each = lambda acc, xs: let(inside(acc["state"], xs), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+        return F.flatten(F.aggregate(blocks, F.struct(start.alias("state"), no_blocks.alias("out")), each, lambda acc: acc["out"]))
+
+    return let(values, whole)
 
 
 def n_words(text: Column) -> Column:

@@ -6,12 +6,16 @@ numbers that stand beside others. Spans of the base patterns that pass the base
 stay as they are. Every other candidate is scored by small boosted trees over features
 of its form and its context, and is taken if its score reaches its kind's threshold.
 
-The trees are fitted on what the base checks say of the whole input: candidates are
-counted by feature values in Spark, and the driver sees that table of counts, whose
-size is bounded by the number of combinations (``MOST_CELLS``), never the candidates.
-A quarter of the documents, by hash, is left out of fitting and sets the thresholds.
+The trees are fitted on the whole input. What the base checks say of a base candidate
+labels it, and labels also a copy of it that is written the way a wider generator finds
+it (an address around a filter, a number without its country code, other separators):
+so the wide forms that the trees decide on are in training with known truth, numbers
+of other kinds in the form of a telephone number among them. Candidates are counted by
+feature values in Spark, and the driver sees that table of counts, whose size is
+bounded by the number of combinations (``MOST_CELLS``), never the candidates. A
+quarter of the documents, by hash, is left out of fitting and sets the thresholds.
 Fitted trees are applied as a column expression; no row runs Python and texts are not
-shuffled.
+shuffled. Work grows with the length of a text and the number of its candidates.
 """
 
 from __future__ import annotations
@@ -22,7 +26,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.llm.common import cut, documents, let
+from docquery.llm.common import cut, documents, let, scan
 
 QUERY = "op5_pii"
 ORACLE_SQL = None
@@ -52,7 +56,8 @@ CUES = {"email": "e-?mail|contact|write to|reach", "ip": r"\bip\b|host|server|ad
 FEATURES = {"kind": 4, "wide": 2, "before": 3, "after": 3, "digits": 5, "valid": 2, "cue": 2, "marks": 3}
 MOST_CELLS = math.prod(FEATURES.values()) * 4
 
-_EMPTY = "cast(array() as array<struct<s:int,e:int,m:string,l:string,r:string>>)"
+_MATCH = "struct<s:int,e:int,m:string,l:string,r:string>"
+_NONE = f"cast(array() as array<{_MATCH}>)"
 
 
 def matches(text: Column, pattern: str) -> Column:
@@ -61,16 +66,11 @@ def matches(text: Column, pattern: str) -> Column:
 
     def placed(parts: Column, found: Column) -> Column:
         rows = F.arrays_zip(F.slice(parts, F.lit(1), F.size(found)).alias("p"), found.alias("m"), F.slice(parts, F.lit(2), F.size(found)).alias("q"))
+        start = lambda pos, x: pos + F.length(x["p"])
+        one = lambda pos, x: F.struct(start(pos, x).alias("s"), (start(pos, x) + F.length(x["m"])).alias("e"), x["m"].alias("m"), F.substring(x["p"], -24, 24).alias("l"), F.substring(x["q"], 1, 1).alias("r"))
+        return scan(rows, F.lit(0), lambda pos, x: start(pos, x) + F.length(x["m"]), one, _MATCH)
 
-        def step(acc: Column, x: Column) -> Column:
-            start = acc["pos"] + F.length(x["p"])
-            end = start + F.length(x["m"])
-            one = F.struct(start.alias("s"), end.alias("e"), x["m"].alias("m"), F.substring(x["p"], -24, 24).alias("l"), F.substring(x["q"], 1, 1).alias("r"))
-            return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(one)).alias("out"))
-
-        return F.aggregate(rows, F.struct(F.lit(0).alias("pos"), F.expr(_EMPTY).alias("out")), step, lambda acc: acc["out"])
-
-    return F.when(text.rlike(pattern), let(found, lambda f: let(parts, lambda p: placed(p, f)))).otherwise(F.expr(_EMPTY))
+    return F.when(text.rlike(pattern), let(found, lambda f: let(parts, lambda p: placed(p, f)))).otherwise(F.expr(_NONE))
 
 
 def digits(match: Column) -> Column:
@@ -109,39 +109,64 @@ def _edge(c: Column) -> Column:
     return F.when(c.rlike("[A-Za-z]"), 1).when(c.rlike("[0-9]"), 2).otherwise(0)
 
 
+def rewritten(kind: str, match: Column) -> Column:
+    """A base match as a wider generator would find it; null where it has no such form."""
+    d = digits(match)
+    return {
+        "email": F.regexp_replace(match, "@", " (at) "),
+        "ip": F.regexp_replace(match, "[.]", "[.]"),
+        "card": F.when(F.length(d) == 16, F.regexp_replace(d, "([0-9]{4})(?=[0-9])", "$1.")),
+        "phone": F.when(F.length(d) >= 10, F.regexp_replace(F.right(d, F.lit(10)), "^(...)(...)(....)$", "$1-$2-$3")),
+    }[kind]
+
+
+def _described(x: Column, kind: str, match: Column, wide: bool, base: Column, planted: bool) -> Column:
+    n = F.length(digits(match))
+    marks = F.length(F.regexp_replace(match, "[A-Za-z0-9]", ""))
+    return F.struct(
+        x["s"].alias("s"),
+        x["e"].alias("e"),
+        F.lit(KINDS.index(kind)).alias("kind"),
+        F.lit(int(wide)).alias("wide"),
+        _edge(F.right(x["l"], F.lit(1))).alias("before"),
+        _edge(x["r"]).alias("after"),
+        F.when(n < 9, 0).when(n < 12, 1).when(n < 16, 2).when(n < 20, 3).otherwise(4).alias("digits"),
+        F.coalesce(plausible(kind, match), F.lit(False)).cast("int").alias("valid"),
+        F.lower(x["l"]).rlike(CUES[kind]).cast("int").alias("cue"),
+        F.when(marks == 0, 0).when(marks < 6, 1).otherwise(2).alias("marks"),
+        F.coalesce(base, F.lit(False)).alias("base"),
+        F.lit(planted).alias("planted"),
+    )
+
+
 def _candidates(text: Column, kind: str, wide: bool) -> Column:
-    def described(x: Column) -> Column:
-        n = F.length(digits(x["m"]))
-        marks = F.length(F.regexp_replace(x["m"], "[A-Za-z0-9]", ""))
-        return F.struct(
-            x["s"].alias("s"),
-            x["e"].alias("e"),
-            F.lit(KINDS.index(kind)).alias("kind"),
-            F.lit(int(wide)).alias("wide"),
-            _edge(F.right(x["l"], F.lit(1))).alias("before"),
-            _edge(x["r"]).alias("after"),
-            F.when(n < 9, 0).when(n < 12, 1).when(n < 16, 2).when(n < 20, 3).otherwise(4).alias("digits"),
-            F.coalesce(plausible(kind, x["m"]), F.lit(False)).cast("int").alias("valid"),
-            F.lower(x["l"]).rlike(CUES[kind]).cast("int").alias("cue"),
-            F.when(marks == 0, 0).when(marks < 6, 1).otherwise(2).alias("marks"),
-            F.lit(False).alias("base") if wide else F.coalesce(checked(kind, x["m"]), F.lit(False)).alias("base"),
-        )
-
-    return F.transform(matches(text, WIDER[kind] if wide else BASE[kind]), described)
+    if wide:
+        return F.transform(matches(text, WIDER[kind]), lambda x: _described(x, kind, x["m"], True, F.lit(False), False))
+
+    def own(ms: Column) -> Column:
+        parts = [F.transform(ms, lambda x: _described(x, kind, x["m"], False, checked(kind, x["m"]), False))]
+        copies = F.filter(ms, lambda x: rewritten(kind, x["m"]).isNotNull())
+        parts.append(F.transform(copies, lambda x: _described(x, kind, rewritten(kind, x["m"]), True, checked(kind, x["m"]), True)))
+        if kind == "card":  # numbers of another kind, in the form of a telephone number
+            others = F.filter(ms, lambda x: (F.length(digits(x["m"])) >= 12) & ~x["l"].endswith("+"))
+            parts.append(F.transform(others, lambda x: _described(x, "phone", rewritten("phone", x["m"]), True, F.lit(False), True)))
+        return F.concat(*parts)
+
+    return let(matches(text, BASE[kind]), own)
 
 
 def with_candidates(docs: DataFrame) -> DataFrame:
-    """Adds ``__candidates``: every proposed span of the whole text with its features and whether it passes the base check; null text is empty."""
+    """Adds ``__candidates``: every proposed span of the whole text with its features and whether it passes the base check, and the rewritten copies that only training sees; null text is empty."""
     text = F.coalesce(F.col("text"), F.lit(""))
     numbers, marks = text.rlike("[0-9]"), text.rlike(r"@|[({\[]at[)}\]]")
-    none = F.filter(_candidates(F.lit(""), "ip", False), lambda x: F.lit(False))
+    none = F.filter(_candidates(F.lit(""), "ip", True), lambda x: F.lit(False))
     there = lambda when, kind: F.when(when, F.concat(_candidates(text, kind, False), _candidates(text, kind, True))).otherwise(none)
     return docs.withColumn("__candidates", F.concat(there(marks, "email"), *(there(numbers, k) for k in KINDS[1:])))
 
 
 def cells(found: DataFrame) -> DataFrame:
-    """Candidates of the base generators counted by feature values, by verdict and by whether their document (a hash of ``__fold``) is left out: at most ``MOST_CELLS`` rows."""
-    one = found.select("__fold", F.explode("__candidates").alias("c")).filter("c.wide = 0")
+    """Candidates of the base generators and their copies counted by feature values, by verdict and by whether their document (a hash of ``__fold``) is left out: at most ``MOST_CELLS`` rows."""
+    one = found.select("__fold", F.explode("__candidates").alias("c")).filter("c.wide = 0 or c.planted")
     return one.groupBy(*[F.col(f"c.{f}").alias(f) for f in FEATURES], F.col("c.base").alias("base"), (F.pmod(F.xxhash64("__fold"), F.lit(4)) == 0).alias("left_out")).agg(F.count("*").alias("n"))
 
 
@@ -203,7 +228,7 @@ def fit(rows: list[tuple], rounds: int = ROUNDS, rate: float = RATE) -> Trees:
         model.trees.append((f, c, stump(x[:, k] <= c, g, h), stump(x[:, k] > c, g, h)))
     p = 1 / (1 + np.exp(-model.margin(x)))
     for kind in range(len(KINDS)):
-        own = out & (x[:, 0] == kind)
+        own = out & (x[:, 0] == kind) & (x[:, 1] == 1)  # thresholds decide on wide forms alone
         limit = 2.0
         for t in sorted(set(p[own]), reverse=True):
             above = own & (p >= t)
@@ -222,16 +247,23 @@ def trained(found: DataFrame) -> Trees:
 def spans(model: Trees, candidates: Column) -> tuple[Column, Column]:
     """Base spans and all spans as arrays of (s, kind, e), sorted. Added spans overlap no base span; of added ones that overlap each other the first stays."""
     plain = lambda c: F.struct(c["s"].alias("s"), c["kind"].alias("kind"), c["e"].alias("e"))
-    base = F.sort_array(F.transform(F.filter(candidates, lambda c: c["base"]), plain))
-    rest = F.filter(candidates, lambda c: ~c["base"] & F.when(c["wide"] == 1, model.taken(c)).otherwise(False))
-    kind_of = "array<struct<s:int,kind:int,e:int>>"
+    real = F.filter(candidates, lambda c: ~c["planted"])
+    base = F.sort_array(F.transform(F.filter(real, lambda c: c["base"]), plain))
+    rest = F.filter(real, lambda c: ~c["base"] & F.when(c["wide"] == 1, model.taken(c)).otherwise(False))
 
     def added(b: Column) -> Column:
-        free = F.sort_array(F.transform(F.filter(rest, lambda c: ~F.exists(b, lambda x: (x["s"] < c["e"]) & (c["s"] < x["e"]))), plain))
-        first = lambda acc, x: F.when(x["s"] >= acc["end"], F.struct(x["e"].alias("end"), F.concat(acc["out"], F.array(x)).alias("out"))).otherwise(acc)
-        return F.aggregate(free, F.struct(F.lit(0).alias("end"), F.expr(f"cast(array() as {kind_of})").alias("out")), first, lambda acc: acc["out"])
+        # both in one order; a base span goes before a candidate that begins with it
+        tagged = lambda xs, own: F.transform(xs, lambda x: F.struct(x["s"].alias("s"), F.lit(own).alias("own"), x["kind"].alias("kind"), x["e"].alias("e")))
+        ordered = F.sort_array(F.concat(tagged(b, 0), tagged(F.transform(rest, plain), 1)))
+        # forwards: where base spans before a candidate end; backwards: where the next base span begins
+        ends = lambda xs: scan(xs, F.lit(0), lambda end, x: F.when(x["own"] == 0, F.greatest(end, x["e"])).otherwise(end), lambda end, x: end, "int")
+        begins = lambda xs: F.reverse(scan(F.reverse(xs), F.lit(2147483647), lambda at, x: F.when(x["own"] == 0, x["s"]).otherwise(at), lambda at, x: at, "int"))
+        free = lambda xs: F.filter(F.arrays_zip(xs.alias("x"), ends(xs).alias("end"), begins(xs).alias("begin")), lambda z: (z["x"]["own"] == 1) & (z["x"]["s"] >= z["end"]) & (z["x"]["e"] <= z["begin"]))
+        alone = let(ordered, free)
+        keeps = scan(alone, F.lit(0), lambda end, z: F.when(z["x"]["s"] >= end, z["x"]["e"]).otherwise(end), lambda end, z: F.struct(z["x"]["s"].alias("s"), z["x"]["kind"].alias("kind"), z["x"]["e"].alias("e"), (z["x"]["s"] >= end).alias("kept")), "struct<s:int,kind:int,e:int,kept:boolean>")
+        return F.transform(F.filter(keeps, lambda x: x["kept"]), plain)
 
-    return base, let(base, lambda b: F.sort_array(F.concat(b, added(b))))
+    return base, F.when(F.size(rest) == 0, base).otherwise(let(base, lambda b: F.sort_array(F.concat(b, added(b)))))
 
 
 def written(found: Column) -> Column:
@@ -244,8 +276,10 @@ def find(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) to doc_id, n_email, n_ip, n_card, n_phone, n_added, base_sha256 and spans.
 
     The counts are of base spans; n_added counts what the trees add. A null text is
-    empty and has no spans. Repeated rows are scanned each; null ids pass. An empty
-    table gives no rows. Other columns are not read.
+    empty and has no spans. Texts are read from end to end, however long and however
+    many spans they hold. Repeated rows are scanned each, with equal results, and spans
+    that begin together are ordered by kind; null ids pass. An empty table gives no
+    rows. Other columns are not read.
     """
     found = with_candidates(docs.select("doc_id", "text")).select("doc_id", F.col("doc_id").alias("__fold"), "__candidates")
     found = cut(found)
@@ -256,21 +290,17 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span replaced by its kind in brackets, and n_chars to match where there is such a column; other columns pass through, whatever their names."""
+    """``docs`` with every span replaced by its kind in brackets, and n_chars to match where there is such a column; other columns pass through, whatever their names. Texts are scanned once: rows are kept with their candidates while the trees are fitted."""
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text", F.col("doc_id").alias("__fold"))
-    found = with_candidates(packed)
+    found = cut(with_candidates(packed).drop("text")).withColumn("text", F.col("__row.text"))
     _, whole = spans(trained(found), F.col("__candidates"))
 
     def replaced(s: Column) -> Column:
         # spans of different kinds may overlap: each goes on where the ones before it end
-        merged = F.aggregate(
-            s,
-            F.struct(F.lit(0).alias("end"), F.expr("cast(array() as array<struct<from:int,s:int,kind:int>>)").alias("out")),
-            lambda acc, x: F.struct(F.greatest(acc["end"], x["e"]).alias("end"), F.concat(acc["out"], F.array(F.struct(acc["end"].alias("from"), x["s"].alias("s"), x["kind"].alias("kind")))).alias("out")),
-        )
         tag = lambda k: F.element_at(F.array(*[F.lit(f"[{name.upper()}]") for name in KINDS]), k + 1)
-        piece = lambda x: F.concat(F.substring(F.col("text"), x["from"] + 1, F.greatest(x["s"] - x["from"], F.lit(0))), tag(x["kind"]))
-        return let(merged, lambda m: F.concat(F.array_join(F.transform(m["out"], piece), ""), F.substring(F.col("text"), m["end"] + 1, F.length("text"))))
+        piece = lambda end, x: F.concat(F.substring(F.col("text"), end + 1, F.greatest(x["s"] - end, F.lit(0))), tag(x["kind"]))
+        pieces = scan(s, F.lit(0), lambda end, x: F.greatest(end, x["e"]), piece, "string")
+        return F.concat(F.array_join(pieces, ""), F.substring(F.col("text"), F.array_max(F.transform(s, lambda x: x["e"])) + 1, F.length("text")))
 
     text = let(whole, lambda s: F.when(F.size(s) > 0, replaced(s)).otherwise(F.col("text")))
     kinds = dict(docs.dtypes)

@@ -62,3 +62,41 @@ def test_added_spans_and_redaction(spark):
     found = {r.doc_id: r for r in pii.find(docs).collect()}
     assert found[-4].spans == "" and sum(r.n_added for r in found.values() if r.doc_id >= 0) <= 0.01 * len(found)
     assert pii.find(docs.limit(0)).count() == 0 and pii.redact(docs.limit(0)).columns == docs.columns
+
+
+def test_many_matches_take_time_in_proportion(spark):
+    import time
+
+    def took(n):
+        text = "".join(f"a{i}@b.co, 10.0.0.{i % 300} and (404) 555-{i % 10000:04d}\n" for i in range(n))
+        began = time.time()
+        row = pii.find(spark.createDataFrame([(1, text), (2, "x")], "doc_id long, text string")).orderBy("doc_id").head()
+        want = brute(text)
+        assert row.base_sha256 == hashlib.sha256(written(want).encode()).hexdigest()
+        return time.time() - began
+
+    took(500)  # compiled first
+    few, many = took(2000), took(20_000)
+    assert many < 25 * few
+
+
+def test_added_spans_follow_the_context(spark):
+    """Telephone numbers come after a cue and other numbers do not: a check of form alone cannot tell them, the trees can."""
+    rng = random.Random(3)
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    texts = []
+    for _ in range(400):
+        texts += [f"please call +1 {number(3)}-{number(3)}-{number(4)} soon", f"order {number(16)}0 was sent"]
+    own = [(-1, "please call 303-555-0142 soon", True), (-2, "order 303-555-0142 was sent", False), (-3, "see call 404-555-0199 and call 404-555-0198", True)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)] + [(i, t) for i, t, _ in own], "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.find(docs.unionByName(docs.filter("doc_id = -1"))).collect()}
+    assert [got[i].n_added > 0 for i, _, _ in own] == [w for _, _, w in own]
+    assert got[-1].spans == "phone:12:24" and got[-3].n_added == 2
+
+
+def test_redaction_of_clashing_columns_and_repeated_rows(spark):
+    rows = [(1, "mail a@b.co and +1 (858) 555-7280 x", "s1", "c1", 5, 7), (1, "mail a@b.co and +1 (858) 555-7280 x", "s1", "c1", 5, 7), (2, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string, __candidates string, n_chars int, end int")
+    got = [tuple(r) for r in pii.redact(docs).orderBy("doc_id").collect()]
+    clean = "mail [EMAIL] and [PHONE] x"
+    assert got == [(1, clean, "s1", "c1", len(clean), 7)] * 2 + [(2, None, None, None, None, None)]
