@@ -16,7 +16,7 @@ all rows is sorted in thousands of range buckets, never in one task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docquery.llm.common import cut, documents, key_bucket, n_words, running_total, shuffle_key
@@ -76,19 +76,31 @@ def _queued(rows: DataFrame, share: float, most: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, seed: str = SEED, share: float = 1.0, most: int = MOST_REPEATS) -> DataFrame:
-    """The mixture itself: the rows of ``docs`` that it takes, each as often as it takes it, in the order of the queue (range-sorted by virtual finish time). Columns pass through, whatever their names."""
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "doc_id", "source", "text")
-    taken = queue(packed, seed, share, most).drop("text").filter("copies > 0")
+    """The mixture itself: the rows of ``docs`` that it takes, each as often as it takes it, in the order of the queue (range-sorted by virtual finish time). Columns pass through, whatever their names.
+
+    The queue is made of ids and numbers; whole rows are joined to what it takes once
+    and sorted once. Rows are told apart by two 64-bit hashes of all their columns;
+    rows equal in both are repeated rows, of which one stands for all.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    hashes = [F.xxhash64(row).alias("__h"), F.xxhash64(F.lit(1), row).alias("__g")]
+    taken = _planned(docs, seed, share, most, *hashes).filter("copies > 0")
     again = taken.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     finish = F.col("first_finish") + F.col("__copy") * F.col("source_size") / F.col("target")
-    return again.withColumn("__finish", finish).orderBy("__finish", "source", "doc_id").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
+    places = again.select("__h", "__g", finish.alias("__finish"), F.col("source").alias("__source"), F.col("doc_id").alias("__id"))
+    rows = docs.select(row.alias("__row"), *hashes).dropDuplicates(["__h", "__g"])
+    return rows.join(places, ["__h", "__g"]).orderBy("__finish", "__source", "__id").select(*[F.col("__row")[c].alias(c) for c in docs.columns])
 
 
 def plan(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """What the mix takes of every row (doc_id, source, text): ids and numbers alone are shuffled, no texts."""
-    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(seed, F.col("doc_id")).alias("__key"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("__crc"))
+    return _planned(docs, seed, 1.0, MOST_REPEATS)
+
+
+def _planned(docs: DataFrame, seed: str, share: float, most: int, *more: Column) -> DataFrame:
+    rows = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), shuffle_key(seed, F.col("doc_id")).alias("__key"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("__crc"), *more)
     rows = cut(rows.withColumn("__bucket", key_bucket(F.col("__key"))))
-    return _queued(rows, 1.0, MOST_REPEATS)
+    return _queued(rows, share, most)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
