@@ -10,8 +10,11 @@ to the outside as visitors. Every leaf (a shard) then finds its pairs exactly.
 The tree is fitted on a bounded sample of fingerprints and holds no more than
 ``LEAVES`` leaves; a task builds the rest of the tree inside its shard. The radius of
 each node is where few fingerprints lie near the boundary, which keeps visitors few.
-Shards report a spanning forest of what they link, never all pairs. Nothing but the
-sample goes to the driver; texts are read once and never shuffled.
+A leaf that holds more than is meant for it (many fingerprints close to each other,
+which no radius parts) is dealt as pairs of hashed blocks, each pair a shard of its
+own, so that no task gets more than two blocks. Shards report a spanning forest of what
+they link, never all pairs. Nothing but the sample goes to the driver; texts are read
+once and never shuffled.
 """
 
 from __future__ import annotations
@@ -219,8 +222,13 @@ def linked(distinct: DataFrame, r: int = BITS, sample: int = SAMPLE, leaf: int =
         if kept:
             yield out()
 
-    visited = distinct.select("fp").mapInArrow(scatter, "leaf int, fp long")
-    return visited.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(gather, "a long, b long")
+    visited = cut(distinct.select("fp").mapInArrow(scatter, "leaf int, fp long"))
+    # at most LEAVES rows: how many blocks a leaf needs
+    sizes = visited.groupBy("leaf").agg(F.greatest(F.ceil(F.count("*") / leaf), F.lit(1)).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64(F.lit(seed), "fp"), F.col("blocks")).cast("int")
+    paired = visited.join(F.broadcast(sizes), "leaf").withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    shard_of = F.xxhash64("leaf", F.least("mine", "other"), F.greatest("mine", "other"))
+    return paired.select(shard_of.alias("leaf"), "fp").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(gather, "a long, b long")
 
 
 def classes(prints: DataFrame, r: int = BITS, doc_id: str = "doc_id") -> DataFrame:
