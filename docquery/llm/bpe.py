@@ -31,6 +31,8 @@ ORACLE_SQL = None
 #: Chunks between white space, and words, that a task remembers: as many of the last ones, and as many of those before them.
 CACHED = 100_000
 CACHED_WORDS = 200_000
+#: Pairs of tokens whose compatibility a worker remembers, at most.
+TESTED_PAIRS = 4_000_000
 #: Fixed value: the white space of the vocabulary's pattern \s (Unicode White_Space).
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _SPACES = re.compile(f"[{SPACE}]+")
@@ -168,6 +170,9 @@ class Encoder:
     def compatible(self, keys: np.ndarray) -> np.ndarray:
         """Of pairs of tokens, as a * 2**32 + b (a = -1: b alone): whether merging their characters gives them back."""
         new = np.setdiff1d(keys, self.known)
+        if len(self.known) + len(new) > TESTED_PAIRS:  # begin anew: pairs are tested again as they come
+            self.known, self.good = np.empty(0, np.int64), np.empty(0, bool)
+            new = np.unique(keys)
         if len(new):
             good = []
             for a, b in zip((new >> 32).tolist(), (new & 0xFFFFFFFF).tolist(), strict=True):
