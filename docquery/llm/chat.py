@@ -17,7 +17,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 QUERY = "op10_chat_format"
@@ -152,46 +152,33 @@ def read_back(formatted: DataFrame) -> DataFrame:
     return _by_conversation(formatted, "turn_no").mapInArrow(_read, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
-def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Each row of a conversation table as an event: a whole message, numbered by its turn.
-
-    Rows that share a conversation and a turn are messages of their own, ordered by
-    role and text; hence they are told apart by a number within the turn.
-    """
-    turn = F.col("turn").cast("long")
-    return conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"),
-        turn.alias("seq"),
-        turn.alias("message"),
-        F.lit("message").alias("kind"),
-        "role",
-        "text",
-    )
-
+#: Characters of a streamed delta.
+DELTA = 200
 
-def _format_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """As ``_format``, where every event is a message of its own."""
 
-    def numbered() -> Iterator[tuple]:
-        for n, (c, seq, _, kind, role, text) in enumerate(_rows(batches)):
-            yield c, seq, n, kind, role, text
-
-    def segments() -> Iterator[tuple]:
-        conv, n = object(), 0
-        for c, _, role, text in _fold(numbered()):
-            n = n + 1 if c == conv else 0
-            conv = c
-            segment, start, end = render(role, text)
-            loss = role == "assistant"
-            yield c, n, segment, start if loss else None, end if loss else None
+def conversation_events(conversations: DataFrame) -> DataFrame:
+    """The log that a conversation table (conv_id, turn, role, text) is the outcome of.
 
-    return _batches(segments(), FORMATTED)
+    Rows are numbered as messages by turn, role and text, nulls first, so that rows of
+    one turn stay messages of their own. An assistant's text is streamed in deltas; of
+    every fourth one an attempt went before that was generated again. Every third
+    message of the others was a draft that an edit replaced. Folding gives the rows.
+    """
+    by = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
+    rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.row_number().over(by).cast("long").alias("message"), "role", F.coalesce("text", F.lit("")).alias("text"))
+    one = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    n, text = F.length("text"), F.col("text")
+    deltas = F.transform(F.sequence(F.lit(0), F.floor(F.greatest(n - 1, F.lit(0)) / DELTA).cast("int")), lambda i: one("delta", F.substring(text, i * DELTA + 1, F.lit(DELTA))))
+    again = F.concat(F.array(one("delta", F.reverse(F.substring(text, 1, DELTA))), one("regenerate", F.lit(None).cast("string"))), deltas)
+    streamed = F.when(F.col("message") % 4 == 0, again).otherwise(deltas)
+    edited = F.array(one("message", F.substring(text, 1, DELTA)), one("edit", text))
+    steps = F.when(F.col("role") == "assistant", streamed).when(F.col("message") % 3 == 0, edited).otherwise(F.array(one("message", text)))
+    return rows.select("conv_id", "message", "role", F.posexplode(steps).alias("step", "e")).select("conv_id", F.col("step").cast("long").alias("seq"), "message", "e.kind", "role", "e.text")
 
 
 def format_turns(conversations: DataFrame) -> DataFrame:
-    """``format_conversations`` for a table with one row a turn (conv_id, turn, role, text): equal turn numbers stay separate turns."""
-    events = conversation_events(conversations)
-    return _by_conversation(events, "message", "seq", "kind", "role", "text").mapInArrow(_format_rows, "conv_id long, turn_no long, formatted string, loss_start long, loss_end long")
+    """``format_conversations`` of the events of a table with one row a turn (conv_id, turn, role, text): equal turn numbers stay separate turns."""
+    return format_conversations(conversation_events(conversations))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
