@@ -7,7 +7,7 @@ import numpy as np
 from docquery.llm import bpe, mixing
 from tokenizers import Tokenizer
 
-from tests.llm import test_pii, test_quality, test_simhash
+from tests.llm import test_jaccard, test_pii, test_quality
 
 SF = "/root/testdata/sf0.001"
 
@@ -31,8 +31,7 @@ def test_stages(spark, tmp_path):
     good = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").collect()}
     assert {r.doc_id for r in raw if r.doc_id in good and len((r.text or "").split()) >= 20} - kept <= {r.doc_id for r in raw if 100 * test_quality.brute(r.text)[4] > 30 * len(r.text.split())}
 
-    groups = test_simhash.brute_components([(r.doc_id, test_simhash.brute_fingerprint(r.text)) for r in clean])
-    assert sorted(r.doc_id for r in alone) == sorted({c for _, _, c in groups})
+    assert sorted(r.doc_id for r in alone) == test_jaccard.brute_kept([(r.doc_id, r.text) for r in clean])
 
     before = {r.doc_id: r.text for r in alone}
     assert len(redacted) == len(alone)
@@ -51,3 +50,12 @@ def test_run_and_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, SF).count() > 0
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_edge_cases_of_a_whole_run(spark, tmp_path):
+    prose = " ".join(f"word{i} and then, some more of it;" for i in range(40)) + "."
+    rows = [(1, prose, "en", "a", 1), (1, prose, "en", "a", 1), (2, prose + " more", None, None, None), (None, "x " + prose[::-1], "de", "a", 2), (3, None, None, "b", 0), (4, "", "", "", 0), (5, ". ".join(f"sentence {i} tells of thing{i * 7} in place{i * 3}" for i in range(20_000)) + ".", "en", "b", 9)]
+    spark.createDataFrame([(*r, "c", 7) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, size string, decoded_text int").write.parquet(str(tmp_path / "documents.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in out} <= {1, None, 5} and 5 in {r.doc_id for r in out}
+    assert all(len(r.token_ids) > 0 and r.size == "c" and r.decoded_text == 7 for r in out)
