@@ -3,15 +3,20 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as
 Parquet and reread as the next stage's ``docs``. All but the last return the columns
 of ``documents``; the last adds the tokens.
+
+A null or empty text has too few words and goes in the first stage; very long texts are
+read whole by each stage; repeated rows are one document from the second stage on; null
+ids and sources pass (the smallest id stays of a group, a null one only where there is
+no other; null is a source of its own); other columns pass through, whatever their
+names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-from docquery.llm import bpe, jaccard, mixing, pii, quality
+from docquery.llm import bpe, mixing, pii, quality, simhash
+from docquery.sources.storage import scratch
 
 #: Not expressible in SQL: components, trees and tokens. The test holds the stages against brute-force versions.
 ORACLE_SQL = None
@@ -24,7 +29,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id: shingles of five words, a Jaccard similarity of 0.8 or more."""
-    return jaccard.keep_one(docs)
+    return simhash.keep_one_similar(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,14 +47,12 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, digests=True).drop("decoded")
 
 
-STAGES = [("quality rules", quality_rules), ("jaccard near-dedup", near_duplicates), ("pii redaction", personal_data), ("source mixture", mixture), ("bpe tokens", tokens)]
+STAGES = [("quality rules", quality_rules), ("simhash near-dedup", near_duplicates), ("pii redaction", personal_data), ("source mixture", mixture), ("bpe tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written to the shared folder before the next one reads it."""
-    from docquery.llm.common import shared_folder
-
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)

@@ -46,13 +46,15 @@ def test_approximate_search_has_recall(spark):
     exact = {(r.query_id, r.vec_id) for r in search.top_k(chunks, queries, 10).collect()}
     near = {(r.query_id, r.vec_id) for r in search.approximate_top_k(chunks, queries, 10).collect()}
     assert len(exact & near) >= 0.9 * len(exact)
+    again = search.approximate_top_k(chunks, queries, 10, index=search.sketches(chunks))
+    assert {(r.query_id, r.vec_id) for r in again.collect()} == near
 
 
 def test_top_k_in_blocks_is_the_same(spark, monkeypatch):
     sf = "/root/testdata/sf0.01"
     chunks, queries = fx.chunks(spark, sf), fx.vector_queries(spark, sf)
     whole = sorted(map(tuple, search.top_k(chunks, queries, 7).collect()))
-    monkeypatch.setattr(search, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(search, "QUERY_BYTES", 3 * 64 * 8)
     assert sorted(map(tuple, search.top_k(chunks, queries, 7).collect())) == whole
 
 
@@ -74,3 +76,46 @@ def test_prompt(spark):
     df = spark.createDataFrame([("hi", "ctx")], "q string, c string").withColumn("h", F.array(F.struct(F.lit("user").alias("role"), F.lit("old").alias("text"))))
     got = df.select(conversation.prompt_messages(F.col("h"), F.col("c"), F.col("q")).alias("m")).head().m
     assert [x.role for x in got] == ["system", "user", "user"] and got[2].content.endswith("QUESTION: hi\n\nANSWER:")
+
+
+def test_cache_without_pairs(spark):
+    """A hot key over many spans against brute force, and a plan that forms no pairs."""
+    import datetime
+    import random
+
+    from docquery.operators import cache
+
+    rng, start = random.Random(4), datetime.datetime(2024, 1, 1)
+    at = lambda: start + datetime.timedelta(seconds=rng.randrange(40_000))
+    asked = [(i, rng.choice("aaaab"), at()) for i in range(800)] + [(900, None, start), (901, "a", None)]
+    entries = [(rng.choice("aaab"), at(), i) for i in range(120)]
+    voids = [(at(),) for _ in range(40)]
+    a = spark.createDataFrame(asked, "request_id long, key string, asked_at timestamp")
+    e = spark.createDataFrame(entries, "key string, cached_at timestamp, response long")
+    v = spark.createDataFrame(voids, "at timestamp")
+    found = cache.lookup(a, e, 3600, v)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, key, t in asked:
+        live = [(c, r) for k, c, r in entries if key is not None and t is not None and k == key and c <= t < c + datetime.timedelta(seconds=3600) and not any(c < x <= t for (x,) in voids)]
+        want[i] = max(live) if live else (None, None)
+    assert {r.request_id: (r.cached_at, r.response) for r in found.collect()} == want
+
+
+def test_ranking_by_label_is_ranking(spark):
+    items = spark.createDataFrame([(i, i % 3) for i in range(30)], "id long, label int")
+    queries = spark.createDataFrame([(0, 0), (1, 1), (40, 2), (41, None)], "query_id long, label int")
+    retrieved = spark.createDataFrame([(q, r + 1, (q + 2 * r) % 30) for q in (0, 1, 40) for r in range(6)], "query_id long, rank int, id long")
+    relevant = queries.join(items, "label").filter("query_id <> id").select("query_id", "id")
+    assert sorted(map(tuple, metrics.ranking_by_label(queries, retrieved, items).collect())) == sorted(map(tuple, metrics.ranking(queries, retrieved, relevant).collect()))
+
+
+def test_longest_common_subsequence():
+    import itertools
+    import random
+
+    rng = random.Random(1)
+    for _ in range(50):
+        r, h = [[rng.choice("abc") for _ in range(rng.randrange(7))] for _ in range(2)]
+        want = max(n for n in range(len(r) + 1) if any(all(c in it for c in part) for part in itertools.combinations(r, n) for it in [iter(h)]))
+        assert metrics._longest_common(r, h) == want
