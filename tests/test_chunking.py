@@ -103,3 +103,45 @@ def test_rules(spark):
     assert got == {d: c for d, c in want.items() if c} and want["tail"] == [] and want["unstripped"][0][0].endswith("\n\n")
     leaked = {r.document_id: list(r.page_numbers) for r in chunking.pack_blocks(frame.filter("document_id = 'lost'"), 150, 25, 30, leak=True).collect()}
     assert leaked == {"lost": [1, 2]}
+
+
+def plain_sentence_chunks(text, size, overlap):
+    """The rules of K-3 to K-5 as loops."""
+    import re
+
+    strip = lambda t: re.sub(r"^[ \t\n\x0b\f\r]+|[ \t\n\x0b\f\r]+$", "", t)
+    split = lambda t: re.split(r"(?<=[.!?])[ \t\n\x0b\f\r]+", t)
+    tokens = lambda t: len(t) // 4
+    out, cur = [], ""
+    for s in split(text):
+        if tokens(cur + s + " ") <= size:
+            cur += s + " "
+            continue
+        if cur:
+            out.append(strip(cur))
+        if tokens(s) > size:
+            part = ""
+            for w in [w for w in re.split(r"[ \t\n\x0b\f\r]+", s) if w]:
+                longer = f"{part} {w}" if part else w
+                if tokens(longer) >= size:
+                    out += [part] if part else []
+                    longer = w
+                part = longer
+            out += [part] if part else []
+            cur = ""
+        else:
+            kept = ""
+            for x in reversed(split(cur)) if cur else ():
+                if tokens(f"{x} {kept}") > overlap:
+                    break
+                kept = f"{x} {kept}"
+            cur = kept + s + " "
+    return out + ([strip(cur)] if strip(cur) else [])
+
+
+def test_sentence_chunks_and_their_stream_against_plain_python(spark, sf_dir):
+    from docquery.plans import registry
+
+    want = sorted((str(r.doc_id), i, c) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() for i, c in enumerate(plain_sentence_chunks(r.text, 120, 25)))
+    for name in ("k3_k5_sentence_chunks", "r1_ingest"):
+        assert sorted(tuple(r) for r in registry.queries()[name](spark, sf_dir).select("document_id", "chunk_index", "content").collect()) == want
