@@ -20,7 +20,7 @@ def stripped(text: Column) -> Column:
 
 def counts(items: Column) -> Column:
     """Distinct items with their numbers, sorted: array<struct<w, n>>. Sorted once and cut at changes, so n log n for long texts."""
-    ordered = F.array_sort(items)
+    ordered = F.sort_array(items)
 
     def of(s: Column) -> Column:
         starts = F.filter(F.transform(s, lambda x, i: F.when(F.coalesce(F.get(s, i - 1) == x, F.lit(False)), None).otherwise(i)), lambda i: i.isNotNull())

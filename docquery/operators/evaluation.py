@@ -33,8 +33,8 @@ def evaluated(cases: DataFrame, ranked: DataFrame, answers: DataFrame) -> DataFr
         metrics.faithfulness(a, c).alias("faithfulness"),
         metrics.citation_accuracy(F.col("cited"), c).alias("citation_accuracy"),
         metrics.hallucinated(a, c).alias("hallucinated"),
-        metrics.correctness(a, truth, c).alias("answer_correctness"),
-    )
+        F.when(F.coalesce(truth, F.lit("")) != "", metrics.similarity(a, truth)).alias("answer_correctness"),
+    ).withColumn("answer_correctness", F.coalesce("answer_correctness", "faithfulness"))  # as metrics.correctness has it
     out = cases.select("query_id", "category").join(ranked, "query_id", "left").join(text, "query_id", "left")
     out = out.withColumn("error", F.when(F.col("bleu").isNull() | (F.coalesce("n_retrieved", F.lit(0)) == 0), F.lit("no chunks or no answer")))
     total = metrics.overall(*[F.col(x) for x in ("precision", "recall", "ndcg", "bleu", "rouge_l", "faithfulness", "context_precision", "context_recall", "citation_accuracy", "hallucinated")])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 from pathlib import Path
 
 import pandas as pd
@@ -82,17 +83,23 @@ def topic_words(text: Column, stops: tuple[str, ...] | None = None) -> Column:
     return F.filter(found, lambda w: ~w.isin(*(stop_words() if stops is None else stops)))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Cosine of two texts' TF-IDF vectors fitted on these two alone: a word in both weighs 1, in one ln(1.5) + 1. 0 where either has no words."""
+def _cosine(x: Column, y: Column, in_y: Column) -> Column:
+    """Of two texts' counted words; ``in_y``: those of ``y`` as a map."""
     once = F.lit(1.0 + 0.4054651081081644)
+    shared = F.aggregate(x, F.lit(0.0), lambda s, e: s + e["n"] * F.coalesce(F.try_element_at(in_y, e["w"]), F.lit(0)).cast("double"))
+    norm = lambda c, m: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, e: s + F.pow(e["n"] * F.when(F.map_contains_key(m, e["w"]), 1.0).otherwise(once), F.lit(2.0))))
+    value = let(F.map_from_entries(x), lambda in_x: F.coalesce(shared / F.nullif(norm(x, in_y) * norm(y, in_x), F.lit(0.0)), F.lit(0.0)))
+    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(value)
+
 
-    def of(x: Column, y: Column) -> Column:
-        maps = lambda c: F.map_from_entries(c)
-        shared = lambda c, m: F.aggregate(c, F.lit(0.0), lambda s, e: s + e["n"] * F.coalesce(F.try_element_at(m, e["w"]), F.lit(0)).cast("double"))
-        norm = lambda c, m: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, e: s + F.pow(e["n"] * F.when(F.map_contains_key(m, e["w"]), 1.0).otherwise(once), F.lit(2.0))))
-        return let(maps(x), lambda mx: let(maps(y), lambda my: F.coalesce(shared(x, my) / F.nullif(norm(x, my) * norm(y, mx), F.lit(0.0)), F.lit(0.0))))
+def _similar_to(text: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
+    """``body`` of a function that gives other texts' similarity with ``text``, whose words are counted once."""
+    return let(counts(topic_words(text)), lambda y: let(F.map_from_entries(y), lambda in_y: body(lambda a: let(counts(topic_words(a)), lambda x: _cosine(x, y, in_y)))))
 
-    return let(counts(topic_words(a)), lambda x: let(counts(topic_words(b)), lambda y: F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(of(x, y))))
+
+def similarity(a: Column, b: Column) -> Column:
+    """Cosine of two texts' TF-IDF vectors fitted on these two alone: a word in both weighs 1, in one ln(1.5) + 1. 0 where either has no words."""
+    return _similar_to(b, lambda like: like(a))
 
 
 def grams(tokens: Column, n: int) -> Column:
@@ -158,7 +165,8 @@ def rouge_l(reference: Column, hypothesis: Column) -> Column:
 def faithfulness(answer: Column, context: Column, at: float = DEFAULTS.faithful_at) -> Column:
     """Share of an answer's sentences that are similar to the context; 0 without sentences."""
     sentences = F.filter(F.transform(F.split(answer, "[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    return let(sentences, lambda ss: F.when(F.size(ss) == 0, 0.0).otherwise(F.size(F.filter(ss, lambda s: similarity(s, context) >= at)) / F.size(ss)))
+    share = lambda ss, like: F.when(F.size(ss) == 0, 0.0).otherwise(F.size(F.filter(ss, lambda s: like(s) >= at)) / F.size(ss))
+    return _similar_to(context, lambda like: let(sentences, lambda ss: share(ss, like)))
 
 
 def hallucinated(answer: Column, context: Column) -> Column:
