@@ -321,7 +321,6 @@ SQL = {
     "t9_row_chunks": f"WITH {CLEAN_SQL}, parts AS (SELECT table_id, name, row_idx // 5 AS p, min(row_idx) + 1 AS first, max(row_idx) + 1 AS last, string_agg(t, chr(10) ORDER BY row_idx) AS body FROM lines WHERE table_id IN (SELECT table_id FROM clean WHERE len(rows) > 10) GROUP BY ALL) SELECT table_id, concat(first, '-', last) AS row_range, concat('Table: ', name, ' (Rows ', first, '-', last, ')', chr(10), chr(10), replace(body, '@@', '')) AS content FROM parts",
     "k1_token_count": f"WITH {FI} SELECT document_id, CAST(length(text) // 4 AS INTEGER) AS tokens FROM files",
     "k2_pack_blocks": f"WITH RECURSIVE {blocks_sql(120, 25, 30)} SELECT document_id, chunk_index, content, array_to_string(pages, ',') AS page_numbers, array_to_string(sections, '|') AS sections, CAST(length(content) // 4 AS INTEGER) AS token_count FROM chunks_",
-    "k3_k5_sentence_chunks": f"WITH RECURSIVE {FI}, {sentences_sql('SELECT document_id AS id, text FROM files', 120, 25)} SELECT id AS document_id, CAST(row_number() OVER (PARTITION BY id ORDER BY step, part) - 1 AS INTEGER) AS chunk_index, content FROM packed_sentences",
     "k6_chunk_records": f"WITH RECURSIVE {blocks_sql(500, 50, 100)} SELECT document_id, concat(document_id, '_', chunk_index) AS chunk_id, 'text' AS chunk_type, filename, department, CAST(length(content) // 4 AS INTEGER) AS token_count, NULL::INTEGER AS row_count FROM chunks_ JOIN files USING (document_id) UNION ALL SELECT document_id, NULL, 'table', NULL, NULL, NULL, 1 FROM files WHERE file_type = 'md'",
     "k7_ingest_counts": f"WITH RECURSIVE {blocks_sql(500, 50, 100)}, n AS (SELECT document_id, count(*) AS n FROM chunks_ GROUP BY document_id) SELECT document_id, coalesce(n, 0) AS text_chunks, CAST(file_type = 'md' AS BIGINT) AS table_chunks, CASE WHEN coalesce(n, 0) + CAST(file_type = 'md' AS BIGINT) > 0 THEN 'success' ELSE 'warning' END AS status FROM files LEFT JOIN n USING (document_id)",
     "e1_prefix": f"WITH {FI} SELECT document_id, md5(concat('{embed.PREFIXES['query']}', text)) AS with_prefix, md5(text) AS without FROM files",
