@@ -1,23 +1,25 @@
-"""The registered queries of this subpackage and their SQL."""
+"""The registered queries of this subpackage and their SQL.
+
+All modules are imported here, at the head: where a package that one of them needs is
+missing, importing this module fails, and the entry point leaves the subpackage out.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Each module names its query in QUERY and has ``query(spark, sf_dir)``; ORACLE_SQL is its DuckDB SQL, or None.
-MODULES = ("chat", "bpe", "sharding", "mixing", "quality", "simhash", "embeddings", "pii", "toxicity", "licenses")
-
+import corpus_pipeline
+from docquery.llm import bpe, chat, embeddings, licenses, mixing, pieces, pii, quality, sharding, simhash, toxicity
 
-def _modules():
-    return [import_module(f"docquery.llm.{m}") for m in MODULES]
+#: Each module names its query in QUERY and has ``query(spark, sf_dir)``; ORACLE_SQL is its DuckDB SQL, or None.
+MODULES = (chat, bpe, sharding, mixing, quality, simhash, embeddings, pii, toxicity, licenses, pieces)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {m.QUERY: m.query for m in _modules()} | {"pipeline": import_module("corpus_pipeline").run}
+    return {m.QUERY: m.query for m in MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {m.QUERY: m.ORACLE_SQL for m in _modules() if m.ORACLE_SQL}
+    return {m.QUERY: m.ORACLE_SQL for m in MODULES if m.ORACLE_SQL}
