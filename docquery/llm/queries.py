@@ -11,10 +11,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from docquery.llm import bpe, chat, embeddings, licenses, mixing, pieces, pii, quality, sharding, simhash, toxicity
+from docquery.llm import alignment, bpe, chat, embeddings, filter_audit, licenses, mixing, pieces, pii, quality, sharding, simhash, toxicity
 
 #: Each module names its query in QUERY and has ``query(spark, sf_dir)``; ORACLE_SQL is its DuckDB SQL, or None.
-MODULES = (chat, bpe, sharding, mixing, quality, simhash, embeddings, pii, toxicity, licenses, pieces)
+MODULES = (chat, bpe, sharding, mixing, quality, simhash, embeddings, pii, toxicity, licenses, filter_audit, pieces, alignment)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
