@@ -10,10 +10,19 @@ from docquery.functions.text import stripped
 
 
 def read_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = DEFAULTS.extensions, recursive: bool = True) -> DataFrame:
-    """Files of a directory by extension, with their text (UTF-8; what is no UTF-8 is left out)."""
+    """Files of a directory by extension, with their text (UTF-8; bytes that are none are left out, the character U+FFFD that a file really holds is not)."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     kept = found.filter(F.lower("path").rlike("(" + "|".join(e.replace(".", "\\.") for e in extensions) + ")$"))
-    return kept.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("filename"), F.col("length").alias("file_size"), F.md5("path").alias("document_id"), F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit("")).alias("text"))
+    return kept.select("path", F.regexp_extract("path", "([^/]+)$", 1).alias("filename"), F.col("length").alias("file_size"), F.md5("path").alias("document_id"), decoded(F.col("content")).alias("text"))
+
+
+def decoded(content: Column) -> Column:
+    """Bytes as text. What doesn't decode becomes U+FFFD and is dropped; U+FFFD of the file itself is set apart before by a private character, and that one by doubling."""
+    raw = content.cast("string")
+    mark = "\ue000"
+    kept = F.replace(F.replace(raw, F.lit(mark), F.lit(mark + "0")), F.lit("\ufffd"), F.lit(mark + "1"))
+    left = F.replace(F.make_valid_utf8(kept), F.lit("\ufffd"), F.lit(""))
+    return F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(F.replace(left, F.lit(mark + "1"), F.lit("\ufffd")), F.lit(mark + "0"), F.lit(mark)))
 
 
 def admitted(files: DataFrame, extensions: tuple[str, ...] = DEFAULTS.extensions, most: int = DEFAULTS.max_file_bytes) -> tuple[DataFrame, DataFrame]:
@@ -78,10 +87,34 @@ def one_document(store: DataFrame, document_id: str) -> DataFrame:
     return listed(store.filter(F.col("document_id") == document_id))
 
 
+#: Tables of a file as its parser gives them: of each table the rows, of each row the cells.
+TABLES = "array<array<array<string>>>"
+
+
+def parsed(files: DataFrame, extensions: tuple[str, ...] = DEFAULTS.extensions, *, tables: str | None = None) -> DataFrame:
+    """Files (filename, text) with ``error``: what stops one from being processed, null where nothing does; others go on.
+
+    A file of a format without a parser and one without content fail. ``tables`` names a
+    column with the file's tables as JSON (null: none): ``table_rows`` has them, and a
+    file fails whose JSON is malformed. A failed file has no tables.
+    """
+    kind = F.concat(F.lit("."), F.lower(F.regexp_extract("filename", r"\.([^.]+)$", 1)))
+    error = F.when(~kind.isin(*extensions), F.concat(F.lit("Unsupported file format: "), F.when(kind == ".", "").otherwise(kind))).when(F.col("text").isNull(), "No content")
+    none = F.expr(f"cast(array() as {TABLES})")
+    if tables is None:
+        return files.withColumns({"table_rows": none, "error": error})
+    read = F.from_json(tables, TABLES)
+    out = files.withColumn("table_rows", F.when(F.col(tables).isNull(), none).otherwise(read))
+    error = error.when(F.col("table_rows").isNull(), F.concat(F.lit("Malformed tables in "), "filename"))
+    return out.withColumn("error", error).withColumn("table_rows", F.when(F.col("error").isNull(), F.col("table_rows")).otherwise(none))
+
+
 def ingest_log(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """Outcome of each admitted file: completed with its chunks, or a warning where it gave none."""
+    """Outcome of each file of ``parsed``: failed with its error, completed with its chunks and tables, or a warning where it gave no chunk. Chunks of a failed file don't count."""
     counted = chunks.groupBy("document_id").agg(F.count("*").alias("n"))
-    return files.join(counted, "document_id", "left").select("document_id", "filename", F.coalesce("n", F.lit(0)).alias("chunks_count"), F.when(F.col("n") > 0, "completed").otherwise("warning").alias("status"))
+    good, n = F.col("error").isNull(), F.coalesce("n", F.lit(0))
+    status = F.when(~good, "failed").when(n > 0, "completed").otherwise("warning")
+    return files.join(counted, "document_id", "left").select("document_id", "filename", F.when(good, n).otherwise(0).alias("chunks_count"), F.size("table_rows").alias("tables_count"), status.alias("status"), "error")
 
 
 def with_metadata(files: DataFrame, *, document_id: Column | None = None, **values: str | None) -> DataFrame:
@@ -92,5 +125,5 @@ def with_metadata(files: DataFrame, *, document_id: Column | None = None, **valu
 
 
 def processed_totals(log: DataFrame) -> DataFrame:
-    """Documents processed and chunks created, by an ingest log."""
-    return log.agg(F.count("*").alias("documents_processed"), F.coalesce(F.sum("chunks_count"), F.lit(0)).alias("chunks_created"), F.count_if(F.col("status") == "warning").alias("warnings"))
+    """Documents processed and chunks created, by an ingest log; failed documents are counted apart."""
+    return log.agg(F.count_if(F.col("status") != "failed").alias("documents_processed"), F.coalesce(F.sum("chunks_count"), F.lit(0)).alias("chunks_created"), F.count_if(F.col("status") == "warning").alias("warnings"), F.count_if(F.col("status") == "failed").alias("failures"))

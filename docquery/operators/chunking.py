@@ -31,10 +31,10 @@ def paragraphs(docs: DataFrame, document_id: str = "document_id", text: str = "t
 
 
 def page_blocks(pages: DataFrame) -> DataFrame:
-    """Pages (document_id, page_number, text) to blocks: the first line of page 1 with text is a title, before the page's own text."""
+    """Pages (document_id, page_number, text) to blocks: the first line of page 1 with text is a title, before the page's own text, without white space at its ends."""
     first = F.get(F.filter(F.transform(F.split("text", "\n"), stripped), lambda x: x != ""), F.lit(0))
     title = pages.filter("page_number = 1").withColumn("first", first).filter("first is not null").select("document_id", "page_number", F.lit(0).alias("place"), F.lit("title").alias("type"), F.concat(F.lit("DOCUMENT TITLE: "), "first").alias("text"))
-    body = pages.filter(stripped(F.col("text")) != "").select("document_id", "page_number", F.lit(1).alias("place"), F.lit("text").alias("type"), "text")
+    body = pages.filter(stripped(F.col("text")) != "").select("document_id", "page_number", F.lit(1).alias("place"), F.lit("text").alias("type"), stripped(F.col("text")).alias("text"))
     order = Window.partitionBy("document_id").orderBy("page_number", "place")
     return title.unionByName(body).withColumn("block_idx", F.row_number().over(order) - 1).drop("place")
 

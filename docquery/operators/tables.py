@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docquery.config import DEFAULTS
@@ -92,11 +92,24 @@ def row_chunks(tables: DataFrame, limit: int = DEFAULTS.table_rows_limit, batch:
     return own.select("table_id", F.lit("table_rows").alias("chunk_type"), "row_range", F.array_join(F.concat(head, body), "\n").alias("content"))
 
 
-def named_by_page(tables: DataFrame) -> DataFrame:
-    """Admitted tables of pages, named by page and place on it."""
-    return admitted(tables).withColumn("name", F.concat_ws("_", F.lit("Table"), F.col("page_number").cast("string"), F.col("place").cast("string")))
+def named_by_page(tables: DataFrame, order: str = "place") -> DataFrame:
+    """Admitted tables of pages (document_id, page_number, rows, and ``order``: where on the page), named by page and number on it; the number counts tables that are not admitted as well."""
+    on_page = Window.partitionBy("document_id", "page_number").orderBy(order)
+    numbered = tables.withColumn("table_index", F.row_number().over(on_page) - 1)
+    return admitted(numbered).withColumn("name", F.concat_ws("_", F.lit("Table"), F.col("page_number").cast("string"), (F.col("table_index") + 1).cast("string")))
 
 
-def named_by_size(tables: DataFrame) -> DataFrame:
-    """Admitted tables of sectioned documents, named by their number of rows."""
-    return admitted(tables).withColumn("name", F.concat(F.lit("Table_"), F.size("rows").cast("string"), F.lit("rows")))
+def section_tables(elements: DataFrame) -> DataFrame:
+    """Tables of sectioned documents from their elements (document_id, place, type, text, rows) in order.
+
+    A table is an element with ``rows``, its header row first; its section is the last
+    heading before it, '' where there is none. Cells are stripped, null cells ''. A
+    table is named by its number of rows, the header row among them; one that has a
+    header alone stays, with no rows; one without any row goes.
+    """
+    so_far = Window.partitionBy("document_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    heading = F.when((F.col("type") == "heading") & (stripped(F.col("text")) != ""), stripped(F.col("text")))
+    found = elements.withColumn("section", F.coalesce(F.last_value(heading, F.lit(True)).over(so_far), F.lit(""))).filter("type = 'table' and size(rows) > 0")
+    cells = F.transform("rows", lambda r: F.transform(r, lambda c: stripped(F.coalesce(c, F.lit("")))))
+    named = found.withColumns({"name": F.concat(F.lit("Table_"), F.size("rows").cast("string"), F.lit("rows")), "__r": cells})
+    return named.withColumns({"headers": F.col("__r")[0], "rows": F.slice("__r", F.lit(2), F.size("__r"))}).drop("__r", "type", "text")

@@ -17,22 +17,47 @@ FI, T, R = fx.FILES_SQL, fx.TABLES_SQL, fx.REQUESTS_SQL
 
 
 def logged(spark: SparkSession, sf: str) -> DataFrame:
-    """Outcome of every file; chunks by sentences, none for short texts."""
-    files = fx.files(spark, sf)
-    chunks = files.filter(chunking.count_tokens(F.col("text")) >= 100).select("document_id", F.explode(F.split("text", "\n")).alias("content"))
-    return catalogue.ingest_log(files, chunks)
+    """Outcome of every file. Every fifth has two tables, of every tenth from the third on they are malformed; a fourth are of a format that is not read; chunks by lines and tables, none for short texts."""
+    tables = F.when(F.col("document_id") % 10 == 3, '[[["a", "b"], ["1"').when(F.col("document_id") % 5 == 0, '[[["a", "b"], ["1", "2"]], [["c"]]]')
+    files = catalogue.parsed(fx.files(spark, sf).withColumn("tables", tables), tables="tables")
+    good = files.filter("error is null")
+    lines = good.filter(chunking.count_tokens(F.col("text")) >= 100).select("document_id", F.explode(F.split("text", "\n")).alias("content"))
+    return catalogue.ingest_log(files, lines.unionByName(good.select("document_id", F.explode("table_rows").alias("t")).select("document_id", F.to_json("t").alias("content"))))
 
 
-LOGGED_SQL = f"{FI}, logged AS (SELECT document_id, filename, CASE WHEN length(text) // 4 >= 100 THEN CAST(len(string_split(text, chr(10))) AS BIGINT) ELSE 0 END AS chunks_count, CASE WHEN length(text) // 4 >= 100 THEN 'completed' ELSE 'warning' END AS status FROM files)"
+LOGGED_SQL = f"""{FI}, faults AS (
+  SELECT document_id, filename, text, CASE WHEN document_id::BIGINT % 4 = 3 THEN 'Unsupported file format: .xyz' WHEN document_id::BIGINT % 10 = 3 THEN concat('Malformed tables in ', filename) END AS error FROM files
+), counts_ AS (
+  SELECT *, CASE WHEN error IS NULL AND document_id::BIGINT % 5 = 0 THEN 2 ELSE 0 END AS tables_count, CASE WHEN error IS NULL AND length(text) // 4 >= 100 THEN CAST(len(string_split(text, chr(10))) AS BIGINT) ELSE 0 END AS lines_count FROM faults
+), logged AS (
+  SELECT document_id, filename, lines_count + tables_count AS chunks_count, CAST(tables_count AS INTEGER) AS tables_count, CASE WHEN error IS NOT NULL THEN 'failed' WHEN lines_count + tables_count > 0 THEN 'completed' ELSE 'warning' END AS status, error FROM counts_)"""
 
 
 def raw_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """Tables of pages: a brand is a document, three of its tables are a page; those of every tenth brand have a header row alone."""
     t = fx.tables(spark, sf)
-    rows = F.when(F.col("table_id").endswith("3"), F.slice("rows", 1, 1)).otherwise(F.col("rows"))
-    return t.select("table_id", rows.alias("rows"), F.lit(2).alias("page_number"), F.length("table_id").alias("place"))
+    rows = F.when(F.col("table_id").startswith("Brand#13"), F.slice("rows", 1, 1)).otherwise(F.col("rows"))
+    span = F.substring_index("table_id", "_", -1).cast("int")
+    return t.select("table_id", F.substring_index("table_id", "_", 1).alias("document_id"), rows.alias("rows"), (F.floor(span / 3) + 1).cast("int").alias("page_number"), span.alias("place"))
 
 
-RAW_SQL = f"{T}, raw AS (SELECT table_id, CASE WHEN table_id LIKE '%3' THEN rows[1:1] ELSE rows END AS rows, length(table_id) AS place FROM tables_)"
+RAW_SQL = f"{T}, raw AS (SELECT *, place // 3 + 1 AS page_number FROM (SELECT table_id, string_split(table_id, '_')[1] AS document_id, CASE WHEN table_id LIKE 'Brand#13%' THEN rows[1:1] ELSE rows END AS rows, CAST(string_split(table_id, '_')[2] AS INTEGER) AS place FROM tables_))"
+
+
+def section_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """The same tables in sectioned documents: before every other one stands a heading, the first of every fifth brand has none before it."""
+    t = raw_tables(spark, sf)
+    tables = t.select("document_id", (F.col("place") * 2 + 1).alias("place"), F.lit("table").alias("type"), F.lit("").alias("text"), "rows", "table_id")
+    heads = t.filter("place % 2 = 0 and not (place = 0 and document_id like '%5')").select("document_id", (F.col("place") * 2).alias("place"), F.lit("heading").alias("type"), F.concat(F.lit(" Part "), F.col("place"), F.lit(" \n")).alias("text"))
+    found = tb.section_tables(tables.unionByName(heads, allowMissingColumns=True))
+    return found.select("table_id", "name", "section", F.array_join("headers", "|").alias("headers"), F.size("rows").alias("n_rows"), F.md5(F.array_join(F.transform("rows", lambda r: F.array_join(r, "~")), "\n")).alias("rows_md5"))
+
+
+_STRIP = r"list_transform({}, lambda c: regexp_replace(coalesce(c, ''), '^\s+|\s+$', '', 'g'))"
+SECTIONS_SQL = rf"""WITH {RAW_SQL} SELECT table_id, concat('Table_', len(rows), 'rows') AS name,
+  CASE WHEN place < 2 AND document_id LIKE '%5' THEN '' ELSE concat('Part ', place // 2 * 2) END AS section,
+  array_to_string({_STRIP.format('rows[1]')}, '|') AS headers, CAST(len(rows) - 1 AS INTEGER) AS n_rows,
+  md5(array_to_string(list_transform(rows[2:], lambda r: array_to_string({_STRIP.format('r')}, '~')), chr(10))) AS rows_md5 FROM raw"""
 
 
 def evaluated(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,7 +105,7 @@ def snapshot(spark: SparkSession, sf: str) -> DataFrame:
 SNAPSHOT_SQL = f"""{memory_plans.REPLAY_SQL}, {LOGGED_SQL},
 ends AS (SELECT string_agg(concat(method, ':', endpoint, '=', n), ',' ORDER BY concat(method, ':', endpoint)) AS by_endpoint, CAST(sum(n) AS BIGINT) AS requests_total FROM (SELECT method, endpoint, count(*) AS n FROM requests GROUP BY ALL)),
 cache_ AS (SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 2) AS hit_rate FROM fold),
-docs_ AS (SELECT count(*) AS documents_processed, CAST(coalesce(sum(chunks_count), 0) AS BIGINT) AS chunks_created, count(*) FILTER (status = 'warning') AS warnings FROM logged)
+docs_ AS (SELECT count(*) FILTER (status <> 'failed') AS documents_processed, CAST(coalesce(sum(chunks_count), 0) AS BIGINT) AS chunks_created, count(*) FILTER (status = 'warning') AS warnings, count(*) FILTER (status = 'failed') AS failures FROM logged)
 SELECT * FROM ends, cache_, docs_, (SELECT count(*) AS total_requests, count(*) FILTER (status < 500) AS successful, count(*) FILTER (status >= 500) AS failed, CAST(coalesce(sum(tokens_in) FILTER (status < 500), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(tokens_out) FILTER (status < 500), 0) AS BIGINT) AS tokens_out, count(*) FILTER (fallback) AS fallbacks, round(100.0::DOUBLE * count(*) FILTER (status < 500) / greatest(count(*), 1), 2) AS success_rate, round(coalesce(sum(latency_ms), 0) / greatest(count(*), 1), 2) AS average_latency_ms FROM requests)"""
 
 
@@ -115,7 +140,7 @@ QUERIES = {
     "s4_metadata": lambda spark, sf: catalogue.with_metadata(fx.files(spark, sf), category="report", version="1", language="xx").select("document_id", "filename", "language", "category", "version"),
     "s8_ingest_log": logged,
     "p4_page_tables": lambda spark, sf: tb.named_by_page(raw_tables(spark, sf)).select("table_id", "name", F.array_join("headers", "|").alias("headers"), F.size("rows").alias("n_rows")),
-    "p5_section_tables": lambda spark, sf: tb.named_by_size(raw_tables(spark, sf)).select("table_id", "name"),
+    "p5_section_tables": section_tables,
     "x4_prompt_messages": lambda spark, sf: prompts(spark, sf).select("conv_id", "turn", F.size("messages").alias("n"), F.md5(F.array_join(F.transform("messages", lambda m: F.concat_ws("=", m["role"], m["content"])), "\n")).alias("messages_md5")),
     "g6_processed": lambda spark, sf: catalogue.processed_totals(logged(spark, sf)),
     "g7_snapshot": snapshot,
@@ -133,9 +158,9 @@ _DIGITS = "printf('%.2f', round({c}, 2)) AS {c}"
 SQL = {
     "s4_metadata": f"WITH {FI} SELECT md5(filename) AS document_id, filename, language, 'report' AS category, '1' AS version FROM files",
     "s8_ingest_log": f"WITH {LOGGED_SQL} SELECT * FROM logged",
-    "p4_page_tables": f"WITH {RAW_SQL} SELECT table_id, concat('Table_2_', place) AS name, array_to_string(list_transform(rows[1], lambda c: coalesce(c, '')), '|') AS headers, CAST(len(rows) - 1 AS INTEGER) AS n_rows FROM raw WHERE len(rows) > 1",
-    "p5_section_tables": f"WITH {RAW_SQL} SELECT table_id, concat('Table_', len(rows) - 1, 'rows') AS name FROM raw WHERE len(rows) > 1",
-    "g6_processed": f"WITH {LOGGED_SQL} SELECT count(*) AS documents_processed, CAST(coalesce(sum(chunks_count), 0) AS BIGINT) AS chunks_created, count(*) FILTER (status = 'warning') AS warnings FROM logged",
+    "p4_page_tables": f"WITH {RAW_SQL} SELECT table_id, concat('Table_', page_number, '_', row_number() OVER (PARTITION BY document_id, page_number ORDER BY place)) AS name, array_to_string(list_transform(rows[1], lambda c: coalesce(c, '')), '|') AS headers, CAST(len(rows) - 1 AS INTEGER) AS n_rows FROM raw QUALIFY len(rows) > 1",
+    "p5_section_tables": SECTIONS_SQL,
+    "g6_processed": f"WITH {LOGGED_SQL} SELECT count(*) FILTER (status <> 'failed') AS documents_processed, CAST(coalesce(sum(chunks_count), 0) AS BIGINT) AS chunks_created, count(*) FILTER (status = 'warning') AS warnings, count(*) FILTER (status = 'failed') AS failures FROM logged",
     "x4_prompt_messages": PROMPTS_SQL,
     "g7_snapshot": SNAPSHOT_SQL,
     "m17_overall": f"{EVALUATED_SQL} SELECT query_id, overall, error FROM results",

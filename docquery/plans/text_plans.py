@@ -30,15 +30,16 @@ blocks AS (SELECT document_id, block_idx, CASE WHEN starts_with(text, '#') THEN
 
 
 def pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Twenty lines to a page; every other page has white space around it."""
     lines = fx.files(spark, sf).select("document_id", F.split("text", "\n").alias("lines"))
     cut = lines.select("document_id", "lines", F.explode(F.sequence(F.lit(0), F.expr("(size(lines) - 1) div 20"))).alias("p"))
-    return cut.select("document_id", (F.col("p") + 1).cast("int").alias("page_number"), F.array_join(F.slice("lines", F.col("p") * 20 + 1, F.lit(20)), "\n").alias("text"))
+    return cut.select("document_id", (F.col("p") + 1).cast("int").alias("page_number"), F.array_join(F.slice("lines", F.col("p") * 20 + 1, F.lit(20)), "\n").alias("text")).withColumn("text", F.when(F.col("page_number") % 2 == 1, F.concat(F.lit(" \t"), "text", F.lit("\n "))).otherwise(F.col("text")))
 
 
 PAGES_SQL = rf"""{FI}, lined AS (SELECT document_id, string_split(text, chr(10)) AS lines FROM files), cut AS (SELECT document_id, lines, unnest(range((len(lines) - 1) // 20 + 1)) AS p FROM lined),
-pages AS (SELECT document_id, CAST(p + 1 AS INTEGER) AS page_number, array_to_string(lines[p * 20 + 1 : p * 20 + 20], chr(10)) AS text FROM cut),
+pages AS (SELECT document_id, CAST(p + 1 AS INTEGER) AS page_number, CASE WHEN p % 2 = 0 THEN concat(' ', chr(9), t, chr(10), ' ') ELSE t END AS text FROM (SELECT *, array_to_string(lines[p * 20 + 1 : p * 20 + 20], chr(10)) AS t FROM cut)),
 found AS (SELECT document_id, page_number, 0 AS place, 'title' AS type, 'DOCUMENT TITLE: ' || (list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''))[1] AS text FROM pages WHERE page_number = 1
-  UNION ALL SELECT document_id, page_number, 1, 'text', text FROM pages WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> '')"""
+  UNION ALL SELECT document_id, page_number, 1, 'text', regexp_replace(text, '^\s+|\s+$', '', 'g') FROM pages WHERE regexp_replace(text, '^\s+|\s+$', '', 'g') <> '')"""
 
 
 def hits(spark: SparkSession, sf: str) -> DataFrame:
@@ -272,40 +273,6 @@ QUERIES = {
     "m16_correctness": _pair(correctness=lambda: metrics.correctness(F.col("answer"), F.col("ground_truth"), F.col("context"))),
 }
 
-SQL = {
-    "p1_paragraphs": f"WITH {BLOCKS_SQL} SELECT document_id, CAST(block_idx AS INTEGER) AS block_idx, type, text FROM blocks",
-    "p2_page_blocks": f"WITH {PAGES_SQL} SELECT document_id, page_number, type, text, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, place) - 1 AS INTEGER) AS block_idx FROM found WHERE text IS NOT NULL",
-    "p3_sections": f"WITH {BLOCKS_SQL} SELECT document_id, CAST(block_idx AS INTEGER) AS block_idx, section FROM blocks",
-    "p6_document_stats": f"WITH {BLOCKS_SQL} SELECT document_id, count(*) AS blocks, count(*) FILTER (type = 'heading') AS headings, count(*) FILTER (type = 'paragraph') AS paragraph_count, count(*) FILTER (block_idx % 5 = 3) AS table_count, max(page_number) AS page_count, CAST(sum(length(text)) AS BIGINT) AS character_count FROM blocks GROUP BY document_id",
-    "t1_t2_clean_table": f"WITH {CLEAN_SQL} SELECT table_id, name, array_to_string(headers, '|') AS headers, array_to_string(list_transform(rows, lambda r: array_to_string(r, '~')), chr(10)) AS rows FROM clean",
-    "t3_row_text_indented": f"WITH {CLEAN_SQL} SELECT table_id, replace(content, '@@', '  ') AS content FROM texts",
-    "t4_row_text": f"WITH {CLEAN_SQL} SELECT table_id, replace(content, '@@', '') AS content FROM texts",
-    "t5_records": f"WITH {CLEAN_SQL} {RECORDS_SQL}",
-    "t6_markdown": MD_SQL,
-    "t7_summary": f"WITH {CLEAN_SQL} SELECT table_id, concat('Table ''', name, ''' with ', len(headers), ' columns (', array_to_string(headers[1:3], ', '), CASE WHEN len(headers) > 3 THEN '...' ELSE '' END, ') and ', len(rows), ' rows') AS summary FROM clean",
-    "t8_table_chunk": f"WITH {CLEAN_SQL} SELECT table_id, 'table' AS chunk_type, CAST(len(rows) AS INTEGER) AS row_count, md5(replace(content, '@@', '')) AS content_md5 FROM texts JOIN clean USING (table_id)",
-    "t9_row_chunks": f"WITH {CLEAN_SQL}, parts AS (SELECT table_id, name, row_idx // 5 AS p, min(row_idx) + 1 AS first, max(row_idx) + 1 AS last, string_agg(t, chr(10) ORDER BY row_idx) AS body FROM lines WHERE table_id IN (SELECT table_id FROM clean WHERE len(rows) > 10) GROUP BY ALL) SELECT table_id, concat(first, '-', last) AS row_range, concat('Table: ', name, ' (Rows ', first, '-', last, ')', chr(10), chr(10), replace(body, '@@', '')) AS content FROM parts",
-    "k1_token_count": f"WITH {FI} SELECT document_id, CAST(length(text) // 4 AS INTEGER) AS tokens FROM files",
-    "k2_pack_blocks": f"WITH RECURSIVE {blocks_sql(120, 25, 30)} SELECT document_id, chunk_index, content, array_to_string(pages, ',') AS page_numbers, array_to_string(sections, '|') AS sections, CAST(length(content) // 4 AS INTEGER) AS token_count FROM chunks_",
-    "k6_chunk_records": f"WITH RECURSIVE {blocks_sql(500, 50, 100)} SELECT document_id, concat(document_id, '_', chunk_index) AS chunk_id, 'text' AS chunk_type, filename, department, CAST(length(content) // 4 AS INTEGER) AS token_count, NULL::INTEGER AS row_count FROM chunks_ JOIN files USING (document_id) UNION ALL SELECT document_id, NULL, 'table', NULL, NULL, NULL, 1 FROM files WHERE file_type = 'md'",
-    "k7_ingest_counts": f"WITH RECURSIVE {blocks_sql(500, 50, 100)}, n AS (SELECT document_id, count(*) AS n FROM chunks_ GROUP BY document_id) SELECT document_id, coalesce(n, 0) AS text_chunks, CAST(file_type = 'md' AS BIGINT) AS table_chunks, CASE WHEN coalesce(n, 0) + CAST(file_type = 'md' AS BIGINT) > 0 THEN 'success' ELSE 'warning' END AS status FROM files LEFT JOIN n USING (document_id)",
-    "e1_prefix": f"WITH {FI} SELECT document_id, md5(concat('{embed.PREFIXES['query']}', text)) AS with_prefix, md5(text) AS without FROM files",
-    "e2_hashed_vectors": r"WITH b AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}'), lambda w: CAST(concat('0x', substring(md5(w), 1, 8)) AS BIGINT) % 16) AS b FROM conversations), v AS (SELECT conv_id, turn, list_transform(range(16), lambda i: len(list_filter(b, lambda x: x = i))::DOUBLE) AS v FROM b), n AS (SELECT *, sqrt(list_inner_product(v, v)) AS n FROM v) SELECT conv_id, turn, "
-    + ", ".join(f"round(CASE WHEN n > 0 THEN v[{i + 1}] / n ELSE v[{i + 1}] END, 6) AS v{i}" for i in (0, 3, 7, 15))
-    + " FROM n",
-    "x1_context": f"WITH {HITS_SQL} SELECT query_id, string_agg(concat('[Source ', rank, ': ', filename, ', ', concat_ws(' | ', concat('Page ', coalesce(CAST(page_number AS VARCHAR), 'N/A'), CASE WHEN chunk_type = 'table' THEN ', Type: Table' ELSE '' END), concat('Dept: ', department), CASE WHEN version IS NOT NULL THEN concat('Version: ', version) END), ']', chr(10), content, chr(10)), concat(chr(10), '---', chr(10)) ORDER BY rank) AS context FROM hits GROUP BY query_id",
-    "x2_short_context": f"WITH {HITS_SQL} SELECT query_id, string_agg(concat('[Source ', rank, ': ', filename, ']', chr(10), content, chr(10)), concat(chr(10), '---', chr(10)) ORDER BY rank) AS context FROM hits GROUP BY query_id",
-    "x3_sources": f"WITH {HITS_SQL} SELECT query_id, rank, substring(content, 1, 500) AS content, document_id, filename AS document_name, page_number, chunk_type, score AS relevance_score FROM hits",
-    "m6_bleu": BLEU_SQL,
-    "m7_rouge": ROUGE_SQL,
-    "m8_m9_similarity": f"WITH {COUNTED_SQL} SELECT query_id, round({similarity_sql('a', 'c')}, 6) AS similarity, round({similarity_sql('q', 'a')}, 6) AS relevancy FROM counted",
-    "m10_faithfulness": f"WITH {FAITHFUL_SQL} SELECT query_id, round(faithfulness, 6) AS faithfulness FROM faithful",
-    "m7_rouge_l": f"WITH RECURSIVE {PAIRS_SQL}, {rouge_l_sql('SELECT query_id, reference, answer FROM pairs')} SELECT query_id, round(rouge_l, 6) AS rouge_l FROM rouge_",
-    "m14_hallucination": f"WITH {COUNTED_SQL}, {HALLUCINATED_SQL} SELECT query_id, hallucinated FROM hallucinated_",
-    "m15_citations": f"WITH {PAIRS_SQL}, {CITED_SQL} SELECT query_id, round(citation_accuracy, 6) AS citation_accuracy FROM cited_",
-    "m16_correctness": _pair(correctness=lambda: metrics.correctness(F.col("answer"), F.col("ground_truth"), F.col("context"))),
-}
-
 SQL = {
     "p1_paragraphs": f"WITH {BLOCKS_SQL} SELECT document_id, CAST(block_idx AS INTEGER) AS block_idx, type, text FROM blocks",
     "p2_page_blocks": f"WITH {PAGES_SQL} SELECT document_id, page_number, type, text, CAST(row_number() OVER (PARTITION BY document_id ORDER BY page_number, place) - 1 AS INTEGER) AS block_idx FROM found WHERE text IS NOT NULL",

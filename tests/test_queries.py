@@ -48,3 +48,13 @@ def test_entry_points_work_without_the_optional_subpackage():
     import __spark_entry__
 
     assert set(QUERIES) <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
+
+
+def test_a_missing_package_leaves_the_other_queries():
+    """In a process of its own, where a package that only the optional subpackage needs can't be imported."""
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['public_tokenizers'] = sys.modules['xxhash'] = sys.modules['sentencepiece'] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=120, cwd=os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert out.stdout.split() == [str(len(registry.queries())), str(len(registry.oracle_sql()))], out.stderr

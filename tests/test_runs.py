@@ -53,3 +53,29 @@ def test_stop_words_and_similarity():
 def test_prompts_end_with_the_question(spark):
     rows = run_plans.prompts(spark, SF).select(F.element_at("messages", -1)["content"].alias("last"), F.size("messages").alias("n")).collect()
     assert rows and all("QUESTION: " in r.last and 2 <= r.n <= 8 for r in rows)
+
+
+def test_decoding_keeps_what_a_file_really_holds(spark):
+    from docquery.operators import catalogue
+
+    raw = [b"plain", b"a\xff\xef\xbf\xbdb\xee\x80\x80\xc3", b"\xef\xbf\xbd ok", b"\xee\x80\x801\xfe", None]
+    frame = spark.createDataFrame([(k, bytearray(r) if r is not None else None) for k, r in enumerate(raw)], "k int, content binary")
+    got = {r.k: r.t for r in frame.select("k", catalogue.decoded(frame.content).alias("t")).collect()}
+    assert got == {0: "plain", 1: "a�b", 2: "� ok", 3: "1", 4: None}
+
+
+def test_a_bad_file_is_a_failed_row(spark):
+    from docquery.operators import catalogue
+
+    files = spark.createDataFrame([("1", "a.txt", "x", None), ("2", "b.exe", "x", None), ("3", "c.md", None, None), ("4", "d.md", "x", "[[[1"), ("5", "e", "x", None), ("6", "f.md", "", '[[["a"]]]')], "document_id string, filename string, text string, tables string")
+    log = catalogue.ingest_log(catalogue.parsed(files, tables="tables"), spark.createDataFrame([("1",), ("1",), ("4",)], "document_id string"))
+    got = {r.document_id: (r.status, r.error, r.chunks_count, r.tables_count) for r in log.collect()}
+    assert got == {"1": ("completed", None, 2, 0), "2": ("failed", "Unsupported file format: .exe", 0, 0), "3": ("failed", "No content", 0, 0), "4": ("failed", "Malformed tables in d.md", 0, 0), "5": ("failed", "Unsupported file format: ", 0, 0), "6": ("warning", None, 0, 1)}
+
+
+def test_section_tables(spark):
+    from docquery.operators import tables as tb
+
+    rows = [("d", 0, "table", None, [["a ", None]]), ("d", 1, "heading", " One ", None), ("d", 2, "paragraph", "x", None), ("d", 3, "table", None, [["h"], [" 1 "], ["2"]]), ("d", 4, "heading", " ", None), ("d", 5, "table", None, []), ("d", 6, "table", None, [["k"]])]
+    got = tb.section_tables(spark.createDataFrame(rows, "document_id string, place int, type string, text string, rows array<array<string>>")).orderBy("place").collect()
+    assert [(r.name, r.section, r.headers, r.rows) for r in got] == [("Table_1rows", "", ["a", ""], []), ("Table_3rows", "One", ["h"], [["1"], ["2"]]), ("Table_1rows", "One", ["k"], [])]
