@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docquery.operators import conversation, embed, intents, metrics, retrieval, search
+from docquery.operators import conversation, embed, graph_index, intents, metrics, retrieval, search
 from docquery.operators.filters import above, apply_filters
 from docquery.sources import fixtures as fx
+from docquery.sources.storage import scratch
 from docquery.sources.tables import table
 
 C, S = fx.CHUNKS_SQL, fx.SCORED_SQL
@@ -225,10 +226,28 @@ def dimensions(spark: SparkSession, sf: str) -> DataFrame:
     return good.select("vec_id", F.lit(None).cast("string").alias("reason")).unionByName(bad.select("vec_id", "reason"))
 
 
+def indexed(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    """Approximate search through an index of all rows: written for two thirds of them, the others appended."""
+    path, chunks = scratch(spark, "index"), fx.chunks(spark, sf).select("vec_id", "embedding")
+    graph_index.write(chunks.filter("vec_id % 3 > 0"), path)
+    graph_index.append(chunks.filter("vec_id % 3 = 0"), path)
+    return graph_index.search(graph_index.read(spark, path), fx.vector_queries(spark, sf), k)
+
+
+def index_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: queries, results, and whether the index finds 0.9 or more of what exact search finds."""
+    want = exact(spark, sf).select("query_id", "vec_id")
+    got = indexed(spark, sf).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    found = want.join(got, ["query_id", "vec_id"], "left")
+    return found.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("wanted"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("recall_reached"))
+
+
 QUERIES = {
     "j1_exact_topk": exact,
     "j1_exact_topk_filtered": exact_filtered,
     "j2_single_topk": single,
+    "j3_approximate_topk": indexed,
+    "j3_index_recall": index_recall,
     "j4_bm25": keyword,
     "j5_page_overfetch": over_fetched,
     "j6_intent_boost": boosted,
@@ -243,9 +262,10 @@ QUERIES = {
     **{n: _filter(f) for n, (f, _) in FILTERS.items()},
     **{n: _metric(c) for n, c in METRICS.items()},
 }
-QUERIES["j3_approximate_topk"] = lambda spark, sf: search.approximate_top_k(fx.chunks(spark, sf), fx.vector_queries(spark, sf), 10)
+QUERIES["j3_sketch_topk"] = lambda spark, sf: search.approximate_top_k(fx.chunks(spark, sf), fx.vector_queries(spark, sf), 10)
 
 SQL = {
+    "j3_index_recall": f"SELECT count(*) AS queries, sum(least(10, others)) :: BIGINT AS wanted, true AS recall_reached FROM (SELECT vec_id, (SELECT count(*) FROM embeddings) - 1 AS others FROM embeddings WHERE vec_id % {fx.QUERY_EVERY} = 0)",
     "j1_exact_topk": f"WITH {C}, {S} SELECT * FROM (SELECT query_id, vec_id, score, CAST({RANKED} AS INTEGER) AS rank FROM scored) WHERE rank <= 10",
     "j1_exact_topk_filtered": f"WITH {C}, {S} SELECT * FROM (SELECT query_id, vec_id, score, CAST({RANKED} AS INTEGER) AS rank FROM scored WHERE chunk_type = 'text' AND page_number <= 4) WHERE rank <= 10",
     "j2_single_topk": f"WITH {C}, q AS (SELECT list_transform(range(0, 64), lambda i: ((i * 37) % 11 - 5) / 10.0::DOUBLE) AS v) SELECT vec_id, round(list_inner_product(CAST(embedding AS DOUBLE[]), v) / (sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) * sqrt(list_inner_product(v, v))), 6) AS score FROM chunks, q ORDER BY score DESC, vec_id LIMIT 10",
