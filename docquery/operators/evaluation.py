@@ -16,25 +16,24 @@ def read_cases(spark: SparkSession, path: str, limit: int | None = None) -> Data
     return found if limit is None else found.filter(F.col("place") < limit)
 
 
-def evaluated(cases: DataFrame, ranked: DataFrame, answers: DataFrame) -> DataFrame:
+def evaluated(cases: DataFrame, ranked: DataFrame, answers: DataFrame, *, stems: bool = False) -> DataFrame:
     """All metrics of each case (query_id, category): ranking metrics joined with the text metrics of its answer (question, answer, cited, context, ground_truth).
 
     Without a ground truth the answer stands in for it, as a run without references
     has it. A case without an answer or without chunks is a row with an error; the
-    run goes on.
+    run goes on. ``stems``: ROUGE-L compares stems.
     """
     a, c, truth = F.col("answer"), F.col("context"), F.col("ground_truth")
     reference = F.when(F.coalesce(truth, F.lit("")) != "", truth).otherwise(a)
     text = answers.select(
         "query_id",
         metrics.bleu(reference, a).alias("bleu"),
-        metrics.rouge_l(reference, a).alias("rouge_l"),
+        metrics.rouge_l(reference, a, stems=stems).alias("rouge_l"),
         metrics.similarity(F.col("question"), a).alias("answer_relevancy"),
-        metrics.faithfulness(a, c).alias("faithfulness"),
+        metrics.grounding(a, c).alias("g"),
         metrics.citation_accuracy(F.col("cited"), c).alias("citation_accuracy"),
-        metrics.hallucinated(a, c).alias("hallucinated"),
         F.when(F.coalesce(truth, F.lit("")) != "", metrics.similarity(a, truth)).alias("answer_correctness"),
-    ).withColumn("answer_correctness", F.coalesce("answer_correctness", "faithfulness"))  # as metrics.correctness has it
+    ).select("*", "g.*").drop("g").withColumn("answer_correctness", F.coalesce("answer_correctness", "faithfulness"))  # as metrics.correctness has it
     out = cases.select("query_id", "category").join(ranked, "query_id", "left").join(text, "query_id", "left")
     out = out.withColumn("error", F.when(F.col("bleu").isNull() | (F.coalesce("n_retrieved", F.lit(0)) == 0), F.lit("no chunks or no answer")))
     total = metrics.overall(*[F.col(x) for x in ("precision", "recall", "ndcg", "bleu", "rouge_l", "faithfulness", "context_precision", "context_recall", "citation_accuracy", "hallucinated")])

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import functools
+import math
+from collections import Counter
 from collections.abc import Callable
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import DoubleType, IntegerType
 
 from docquery.config import DEFAULTS
+from docquery.functions import stemmer
 from docquery.functions.text import counts, let
 
 #: English words without a topic, one a line: the built-in list of the usual TF-IDF vectoriser. Another file may be named.
@@ -112,26 +115,62 @@ def clipped(a: Column, b: Column) -> Column:
     return let(counts(a), lambda x: let(F.map_from_entries(counts(b)), lambda m: F.aggregate(x, F.lit(0).cast("long"), lambda s, e: s + F.least(e["n"], F.coalesce(F.try_element_at(m, e["w"]), F.lit(0))))))
 
 
+def _runs(tokens: list[str], n: int) -> Counter:
+    return Counter(zip(*[tokens[k:] for k in range(n)], strict=False))
+
+
+def _bleu(r: list[str], h: list[str]) -> float:
+    if not h or not (found := sum((_runs(r, 1) & _runs(h, 1)).values())):
+        return 0.0
+    logs = math.log(found / len(h))
+    for n in range(2, 5):
+        match = sum((_runs(r, n) & _runs(h, n)).values())
+        logs += math.log((match or 0.1) / max(len(h) - n + 1, 1))
+    return (1.0 if len(h) > len(r) else math.exp(1 - len(r) / len(h))) * math.exp(logs / 4)
+
+
+@F.pandas_udf(DoubleType())
+def _bleus(r: pd.Series, h: pd.Series) -> pd.Series:
+    return pd.Series([_bleu([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(r, h, strict=True)], dtype="float64")
+
+
 def bleu(reference: Column, hypothesis: Column) -> Column:
-    """BLEU-4 with equal weights; an order without a match counts as 0.1 matches (smoothing method 1). 0 without any matching word."""
-    r, h = words(reference), words(hypothesis)
-    parts = []
-    for n in range(1, 5):
-        total = F.greatest(F.size(grams(h, n)), F.lit(1))
-        match = clipped(grams(h, n), grams(r, n))
-        parts.append(F.log(F.when(match == 0, 0.1).otherwise(match.cast("double")) / total))
-    size_r, size_h = F.size(r).cast("double"), F.size(h).cast("double")
-    penalty = F.when(size_h > size_r, 1.0).otherwise(F.exp(1 - size_r / F.nullif(size_h, F.lit(0.0))))
-    return F.when((F.size(h) == 0) | (clipped(h, r) == 0), 0.0).otherwise(F.coalesce(penalty * F.exp(sum(parts[1:], parts[0]) / 4), F.lit(0.0)))
-
-
-def rouge_n(reference: Column, hypothesis: Column, n: int) -> Column:
-    """ROUGE-n F-measure on words of letters and digits, not stemmed."""
-    tokens = lambda c: F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0))
-    r, h = grams(tokens(reference), n), grams(tokens(hypothesis), n)
+    """BLEU-4 with equal weights; an order without a match counts as 0.1 matches (smoothing method 1). 0 without any matching word. Words are split once; their runs are counted an Arrow batch at a time."""
+    return _bleus(words(reference), words(hypothesis))
+
+
+def _plain(text: Column) -> Column:
+    """Words of letters and digits."""
+    return F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+
+
+def rouge_n(reference: Column, hypothesis: Column, n: int, *, stems: bool = False) -> Column:
+    """ROUGE-n F-measure on words of letters and digits; with ``stems`` on their stems, counted an Arrow batch at a time."""
+    if stems:
+        return _stemmed_rouge(n)(_plain(reference), _plain(hypothesis))
+    r, h = grams(_plain(reference), n), grams(_plain(hypothesis), n)
     return _f(clipped(h, r).cast("double"), F.size(h), F.size(r))
 
 
+def _stemmed_rouge(n: int | None):
+    """ROUGE-n of stems, ROUGE-L where ``n`` is None."""
+
+    def one(r: list[str], h: list[str]) -> float:
+        r, h = (stemmer.stems([] if x is None else list(x)) for x in (r, h))
+        if n is None:
+            match, size = _longest_common(r, h), len(r) + len(h)
+        else:
+            a, b = _runs(r, n), _runs(h, n)
+            match, size = sum((a & b).values()), a.total() + b.total()
+        return 2 * match / size if match else 0.0
+
+    @F.pandas_udf(DoubleType())
+    def score(r: pd.Series, h: pd.Series) -> pd.Series:
+        return pd.Series([one(x, y) for x, y in zip(r, h, strict=True)], dtype="float64")
+
+    return score
+
+
 def _f(match: Column, size_h: Column, size_r: Column) -> Column:
     p, q = match / F.nullif(size_h, F.lit(0)), match / F.nullif(size_r, F.lit(0))
     return F.coalesce(2 * p * q / F.nullif(p + q, F.lit(0.0)), F.lit(0.0))
@@ -155,25 +194,42 @@ def _lcs(r: pd.Series, h: pd.Series) -> pd.Series:
     return pd.Series([0 if x is None or y is None else _longest_common(list(x), list(y)) for x, y in zip(r, h, strict=True)], dtype="int32")
 
 
-def rouge_l(reference: Column, hypothesis: Column) -> Column:
-    """ROUGE-L F-measure on words of letters and digits, not stemmed. The longest common subsequence is a fold that no column function does in linear memory: an Arrow batch at a time in Python."""
-    tokens = lambda c: F.coalesce(F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9]+"), F.lit(0)), F.expr("cast(array() as array<string>)"))
+def rouge_l(reference: Column, hypothesis: Column, *, stems: bool = False) -> Column:
+    """ROUGE-L F-measure on words of letters and digits, with ``stems`` on their stems. The longest common subsequence is a fold that no column function does in linear memory: an Arrow batch at a time in Python."""
+    if stems:
+        return _stemmed_rouge(None)(_plain(reference), _plain(hypothesis))
+    tokens = lambda c: F.coalesce(_plain(c), F.expr("cast(array() as array<string>)"))
     r, h = tokens(reference), tokens(hypothesis)
     return _f(_lcs(r, h).cast("double"), F.size(h), F.size(r))
 
 
 def faithfulness(answer: Column, context: Column, at: float = DEFAULTS.faithful_at) -> Column:
     """Share of an answer's sentences that are similar to the context; 0 without sentences."""
+    return _similar_to(context, lambda like: _faithful(answer, like, at))
+
+
+def _faithful(answer: Column, like: Callable[[Column], Column], at: float) -> Column:
     sentences = F.filter(F.transform(F.split(answer, "[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    share = lambda ss, like: F.when(F.size(ss) == 0, 0.0).otherwise(F.size(F.filter(ss, lambda s: like(s) >= at)) / F.size(ss))
-    return _similar_to(context, lambda like: let(sentences, lambda ss: share(ss, like)))
+    share = lambda ss: F.when(F.size(ss) == 0, 0.0).otherwise(F.size(F.filter(ss, lambda s: like(s) >= at)) / F.size(ss))
+    return let(sentences, share)
 
 
-def hallucinated(answer: Column, context: Column) -> Column:
-    """Whether over 30 % of the answer's numbers are new, or the answer is unlike the context."""
+def _new_numbers(answer: Column, context: Column) -> Column:
+    """Whether over 30 % of the answer's numbers are new."""
     numbers = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)))
     new = F.size(F.array_except(numbers(answer), numbers(context))) / F.nullif(F.size(numbers(answer)), F.lit(0)).cast("double")
-    return F.coalesce(new > DEFAULTS.new_numbers_over, F.lit(False)) | (similarity(answer, context) < DEFAULTS.dissimilar_under)
+    return F.coalesce(new > DEFAULTS.new_numbers_over, F.lit(False))
+
+
+def hallucinated(answer: Column, context: Column) -> Column:
+    """Whether over 30 % of the answer's numbers are new, or the answer is unlike the context."""
+    return _new_numbers(answer, context) | (similarity(answer, context) < DEFAULTS.dissimilar_under)
+
+
+def grounding(answer: Column, context: Column, at: float = DEFAULTS.faithful_at) -> Column:
+    """``faithfulness`` and ``hallucinated`` as one struct, for which the context's words are counted once."""
+    both = _similar_to(context, lambda like: F.struct(_faithful(answer, like, at).alias("faithfulness"), like(answer).alias("likeness")))
+    return let(both, lambda b: F.struct(b["faithfulness"].alias("faithfulness"), (_new_numbers(answer, context) | (b["likeness"] < DEFAULTS.dissimilar_under)).alias("hallucinated")))
 
 
 def citation_accuracy(answer: Column, context: Column) -> Column:

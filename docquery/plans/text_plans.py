@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from docquery.operators import chunking, context, embed, metrics, search
+from docquery.operators import chunking, context, embed, metrics, packing, search
 from docquery.operators import tables as tb
 from docquery.sources import fixtures as fx
 from docquery.sources.tables import table
@@ -160,18 +160,17 @@ RECORDS_SQL = r"""SELECT table_id, CAST(row_idx AS INTEGER) AS row_idx, key, CAS
 
 
 def packed(spark: SparkSession, sf: str) -> DataFrame:
-    return chunking.pack_blocks(blocks(spark, sf), 120, 25, 30)
+    return packing.pack_blocks(blocks(spark, sf), 120, 25, 30)
 
 
 def sentence_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    parts = chunking.sentence_chunks(F.col("text"), 120, 25)
-    return fx.files(spark, sf).select("document_id", F.posexplode(parts).alias("chunk_index", "content"))
+    return packing.pack_sentences(fx.files(spark, sf), 120, 25)
 
 
 def records(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks of all files with their metadata, and a table chunk for each file of one type."""
     files = fx.files(spark, sf)
-    text = chunking.chunk_records(chunking.pack_blocks(blocks(spark, sf)), files)
+    text = chunking.chunk_records(packing.pack_blocks(blocks(spark, sf)), files)
     tables = files.filter("file_type = 'md'").select("document_id", F.lit("table").alias("chunk_type"), F.lit(1).alias("row_count"))
     return chunking.combined(text, tables)
 
@@ -265,6 +264,7 @@ QUERIES = {
     "x3_sources": lambda spark, sf: context.sources(hits(spark, sf)),
     "m6_bleu": _pair(bleu=lambda: metrics.bleu(F.col("reference"), F.col("answer"))),
     "m7_rouge": _pair(rouge1=lambda: metrics.rouge_n(F.col("reference"), F.col("answer"), 1), rouge2=lambda: metrics.rouge_n(F.col("reference"), F.col("answer"), 2)),
+    "m7_rouge_stemmed": _pair(rouge1=lambda: metrics.rouge_n(F.col("reference"), F.col("answer"), 1, stems=True), rouge2=lambda: metrics.rouge_n(F.col("reference"), F.col("answer"), 2, stems=True), rouge_l=lambda: metrics.rouge_l(F.col("reference"), F.col("answer"), stems=True)),
     "m7_rouge_l": _pair(rouge_l=lambda: metrics.rouge_l(F.col("reference"), F.col("answer"))),
     "m8_m9_similarity": _pair(similarity=lambda: metrics.similarity(F.col("answer"), F.col("context")), relevancy=lambda: metrics.similarity(F.col("question"), F.col("answer"))),
     "m10_faithfulness": _pair(faithfulness=lambda: metrics.faithfulness(F.col("answer"), F.col("context"))),
