@@ -40,8 +40,9 @@ COPY = 16
 #: Micro-batches that the files are dealt into, and texts that a bucket of state is meant for.
 BATCHES = 8
 BUCKET_TEXTS = 2048
-#: The state store that keeps state on disk, not in memory.
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: The setting that names the state store. Spark's default one holds a text's 50 bytes in an executor's memory; a session
+#: that names RocksDB keeps them on disk, at 4 MB of disk for each of its state's partitions however small.
+STORE = "spark.sql.streaming.stateStore.providerClass"
 
 ENTRY = "k1 long, k2 long, id long, part string, code int, n long"
 _FIELDS = [f.split()[0] for f in ENTRY.split(", ")]
@@ -166,8 +167,8 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{sf_dir}/documents.parquet"
     table = spark.read.parquet(path)
     own = spark.newSession()  # settings of the stream stay its own
-    for name, value in {"spark.sql.streaming.stateStore.providerClass": ROCKSDB, "spark.sql.shuffle.partitions": spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.session.timeZone": "UTC"}.items():
-        own.conf.set(name, value)
+    for name in (STORE, "spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
     files = max(1, -(-len(table.inputFiles()) // BATCHES))
     # as a pattern, since a stream takes a single file in no other form; it fits a folder as well
     stream = own.readStream.schema(table.schema).option("maxFilesPerTrigger", files).parquet(f"{sf_dir}/documents.parque[t]")
