@@ -88,8 +88,12 @@ QUESTIONS_SQL = f"""conv AS (
 
 def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` with a time for each turn."""
+    return conversations_of(table(spark, sf_dir, "conversations"))
+
+
+def conversations_of(turns: DataFrame) -> DataFrame:
     ts = F.lit(START).cast("timestamp") + F.make_dt_interval(mins=F.col("conv_id").cast("int"), secs=F.col("turn").cast("decimal(18,6)"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", ts.alias("ts"))
+    return turns.select("conv_id", "turn", "role", "text", ts.alias("ts"))
 
 
 def requests(spark: SparkSession, sf_dir: str) -> DataFrame:

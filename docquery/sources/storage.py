@@ -28,3 +28,16 @@ def cut(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder: a lost executor then costs a read, not a recomputation."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Fixed value: Spark's state store that keeps state on the executors' disks, which stateful processors need.
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def state_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings of shuffles and time, whose streams keep their state in RocksDB; the given one stays as it is."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    for name in ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone"):
+        own.conf.set(name, spark.conf.get(name))
+    return own
