@@ -19,9 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +37,17 @@ QUERY = "op13_token_alignment"
 #: Not expressible in SQL; the tests hold the query against a brute-force version over the libraries' tokens.
 ORACLE_SQL = None
 #: Stretches that a worker remembers: as many of the last ones, and as many of those before them.
-CACHED = 100_000
+CACHED = 200_000
 #: A block of documents is closed when it has as many documents, or linked pairs.
 BLOCK_DOCUMENTS = 4096
-BLOCK_PAIRS = 2_000_000
+BLOCK_PAIRS = 1_000_000
 #: A place where both tokenizers end a token, whatever stands around it: before a space that follows a character
 #: other than white space, and after a single line feed between two such characters.
 PLACES = re.compile(r"(?<=\S)(?= )|(?<=\S\n)(?=\S)")
 #: Fixed value: the pre-tokenizer that PLACES holds for.
 BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+#: Fixed value: the pattern of that pre-tokenizer.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def default_vocabulary() -> str:
@@ -76,70 +78,73 @@ class Aligner:
     """A byte-level vocabulary (A), a piece model (B), and the stretches that were met before."""
 
     def __init__(self, vocabulary: str, model: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        import sentencepiece
+        import tiktoken
 
         given = json.loads(vocabulary)
+        own = given["model"]["vocab"]
         if given["normalizer"] or {k: given["pre_tokenizer"].get(k) for k in BYTE_LEVEL} != BYTE_LEVEL:
             raise ValueError("not a byte-level vocabulary without a normaliser")
-        self.a = Tokenizer.from_str(vocabulary)
-        self.a.encode_special_tokens = True
+        merged = ["".join(m.split(" ") if isinstance(m, str) else m) for m in given["model"]["merges"]]
+        if [own.get(m) for m in merged] != [*range(256, 256 + len(merged))]:
+            raise ValueError("the ids of the vocabulary aren't the order of its merges")
         back = {c: b for b, c in enumerate(byte_alphabet())}
-        names = {i: t for t, i in given["model"]["vocab"].items()} | {t["id"]: t["content"] for t in given["added_tokens"]}
-        self.a_bytes = [bytes(back[c] for c in names[i]) for i in range(max(names) + 1)]
-        self.b = pieces.Encoder(model)
-        if self.b.map or self.b.squeeze or not self.b.prefix or not self.b.bytes:
+        self.a_bytes = [b""] * (max(own.values()) + 1)
+        special = {t["content"] for t in given["added_tokens"]}
+        for t, i in own.items():
+            if t not in special:
+                self.a_bytes[i] = bytes(back[c] for c in t)
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks={x: i for i, x in enumerate(self.a_bytes) if x}, special_tokens={})
+        spec = pieces.proto.ModelProto.FromString(model).normalizer_spec
+        self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
+        n = self.b.get_piece_size()
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.add_dummy_prefix or not any(self.b.is_byte(i) for i in range(n)):
             raise ValueError("not a model that keeps texts as they are, puts a space in front and falls back to bytes")
-        self.b_bytes = [self.b.surface[i] for i in range(len(self.b.names))]
-        self.a_size = np.array([*map(len, self.a_bytes)])
-        self.b_size = np.array([*map(len, self.b_bytes)])
+        names = [self.b.id_to_piece(i) for i in range(n)]
+        self.b_bytes = [bytes([int(names[i][1:-1], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else names[i].replace(pieces.SPACE, " ").encode() for i in range(n)]
+        self.a_size, self.b_size = (np.array([*map(len, x)], np.int64) for x in (self.a_bytes, self.b_bytes))
+        plain = [x.decode() for i, x in enumerate(self.b_bytes) if not self.b.is_byte(i)]
         # a model with pieces across these places is given whole texts
-        self.whole = self.b.stretch.pattern == "(?s).+" or not self.b.stretch.fullmatch("\n") or any("\n" in p for p in self.b.piece)
+        self.whole = any("\n" in x or " " in x.lstrip(" ") for x in plain)
         self.cache = Recent(CACHED)
 
     def stretches(self, text: str) -> list[str]:
         """A text with the space in front, cut at places where both tokenizers end a token."""
         return [f" {text}"] if self.whole else PLACES.split(f" {text}")
 
-    def b_ids(self, stretches: list[str]) -> list[np.ndarray]:
-        split = [self.b.stretch.findall(s.replace(" ", pieces.SPACE)) for s in stretches]
-        young = self.b.cache.young
-        for s in self.b.cache.missing({s for ss in split for s in ss}):
-            young[s] = self.b.encoded(s)
-        out = [np.frombuffer(b"".join([young[s][0] for s in ss]), "<i4") for ss in split]
-        self.b.cache.turn()
-        return out
+    def b_ids(self, stretches: list[str]) -> list[list[int]]:
+        """Ids without a space that the model puts in front: a whole text starts with one of its own; before others stands a line feed, which no piece spans, and which goes again with the space before it."""
+        if self.whole:
+            return self.b.encode([s[1:] for s in stretches], num_threads=1)
+        return [ids[2:] for ids in self.b.encode([f"\n{s}" for s in stretches], num_threads=1)]
 
     def learn(self, stretches: list[str]) -> None:
         """Aligns stretches, all in one go, into the cache: (sizes, groups as text, pairs, times), or None where tokens don't give the bytes back."""
         young = self.cache.young
-        a_ids = [np.array(e.ids, np.int64) for e in self.a.encode_batch_fast(stretches, add_special_tokens=False)]
-        b_ids = self.b_ids(stretches)
-        good = []
-        for s, a, b in zip(stretches, a_ids, b_ids, strict=True):
-            raw = s.encode()
-            if b"".join([self.a_bytes[i] for i in a.tolist()]) == raw == b"".join([self.b_bytes[i] for i in b.tolist()]):
-                good.append((s, a, b))
-            else:
-                young[s] = None
-        if not good:
+        a_ids, b_ids = [self.a.encode_ordinary(s) for s in stretches], self.b_ids(stretches)
+        raw = [s.encode() for s in stretches]
+        good = range(len(raw))
+        if not b"".join(raw) == b"".join(map(self.a_bytes.__getitem__, chain.from_iterable(a_ids))) == b"".join(map(self.b_bytes.__getitem__, chain.from_iterable(b_ids))):
+            good = [k for k, x in enumerate(raw) if b"".join(map(self.a_bytes.__getitem__, a_ids[k])) == x == b"".join(map(self.b_bytes.__getitem__, b_ids[k]))]
+            young.update(dict.fromkeys(stretches))
+            stretches, a_ids, b_ids = ([x[k] for k in good] for x in (stretches, a_ids, b_ids))
+        if not stretches:
             return
-        a, b = np.concatenate([g[1] for g in good]), np.concatenate([g[2] for g in good]).astype(np.int64)
+        a_from, b_from = (np.append(0, np.cumsum([*map(len, x)])) for x in (a_ids, b_ids))
+        a, b = (np.fromiter(chain.from_iterable(x), np.int64) for x in (a_ids, b_ids))
         ga, gb = groups_of(np.cumsum(self.a_size[a]), np.cumsum(self.b_size[b]))
-        a_from = np.concatenate([[0], np.cumsum([len(g[1]) for g in good])])
-        b_from = np.concatenate([[0], np.cumsum([len(g[2]) for g in good])])
         group_from = np.append(ga[a_from[:-1]], ga[-1] + 1)
         # of each group the different ids of A times those of B; repeats are numbers
-        pair, times, unit = links_of(a, ga, b, gb, np.repeat(np.arange(len(good)), np.diff(group_from)))
-        pair_from = np.searchsorted(unit, np.arange(len(good) + 1))
+        pair, times, unit = links_of(a, ga, b, gb, np.repeat(np.arange(len(stretches)), np.diff(group_from)))
+        pair_from = np.searchsorted(unit, np.arange(len(stretches) + 1))
         links = np.add.reduceat(times, pair_from[:-1])
         # the text of a group: its ids of A, a bar, its ids of B
-        a_text, b_text = runs_as_text(a, ga), runs_as_text(b, gb)
-        text = [f"{x}|{y}" for x, y in zip(a_text, b_text, strict=True)]
-        sizes = np.stack([np.diff(a_from), np.diff(b_from), np.diff(group_from), links], axis=1).astype("<i8")
-        for k, (s, _, _) in enumerate(good):
-            at, to = pair_from[k], pair_from[k + 1]
-            young[s] = (sizes[k].tobytes(), ";".join(text[group_from[k] : group_from[k + 1]]), pair[at:to].tobytes(), times[at:to].tobytes())
+        text = [f"{x}|{y}" for x, y in zip(runs_as_text(a, ga), runs_as_text(b, gb), strict=True)]
+        sizes = np.stack([np.diff(a_from), np.diff(b_from), np.diff(group_from), links], axis=1).astype("<i8").tobytes()
+        pair, times = pair.tobytes(), times.astype(np.int64, copy=False).tobytes()
+        g, p = group_from.tolist(), (8 * pair_from).tolist()
+        for k, s in enumerate(stretches):
+            young[s] = (sizes[32 * k : 32 * k + 32], text[g[k]] if g[k + 1] == g[k] + 1 else ";".join(text[g[k] : g[k + 1]]), pair[p[k] : p[k + 1]], times[p[k] : p[k + 1]])
 
     def batch(self, texts: list[str]) -> list[tuple[np.ndarray, str, np.ndarray, np.ndarray] | None]:
         """For each text: (n_a, n_b, n_groups, n_links), groups, and linked pairs with their times (pairs may repeat); None without tokens."""
