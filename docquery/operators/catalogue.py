@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docquery.config import DEFAULTS
 from docquery.functions.text import stripped
+from docquery.sources.storage import cut
 
 
 def read_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = DEFAULTS.extensions, recursive: bool = True) -> DataFrame:
@@ -62,6 +63,52 @@ def deleted(store: DataFrame, documents: DataFrame) -> DataFrame:
     return store.join(documents.select("document_id").distinct(), "document_id", "left_anti")
 
 
+def _replace(rows: DataFrame, path: str, touched: list[str | None]) -> None:
+    """Puts ``rows`` in place of the touched departments of the store at ``path``; the files of others stay.
+
+    Rows are computed and kept in the shared folder first and then written by dynamic
+    partition overwrite, so whatever fails while they are computed or written leaves the
+    old store as it is.
+    """
+    kept = cut(rows)
+    filled = {r.department for r in kept.select("department").distinct().collect()}
+    if filled:
+        kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("department").parquet(path)
+    spark = rows.sparkSession
+    names = spark.sparkContext._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    for department in set(touched) - filled:  # departments that are empty now: an overwrite leaves what it has no row for
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path, names.getPartitionPathString("department", department))
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def _departments(store: DataFrame, rows: DataFrame, key: str) -> list[str | None]:
+    """Departments of the store that hold any of the keys: names of partitions, few whatever the store's size."""
+    return [r.department for r in store.join(rows.select(key).distinct(), key, "left_semi").select("department").distinct().collect()]
+
+
+def _of(store: DataFrame, departments: list[str | None]) -> DataFrame:
+    """The partitions of some departments."""
+    named = F.col("department").isin([d for d in departments if d is not None])
+    return store.filter(named | F.col("department").isNull() if None in departments else named)
+
+
+def upsert_store(new: DataFrame, path: str, key: str = "chunk_id") -> list[str | None]:
+    """New and newer chunks into the store at ``path``, see ``upserted``: only departments that hold one of them, or held its older version, are written anew. They are returned."""
+    store = new.sparkSession.read.schema(new.schema).parquet(path)
+    touched = {*_departments(store, new, key), *(r.department for r in new.select("department").distinct().collect())}
+    _replace(upserted(_of(store, [*touched]), new, key), path, [*touched])
+    return sorted(touched, key=str)
+
+
+def delete_from_store(spark: SparkSession, documents: DataFrame, path: str) -> list[str | None]:
+    """Takes the chunks of documents (document_id) out of the store at ``path``; only departments that hold any are written anew. They are returned."""
+    store = spark.read.parquet(path)
+    touched = _departments(store, documents, "document_id")
+    if touched:
+        _replace(deleted(_of(store, touched), documents), path, touched)
+    return sorted(touched, key=str)
+
+
 def deletion_report(store: DataFrame, documents: DataFrame) -> DataFrame:
     """For each document of a delete list the number of chunks that go, and whether any does."""
     counted = store.groupBy("document_id").agg(F.count("*").alias("n"))

@@ -14,6 +14,22 @@ def durations(log: DataFrame) -> DataFrame:
     return log.groupBy("method", "endpoint").agg(F.count("*").alias("observations"), F.round(F.sum("latency_ms"), 4).alias("total_ms"), F.round(F.avg("latency_ms"), 6).alias("mean_ms"))
 
 
+#: Size of a quantile sketch; its ranks are off by half a percent or less with a probability of 0.99.
+SKETCH_K = 600
+
+
+def duration_sketches(log: DataFrame, span: str = "day") -> DataFrame:
+    """A sketch of the durations of each span, method and endpoint: some kilobytes whatever their number, to be kept and merged."""
+    return log.groupBy(F.date_trunc(span, F.col("asked_at").cast("timestamp")).alias("span"), "method", "endpoint").agg(F.kll_sketch_agg_double("latency_ms", SKETCH_K).alias("sketch"))
+
+
+def duration_quantiles(sketches: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.9, 0.95, 0.99)) -> DataFrame:
+    """Quantiles by method and endpoint over all spans, from merged sketches: (method, endpoint, observations, quantile, latency_ms)."""
+    merged = sketches.groupBy("method", "endpoint").agg(F.kll_merge_agg_double("sketch", SKETCH_K).alias("sketch"))
+    each = [F.struct(F.lit(float(q)).alias("quantile"), F.kll_sketch_get_quantile_double("sketch", F.lit(float(q))).alias("latency_ms")) for q in quantiles]
+    return merged.select("method", "endpoint", F.kll_sketch_get_n_double("sketch").alias("observations"), F.inline(F.array(*each)))
+
+
 def model_totals(log: DataFrame) -> DataFrame:
     """Successes, failures, tokens in and out of successes, fallbacks, success rate in percent and mean latency over all requests."""
     good = F.col("status") < 500

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from docquery.operators import cache, catalogue, conversation, intents, telemetry
 from docquery.plans.search_plans import HINTS_SQL, INTENT_SQL, needs_sql
 from docquery.sources import fixtures as fx
+from docquery.sources.storage import cut, scratch
 
 C, Q, R, FI = fx.CHUNKS_SQL, fx.QUESTIONS_SQL, fx.REQUESTS_SQL, fx.FILES_SQL
 TTL = 24 * 3600
@@ -112,6 +113,29 @@ def newer(spark: SparkSession, sf: str) -> DataFrame:
     return catalogue.upserted(s, new.unionByName(more)).select("chunk_id", "document_id", "content")
 
 
+def stored(spark: SparkSession, sf: str) -> DataFrame:
+    """A store on disk into which newer chunks of one department come, and out of which the documents of another go: its rows, and whether their files are new."""
+    path = scratch(spark, "store")
+    s = fx.chunks(spark, sf).select("chunk_id", F.concat("document_id", F.lit("_"), "department").alias("document_id"), "content", "created_at", "department", "label")
+    catalogue.write_store(s, path)
+    old = spark.read.parquet(path).select(F.input_file_name().alias("file")).distinct()
+    old = cut(old)
+    catalogue.upsert_store(s.filter("label = 1").withColumns({"content": F.lit("new"), "created_at": F.col("created_at") + F.expr("interval 1 day")}), path)
+    catalogue.delete_from_store(spark, s.filter("department = 'D2'").select("document_id"), path)
+    now = spark.read.parquet(path).select("chunk_id", "department", "content", F.input_file_name().alias("file"))
+    return now.join(old.withColumn("old", F.lit(True)), "file", "left").select("chunk_id", "department", "content", F.col("old").isNull().alias("written"))
+
+
+def quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles of durations from daily sketches, and whether each's rank among all durations is within the sketch's bound."""
+    log = fx.requests(spark, sf)
+    found = telemetry.duration_quantiles(telemetry.duration_sketches(log))
+    met = log.filter("latency_ms is not null").select("method", "endpoint", F.col("latency_ms").alias("own")).join(found, ["method", "endpoint"])
+    ranks = met.groupBy("method", "endpoint", "quantile", "observations").agg(F.avg(F.when(F.col("own") < F.col("latency_ms"), 1.0).otherwise(0.0)).alias("below"), F.avg(F.when(F.col("own") <= F.col("latency_ms"), 1.0).otherwise(0.0)).alias("to"))
+    slack = 0.01 + 1 / F.col("observations")
+    return ranks.select("method", "endpoint", "quantile", "observations", ((F.col("below") <= F.col("quantile") + slack) & (F.col("to") >= F.col("quantile") - slack)).alias("within_bound"))
+
+
 def gone(spark: SparkSession, sf: str) -> DataFrame:
     s = fx.chunks(spark, sf)
     return s.filter(F.col("vec_id") % 15 == 0).select("document_id").distinct().unionByName(spark.createDataFrame([("none",)], "document_id string"))
@@ -142,6 +166,7 @@ QUERIES = {
     "c2_cache_replay": replayed,
     "c3_cache_invalidation": invalidated,
     "g1_request_counts": lambda spark, sf: telemetry.request_counts(fx.requests(spark, sf)),
+    "g2_quantiles": quantiles,
     "g2_durations": lambda spark, sf: telemetry.durations(fx.requests(spark, sf)),
     "g3_g4_model_totals": lambda spark, sf: telemetry.model_totals(fx.requests(spark, sf)),
     "g5_hit_rate": lambda spark, sf: telemetry.hit_rate(replayed(spark, sf)),
@@ -149,6 +174,7 @@ QUERIES = {
     "s2_admission": admission,
     "s5_flattened": lambda spark, sf: catalogue.flattened(fx.chunks(spark, sf).select("chunk_id", "tags", F.when(F.col("vec_id") % 2 == 0, F.col("page_number")).alias("page_number"))),
     "s6_upsert": newer,
+    "s6_stored_upsert": stored,
     "s7_delete": lambda spark, sf: catalogue.deleted(fx.chunks(spark, sf), gone(spark, sf)).select("chunk_id", "document_id"),
     "s7_delete_report": lambda spark, sf: catalogue.deletion_report(fx.chunks(spark, sf), gone(spark, sf)),
     "a1_listing": lambda spark, sf: catalogue.listed(fx.chunks(spark, sf)),
@@ -179,6 +205,8 @@ SQL = {
     "c2_cache_replay": f"{REPLAY_SQL} SELECT event_id, key, hit FROM fold",
     "c3_cache_invalidation": INVALID_SQL,
     "g1_request_counts": f"WITH {R} SELECT method, endpoint, status, count(*) AS requests FROM requests GROUP BY ALL",
+    "g2_quantiles": f"WITH {R}, q AS (SELECT unnest([0.5, 0.9, 0.95, 0.99]) AS quantile) SELECT method, endpoint, CAST(quantile AS DOUBLE) AS quantile, count(latency_ms) AS observations, true AS within_bound FROM requests, q GROUP BY ALL HAVING count(latency_ms) > 0",
+    "s6_stored_upsert": f"WITH {C} SELECT chunk_id, department, CASE WHEN label = 1 THEN 'new' ELSE content END AS content, label = 1 AS written FROM chunks WHERE department <> 'D2'",
     "g2_durations": f"WITH {R} SELECT method, endpoint, count(*) AS observations, round(sum(latency_ms), 4) AS total_ms, round(avg(latency_ms), 6) AS mean_ms FROM requests GROUP BY ALL",
     "g3_g4_model_totals": f"WITH {R} SELECT count(*) AS total_requests, count(*) FILTER (status < 500) AS successful, count(*) FILTER (status >= 500) AS failed, CAST(coalesce(sum(tokens_in) FILTER (status < 500), 0) AS BIGINT) AS tokens_in, CAST(coalesce(sum(tokens_out) FILTER (status < 500), 0) AS BIGINT) AS tokens_out, count(*) FILTER (fallback) AS fallbacks, round(100.0::DOUBLE * count(*) FILTER (status < 500) / greatest(count(*), 1), 2) AS success_rate, round(coalesce(sum(latency_ms), 0) / greatest(count(*), 1), 2) AS average_latency_ms FROM requests",
     "g5_hit_rate": f"{REPLAY_SQL} SELECT count(*) FILTER (hit) AS hits, count(*) FILTER (NOT hit) AS misses, round(100.0::DOUBLE * count(*) FILTER (hit) / count(*), 2) AS hit_rate FROM fold",
