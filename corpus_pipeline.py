@@ -47,7 +47,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.encode(docs, digests=True).drop("decoded")
 
 
-STAGES = [("quality rules", quality_rules), ("simhash near-dedup", near_duplicates), ("pii redaction", personal_data), ("source mixture", mixture), ("bpe tokens", tokens)]
+STAGES = [("quality rules", quality_rules), ("near-dedup by shingle similarity", near_duplicates), ("pii redaction", personal_data), ("source mixture", mixture), ("bpe tokens", tokens)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,10 +39,12 @@ QUERY = "op2_toxicity"
 ORACLE_SQL = None
 #: Labelled documents of each label that learning takes, at most; the rest of the labels is not read into it.
 MOST_LABELLED = 8000
-#: A word or beginning is kept if it is surely so many times likelier in toxic documents: both shares are taken at so many standard errors on the careful side.
-LEAST_RATIO, ERRORS = 12.0, 2.0
+#: A word or beginning is kept if it is surely so many times likelier in toxic documents: both shares are shrunk by so many standard errors, so that a small sample keeps what it shows clearly and a large one no chance finds.
+LEAST_RATIO, ERRORS = 20.0, 1.0
 #: A beginning needs so many different words of toxic documents, none of them with more than half of its weight: it stands for a family, not for one word.
 LEAST_FAMILY = 5
+#: The share of toxic documents that scores are made for.
+PRIOR = 0.1
 #: Predicted toxic from this score on.
 THRESHOLD = 0.7
 #: The letters of the model, all others being a boundary.
@@ -53,15 +55,15 @@ IMITATES = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g
 IMITATED, NOTHING, LOST, REPEATED, BROKEN, JOINED = 1.0, 1.5, 7.0, 1.0, 2.0, 0.3
 #: Characters that are decoded at once, and how many of them the next window repeats: whatever the length, memory is that of a window.
 WINDOW, OVERLAP = 256, 64
-#: A token of so many characters at most is joined with its neighbours, where that makes a word with a weight.
-SHORT = 3
 PREFIXES = (4, 5, 6)
+#: Endings that a word with a weight may have besides.
+PLURALS = ("s", "es")
 CACHED = 150_000
 A = len(LETTERS) + 1
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
 _EDGE = "".join(sorted({*".,;:!?\"'()[]{}<>|*#%&$@^~=/\\-_+`¡¿«»„“”‚‘’…–—"}))
-#: A run of pieces set apart: three or more of one or two characters, and one of three at either end.
-_APART = re.compile(r"(?<!\S)(?:\S{3}\s{1,3})?\S{1,2}(?:\s{1,3}\S{1,2}(?!\S)){2,}(?:\s{1,3}\S{3}(?!\S))?")
+#: A run of pieces set apart, however far: three or more of one or two characters, and one of three at either end. Longer pieces are joined as tokens.
+_APART = re.compile(r"(?<!\S)(?:\S{3}\s+)?\S{1,2}(?:\s+\S{1,2}(?!\S)){2,}(?:\s+\S{3}(?!\S))?")
 _GAP = re.compile(r"\s+")
 #: More than three of the same character in a row are three.
 _MANY = re.compile(r"(.)\1{3,}", re.DOTALL)
@@ -172,6 +174,8 @@ class Known:
 
     def __init__(self, weights: dict[str, float]):
         self.words = {w for w in weights if not w.startswith("^")}
+        self.keyed = set(weights)
+        self.starts = {w.lstrip("^")[:3] for w in weights}
         self.forms = {_DOUBLE.sub(r"\1", w): w for w in sorted(self.words)}
         self.longest = max(map(len, self.forms), default=0)
 
@@ -222,19 +226,25 @@ def set_apart(text: str) -> set[str]:
 
 
 def keys(word: str) -> list[str]:
-    """What a word is looked up by: itself, and its beginnings."""
-    return [word, *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
+    """What a word is looked up by: itself, itself without the ending of a plural, and its beginnings; a beginning by itself."""
+    return [word, *(word[: -len(e)] for e in PLURALS if word.endswith(e)), *("^" + word[:k] for k in PREFIXES if len(word) >= k)]
 
 
-def joined(tokens: list[str], known: set[str]) -> set[str]:
-    """Words of ``known`` that two or three tokens in a row make together, one of them short."""
-    found = set()
-    for a, b, c in zip(tokens, tokens[1:], [*tokens[2:], ""], strict=False):
-        if len(a) <= SHORT or len(b) <= SHORT:
-            if a + b in known:
-                found.add(a + b)
-            if c and a + b + c in known:
-                found.add(a + b + c)
+def joined(tokens: list[str], known: Known) -> list[str]:
+    """Keys with a weight that two or three tokens in a row make together, whatever their lengths: words, and beginnings of words that reach beyond the first token."""
+    found = []
+    starts, keyed, most = known.starts, known.keyed, PREFIXES[-1]
+    for k, a in enumerate(tokens[:-1]):
+        text = a + tokens[k + 1]
+        if text[:3] not in starts:
+            continue
+        for more in tokens[k + 2 : k + 3], ():
+            text_of = text + "".join(more)
+            word = next((w for w in (text_of, *(text_of[: -len(e)] for e in PLURALS if text_of.endswith(e))) if w in keyed and len(w) > len(a)), None)
+            if word:
+                found.append(word)
+            elif len(a) < most:
+                found += [key for n in PREFIXES if len(a) < n <= len(text_of) and (key := "^" + text_of[:n]) in keyed]
     return found
 
 
@@ -247,7 +257,7 @@ class Reader:
     def words(self, text: str) -> set[str]:
         low = text.lower()
         tokens = low.split()
-        found = joined(tokens, self.known.words)
+        found = set(joined(tokens, self.known))
         for t in set(tokens):
             found.update(readings(t, self.cost, self.known))
         for run in set_apart(low):
@@ -269,8 +279,8 @@ def _sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def learn_weights(sample: DataFrame, cost: list, fold: int) -> dict[str, float]:
-    """Log ratio, toxic to clean, of the share of documents that have a key; only keys that speak for toxicity."""
+def learn_weights(sample: DataFrame, cost: list, fold: int | None) -> dict[str, float]:
+    """Log ratio, toxic to clean, of the share of documents that have a key; only keys that speak for toxicity. Of a fold, or of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, counts = Reader(cost), (Counter(), Counter())
@@ -284,7 +294,7 @@ def learn_weights(sample: DataFrame, cost: list, fold: int) -> dict[str, float]:
             part = rows[at : at + 20_000]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.int64()), pa.array([r[2] for r in part], pa.int32())], names=["key", "n", "toxic"])
 
-    sides = sample.filter(F.col("fold") == fold).select("text", "toxic")
+    sides = (sample if fold is None else sample.filter(F.col("fold") == fold)).select("text", "toxic")
     totals = {r.toxic: r.n for r in sides.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     t, c = totals.get(1, 0), totals.get(0, 0)
     if not t:
@@ -293,11 +303,12 @@ def learn_weights(sample: DataFrame, cost: list, fold: int) -> dict[str, float]:
     counted = cut(counted)
     families = [counted.filter(F.length("key") >= k).groupBy(F.concat(F.lit("^"), F.substring("key", 1, k)).alias("key")).agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"), F.count_if(F.col("bad") > 0).alias("words"), F.max("bad").alias("most")).filter((F.col("words") >= LEAST_FAMILY) & (2 * F.col("most") <= F.col("bad"))).select("key", "bad", "good") for k in PREFIXES]
     counted = functools.reduce(DataFrame.unionByName, families, counted)
-    # families sum over words, so that their counts scatter more
-    errors = F.when(F.col("key").startswith("^"), 1.5 * ERRORS).otherwise(ERRORS)
+    # families sum over words, so that their counts scatter more, and a beginning says less than a word
+    errors = F.when(F.col("key").startswith("^"), 2 * ERRORS).otherwise(ERRORS)
     careful = counted.withColumn("ratio", (F.col("bad") - errors * F.sqrt("bad")) * (c + 2.0) / ((F.col("good") + errors * F.sqrt("good") + 1.0) * (t + 2.0)))
     # the sample is bounded, so these are too
-    return {r.key: math.log(r.ratio) for r in careful.filter(F.col("ratio") >= LEAST_RATIO).select("key", "ratio").collect()}
+    least = F.when(F.col("key").startswith("^"), 2 * LEAST_RATIO).otherwise(LEAST_RATIO)
+    return {r.key: math.log(r.ratio) for r in careful.filter(F.col("ratio") >= least).select("key", "ratio").collect()}
 
 
 def evidence(words: set[str], weights: dict[str, float]) -> tuple[float, float, float]:
@@ -308,9 +319,20 @@ def evidence(words: set[str], weights: dict[str, float]) -> tuple[float, float,
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Coefficients, intercept first, by Newton's method; classes weigh the same."""
+    """Coefficients, intercept first, by Newton's method; classes weigh as ``PRIOR`` has it, whatever their shares in the sample. None but the intercept is negative, so that more evidence never lowers a score: what would be is left out, the worst first."""
+    used = list(range(x.shape[1]))
+    while True:
+        b = _newton(x[:, used], y, ridge)
+        if not used or b[1:].min() >= 0:
+            out = np.zeros(x.shape[1] + 1)
+            out[[0, *(k + 1 for k in used)]] = b
+            return out
+        del used[int(np.argmin(b[1:]))]
+
+
+def _newton(x: np.ndarray, y: np.ndarray, ridge: float) -> np.ndarray:
     z = np.column_stack([np.ones(len(x)), x])
-    w = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    w = np.where(y == 1, PRIOR / max(1, (y == 1).sum()), (1 - PRIOR) / max(1, (y == 0).sum())) * len(y)
     b = np.zeros(z.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
@@ -331,7 +353,7 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
-    """Weights from one half of the sample, coefficients from the other, so that these see weights as new documents do; then weights from both."""
+    """Weights from one half of the sample, coefficients from the other, so that these see weights as new documents do; then weights from the whole sample."""
     cost = language_model(docs)
     table = cost.tolist()
     # bounded by ``most``; kept, as it is read several times
@@ -351,7 +373,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Mode
     x, y = x[order := np.lexsort((y, *x.T))], y[order]
     if not (y == 1).any() or not (y == 0).any():
         return Model(cost, half, [-3.0, 0.0, 1.0, 0.0])
-    weights = learn_weights(sample, table, 1)
+    weights = learn_weights(sample, table, None)
     for k, w in half.items():
         weights[k] = max(w, weights.get(k, 0.0))
     return Model(cost, weights, fit_logistic(x, y).tolist())
@@ -389,7 +411,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                         memo[t] = w
                 if w > 0:
                     own.append(w)
-            own += [weights[w] for w in joined(tokens, known.words)]
+            own += [weights[w] for w in set(joined(tokens, known))]
             for run in set_apart(low):
                 found = runs.get(run)
                 if found is None:

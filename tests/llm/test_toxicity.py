@@ -24,6 +24,40 @@ def test_held_out_accuracy(spark, model):
     assert all(0 <= s <= 1 for s in toxic + clean) and all((zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
 
 
+def test_a_small_sample_teaches_enough(spark):
+    small = SF.replace("sf0.1", "sf0.01")
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{small}/labels.parquet")
+    rows = toxicity.score(docs, toxicity.train(docs, labels)).filter(toxicity.held_out(F.col("doc_id"))).join(labels, "doc_id").collect()
+    toxic, clean = [r.score for r in rows if r.toxic == 1], [r.score for r in rows if r.toxic == 0]
+    # some of the toxic labels mark texts without any toxic word
+    assert sum(s >= 0.7 for s in toxic) >= 0.75 * len(toxic) and sum(s >= 0.7 for s in clean) <= 0.01 * len(clean)
+
+
+def test_more_hits_never_lower_a_score(spark, model):
+    assert min(model.coefficients[1:]) >= 0
+    hits = sorted(w for w in model.weights if not w.startswith("^"))
+    rows = [(k, "the tion of and " * 20 + " ".join(hits[:k])) for k in range(min(25, len(hits)))]
+    got = [r.score for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).orderBy("doc_id").collect()]
+    assert all(a <= b for a, b in zip(got, got[1:], strict=False)) and got[-1] > 0.9
+
+
+def test_the_query_against_a_plain_version(spark, sf_dir):
+    """Scores of the query, computed anew from its own model for each text in plain Python."""
+    docs, labels = toxicity.documents(spark, sf_dir, "doc_id", "text"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs, labels)
+    import numpy as np
+
+    cost = model.cost.astype(np.float32).tolist()
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    reader = toxicity.Reader(cost, model.weights)
+    for r in toxicity.query(spark, sf_dir).collect():
+        words = reader.words(texts[r.doc_id] or "")
+        top = max((model.weights.get(k, 0.0) for w in words for k in toxicity.keys(w)), default=0.0)
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) and r.predicted == (r.score >= 0.7)
+        none = 1 / (1 + 2.718281828459045 ** -model.coefficients[0])
+        assert (r.score > none + 1e-9) == (top > 0 and max(model.coefficients[1:]) > 0), r.doc_id
+
+
 def test_restored_texts(spark, model):
     base = "the tion of and thing onan er in " * 8
     rng = random.Random(5)
@@ -99,6 +133,11 @@ def test_any_length_and_spacing(spark, model):
         "x" * 300 + "-1d10t-" + "y" * 300,
         "word " * 60_000 + "1d10t and s t u p i d",
         "los er and stu pid",
+        *(("i" + " " * k + "d" + " " * k + "i" + " " * k + "o" + " " * k + "t") for k in (2, 4, 11, 20)),
+        "idi ots",
+        "lo sers",
+        "mor ons here",
+        "pathe tic",
     ]
     rows = [(i, f"{base} {w} {base}") for i, w in enumerate(written)]
     rows += [*rows[:2], (None, rows[0][1])]  # repeated rows and ties
