@@ -235,9 +235,9 @@ def joined(tokens: list[str], known: Known) -> list[str]:
     found = []
     starts, keyed, most = known.starts, known.keyed, PREFIXES[-1]
     for k, a in enumerate(tokens[:-1]):
-        text = a + tokens[k + 1]
-        if text[:3] not in starts:
+        if (a if len(a) > 2 else a + tokens[k + 1])[:3] not in starts:
             continue
+        text = a + tokens[k + 1]
         for more in tokens[k + 2 : k + 3], ():
             text_of = text + "".join(more)
             word = next((w for w in (text_of, *(text_of[: -len(e)] for e in PLURALS if text_of.endswith(e))) if w in keyed and len(w) > len(a)), None)
