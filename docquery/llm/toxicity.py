@@ -175,7 +175,9 @@ class Known:
     def __init__(self, weights: dict[str, float]):
         self.words = {w for w in weights if not w.startswith("^")}
         self.keyed = set(weights)
-        self.starts = {w.lstrip("^")[:3] for w in weights}
+        # how a word begins that has any of these among its keys
+        plain = {w.lstrip("^") for w in weights}
+        self.starts = {w[:3] for w in plain} | {(w + e)[:3] for w in plain if len(w) < 3 for e in PLURALS}
         self.forms = {_DOUBLE.sub(r"\1", w): w for w in sorted(self.words)}
         self.longest = max(map(len, self.forms), default=0)
 
@@ -395,10 +397,10 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         table, known = cost.tolist(), Known(weights)
         memo: dict[str, float] = {}
         runs: dict[str, list[float]] = {}
-        get = weights.get
+        get, starts = weights.get, known.starts
 
         def strongest(words: list[str]) -> float:
-            return max((get(k, 0.0) for w in words for k in keys(w)), default=0.0)
+            return max((get(k, 0.0) for w in words if w[:3] in starts for k in keys(w)), default=0.0)
 
         def one(text: str) -> float:
             low, own = text.lower(), []
