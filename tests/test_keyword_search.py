@@ -5,9 +5,10 @@ import os
 import random
 from collections import Counter, defaultdict
 
-from docquery.operators import search
+from docquery.operators import keyword_index, search
 from docquery.plans import search_plans
 from docquery.sources.storage import shared_folder
+from docquery.sources.tables import table
 
 SF = "/root/testdata/sf0.01"
 
@@ -65,3 +66,18 @@ def test_retrieval_stores_less_than_the_documents(spark):
     before = _stored(spark)
     assert search_plans.retrieved_pipeline(spark, SF).count() > 0
     assert _stored(spark) - before < os.path.getsize(f"{SF}/documents.parquet")
+
+
+def test_index_stores_no_words_and_shuffles_no_pairs(spark, tmp_path, monkeypatch):
+    docs, queries = given()
+    docs = [(d, t) for d, t in {d: (d, t) for d, t in docs}.values() if d is not None]
+    path, before = str(tmp_path / "i"), _stored(spark)
+    keyword_index.append(table(spark, SF, "documents"), str(tmp_path / "whole"))
+    assert _stored(spark) == before
+    keyword_index.append(spark.createDataFrame(docs, "doc_id long, text string"), path)
+    asked = spark.createDataFrame(queries, "query_id long, question string")
+    monkeypatch.setattr(keyword_index, "GROUP", 100)
+    monkeypatch.setattr(keyword_index, "PACKED", 50)
+    got = keyword_index.search(spark, path, asked, 12)
+    assert "Aggregate" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(str(tuple(r)) for r in got.collect()) == brute(docs, queries, 12)
