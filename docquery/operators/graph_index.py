@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docquery.operators.search import top_k
+from docquery.sources.storage import cut
+
 #: Rows of a part, links of a node, nearest nodes that its links are chosen from, and entries of a part.
 PART_ROWS, LINKS, POOL, ENTRIES = 16_384, 12, 64, 8
 #: Bytes of query vectors that a task has at once.
@@ -174,6 +177,22 @@ def compacted(index: DataFrame, path: str, **options) -> None:
     write(index.select(F.explode("ids").alias("id"), "vector"), path, chunk_id="id", vector="vector", **options)
 
 
+def beam_for(index: DataFrame, queries: DataFrame, k: int, *, recall: float = 0.95, sample: int = 128, skip_same_id: bool = True) -> int:
+    """The first of the beams ``k`` + 4, twice that and so on with which the search finds ``recall`` of the exact ``k`` nearest rows, measured on ``sample`` of the queries (those of the smallest hashes), or one as wide as the largest part.
+
+    Queries that are rows of a part need a narrow beam there; in other parts, and in
+    generations appended later, they are strangers and need a wide one.
+    """
+    some = cut(queries.select("query_id", "query_vector").orderBy(F.xxhash64("query_id"), "query_id").limit(sample))
+    want = cut(top_k(index.select(F.explode("ids").alias("vec_id"), "vector"), some, k, vector="vector", skip_same_id=skip_same_id).select("query_id", "vec_id"))
+    n = want.count()
+    largest = index.groupBy("generation", "part", "dim").count().agg(F.max("count")).head()[0] or 0
+    beam = k + 4
+    while beam < largest and want.join(search(index, some, k, beam=beam, skip_same_id=skip_same_id), ["query_id", "vec_id"], "left_semi").count() < recall * n:
+        beam *= 2
+    return beam
+
+
 def search(index: DataFrame, queries: DataFrame, k: int, *, beam: int | None = None, chunk_id: str = "vec_id", threshold: float | None = None, skip_same_id: bool = True) -> DataFrame:
     """For each query (query_id, query_vector) the ``k`` best rows that walks through all parts meet: (query_id, ``chunk_id``, score, rank, visited).
 

@@ -5,6 +5,7 @@ import os
 import numpy as np
 import pytest
 from docquery.operators import graph_index, search
+from docquery.plans import search_plans
 from docquery.sources import fixtures as fx
 from pyspark.sql import functions as F
 
@@ -78,3 +79,8 @@ def test_every_node_is_reached():
     graph_index._reach(links, entries, reached)
     assert reached.all()
     assert graph_index.graph(unit[:1])[1].tolist() == [0]
+
+
+@pytest.mark.skipif(not os.path.isdir(BIG), reason="no data of that scale")
+def test_measured_beam_reaches_recall_over_generations(spark):
+    assert tuple(search_plans.index_recall(spark, BIG).head()) == (40, 400, True)
