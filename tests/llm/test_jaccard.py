@@ -1,6 +1,6 @@
 import corpus_pipeline
 import numpy as np
-from docquery.llm import jaccard
+from docquery.llm import jaccard, simhash
 
 
 def brute_set(text):
@@ -73,3 +73,18 @@ def test_edge_cases(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted((r.doc_id or -1) for r in jaccard.keep_one(docs).collect()) == [-1, 1, 5, 6]
     assert jaccard.keep_one(docs.limit(0)).count() == 0
+
+
+def test_stage_goes_through_the_tree(spark, monkeypatch):
+    """The tree gets fingerprints of all sets, links are checked by whole sets, and prefixes join only what it leaves apart."""
+    base = [f"w{x}" for x in range(3000)]
+    near = [(c, " ".join(f"new{c}" if at == 100 * c else w for at, w in enumerate(base))) for c in range(12)]
+    rows = near + [(100 + d, t) for d, t in planted()]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    seen, linked = [], simhash.linked
+    monkeypatch.setattr(simhash, "linked", lambda fps: seen.append((fps.count(), linked(fps).count())) or linked(fps))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == brute_kept(rows)
+    assert len(seen) == 1 and seen[0][0] > 150 and seen[0][1] > 0
+    # a tree that links everything changes no result
+    monkeypatch.setattr(simhash, "linked", lambda fps: fps.selectExpr("fp as a", "min(fp) over () as b"))
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == brute_kept(rows)
