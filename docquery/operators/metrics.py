@@ -5,10 +5,10 @@ from __future__ import annotations
 import functools
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType
@@ -17,6 +17,8 @@ from docquery.config import DEFAULTS
 from docquery.functions import stemmer
 from docquery.functions.text import counts, let
 
+#: Pairs of texts whose words are Python objects at once.
+ROWS = 128
 #: English words without a topic, one a line: the built-in list of the usual TF-IDF vectoriser. Another file may be named.
 STOP_WORDS_FILE = Path(__file__).parent.parent / "functions" / "stop_words_en.txt"
 
@@ -129,9 +131,15 @@ def _bleu(r: list[str], h: list[str]) -> float:
     return (1.0 if len(h) > len(r) else math.exp(1 - len(r) / len(h))) * math.exp(logs / 4)
 
 
-@F.pandas_udf(DoubleType())
-def _bleus(r: pd.Series, h: pd.Series) -> pd.Series:
-    return pd.Series([_bleu([] if x is None else list(x), [] if y is None else list(y)) for x, y in zip(r, h, strict=True)], dtype="float64")
+def _pairs(r: pa.Array, h: pa.Array) -> Iterator[tuple[list[str] | None, list[str] | None]]:
+    """Pairs of lists of words, of which ``ROWS`` at a time are Python objects, whatever the size of the batch."""
+    for at in range(0, len(r), ROWS):
+        yield from zip(r.slice(at, ROWS).to_pylist(), h.slice(at, ROWS).to_pylist(), strict=True)
+
+
+@F.arrow_udf(DoubleType())
+def _bleus(r: pa.Array, h: pa.Array) -> pa.Array:
+    return pa.array([_bleu(x or [], y or []) for x, y in _pairs(r, h)], pa.float64())
 
 
 def bleu(reference: Column, hypothesis: Column) -> Column:
@@ -156,7 +164,7 @@ def _stemmed_rouge(n: int | None):
     """ROUGE-n of stems, ROUGE-L where ``n`` is None."""
 
     def one(r: list[str], h: list[str]) -> float:
-        r, h = (stemmer.stems([] if x is None else list(x)) for x in (r, h))
+        r, h = (stemmer.stems(x or []) for x in (r, h))
         if n is None:
             match, size = _longest_common(r, h), len(r) + len(h)
         else:
@@ -164,9 +172,9 @@ def _stemmed_rouge(n: int | None):
             match, size = sum((a & b).values()), a.total() + b.total()
         return 2 * match / size if match else 0.0
 
-    @F.pandas_udf(DoubleType())
-    def score(r: pd.Series, h: pd.Series) -> pd.Series:
-        return pd.Series([one(x, y) for x, y in zip(r, h, strict=True)], dtype="float64")
+    @F.arrow_udf(DoubleType())
+    def score(r: pa.Array, h: pa.Array) -> pa.Array:
+        return pa.array([one(x, y) for x, y in _pairs(r, h)], pa.float64())
 
     return score
 
@@ -189,9 +197,9 @@ def _longest_common(r: list[str], h: list[str]) -> int:
     return len(r) - row.bit_count()
 
 
-@F.pandas_udf(IntegerType())
-def _lcs(r: pd.Series, h: pd.Series) -> pd.Series:
-    return pd.Series([0 if x is None or y is None else _longest_common(list(x), list(y)) for x, y in zip(r, h, strict=True)], dtype="int32")
+@F.arrow_udf(IntegerType())
+def _lcs(r: pa.Array, h: pa.Array) -> pa.Array:
+    return pa.array([0 if x is None or y is None else _longest_common(x, y) for x, y in _pairs(r, h)], pa.int32())
 
 
 def rouge_l(reference: Column, hypothesis: Column, *, stems: bool = False) -> Column:

@@ -119,3 +119,18 @@ def test_longest_common_subsequence():
         r, h = [[rng.choice("abc") for _ in range(rng.randrange(7))] for _ in range(2)]
         want = max(n for n in range(len(r) + 1) if any(all(c in it for c in part) for part in itertools.combinations(r, n) for it in [iter(h)]))
         assert metrics._longest_common(r, h) == want
+
+
+def test_words_of_a_whole_batch_are_never_python_objects_at_once():
+    import tracemalloc
+
+    import pyarrow as pa
+    from docquery.operators import metrics
+
+    words = pa.array([[f"w{i}x{j}" for j in range(60)] for i in range(6000)])
+    for score in (metrics._bleus, metrics._lcs):
+        tracemalloc.start()
+        score.func(words, words)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 5_000_000
