@@ -134,3 +134,14 @@ def test_words_of_a_whole_batch_are_never_python_objects_at_once():
         peak = tracemalloc.get_traced_memory()[1]
         tracemalloc.stop()
         assert peak < 5_000_000
+
+
+def test_exact_search_holds_small_blocks(spark, monkeypatch):
+    rows = [(k, [float((k * 37 + i * i) % 101) - 50 for i in range(8)]) for k in range(3000)]
+    chunks = spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1)
+    queries = chunks.selectExpr("vec_id as query_id", "embedding as query_vector")
+    assert search.BLOCK_ROWS * search.BLOCK_QUERIES * 8 <= 2 << 20 and search.QUERY_BYTES <= 32 << 20
+    whole = sorted(map(tuple, search.top_k(chunks, queries, 6).collect()))
+    monkeypatch.setattr(search, "BLOCK_ROWS", 7000)
+    monkeypatch.setattr(search, "BLOCK_QUERIES", 7000)
+    assert sorted(map(tuple, search.top_k(chunks, queries, 6).collect())) == whole and len(whole) == 18000
