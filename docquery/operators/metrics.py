@@ -8,17 +8,21 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import ArrayType, DoubleType
 
 from docquery.config import DEFAULTS
 from docquery.functions import stemmer
 from docquery.functions.text import counts, let
 
-#: Pairs of texts whose words are Python objects at once.
+#: Pairs of texts whose words are Python objects, or numbers, at once.
 ROWS = 128
+#: Weight of a word that only one of two texts has: ln(1.5) + 1.
+ALONE = 1.0 + 0.4054651081081644
 #: English words without a topic, one a line: the built-in list of the usual TF-IDF vectoriser. Another file may be named.
 STOP_WORDS_FILE = Path(__file__).parent.parent / "functions" / "stop_words_en.txt"
 
@@ -88,23 +92,58 @@ def topic_words(text: Column, stops: tuple[str, ...] | None = None) -> Column:
     return F.filter(found, lambda w: ~w.isin(*(stop_words() if stops is None else stops)))
 
 
-def _cosine(x: Column, y: Column, in_y: Column) -> Column:
-    """Of two texts' counted words; ``in_y``: those of ``y`` as a map."""
-    once = F.lit(1.0 + 0.4054651081081644)
-    shared = F.aggregate(x, F.lit(0.0), lambda s, e: s + e["n"] * F.coalesce(F.try_element_at(in_y, e["w"]), F.lit(0)).cast("double"))
-    norm = lambda c, m: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, e: s + F.pow(e["n"] * F.when(F.map_contains_key(m, e["w"]), 1.0).otherwise(once), F.lit(2.0))))
-    value = let(F.map_from_entries(x), lambda in_x: F.coalesce(shared / F.nullif(norm(x, in_y) * norm(y, in_x), F.lit(0.0)), F.lit(0.0)))
-    return F.when((F.size(x) == 0) | (F.size(y) == 0), 0.0).otherwise(value)
+def _parts(*columns: pa.Array) -> Iterator[tuple[pa.Array, ...]]:
+    """Slices of ``ROWS`` rows, whatever the size of the batch."""
+    for at in range(0, len(columns[0]), ROWS):
+        yield tuple(c.slice(at, ROWS) for c in columns)
 
 
-def _similar_to(text: Column, body: Callable[[Callable[[Column], Column]], Column]) -> Column:
-    """``body`` of a function that gives other texts' similarity with ``text``, whose words are counted once."""
-    return let(counts(topic_words(text)), lambda y: let(F.map_from_entries(y), lambda in_y: body(lambda a: let(counts(topic_words(a)), lambda x: _cosine(x, y, in_y)))))
+def _owners(c: pa.Array) -> np.ndarray:
+    """Of each item of a column of lists the row."""
+    return np.repeat(np.arange(len(c)), pc.fill_null(c.value_lengths(), 0).to_numpy())
+
+
+def _numbered(*columns: pa.Array) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """Columns of lists of words as pairs, the row and the number of each word, and how many numbers there are; a list that is null has no words."""
+    flat = [c.flatten() for c in columns]
+    # arrays without items may come without buffers, which can't be joined
+    coded = pa.concat_arrays([f for f in flat if len(f)] or [pa.array([], pa.string())]).dictionary_encode()
+    cuts = np.cumsum([len(f) for f in flat])[:-1]
+    return list(zip(map(_owners, columns), np.split(coded.indices.to_numpy().astype(np.int64), cuts), strict=True)), max(1, len(coded.dictionary))
+
+
+def _cosines(texts: np.ndarray, others: np.ndarray, row: np.ndarray, size: int) -> np.ndarray:
+    """Similarity of each text with the other one of its ``row``. A word of ``texts`` is the text's number times ``size`` plus its own, one of ``others`` the row's times ``size`` plus its own."""
+    (x, nx), (y, ny) = (np.unique(w, return_counts=True) for w in (texts, others))
+    owner, most = x // size, len(row)
+    wanted = row[owner] * size + x % size
+    at = np.minimum(np.searchsorted(y, wanted), max(0, len(y) - 1))
+    both = y[at] == wanted if len(y) else np.zeros(len(x), bool)
+    mine, theirs, of = nx[both], ny[at[both]], owner[both]
+    # sums of whole numbers, so that their order does not matter
+    norm = lambda every, shared: np.sqrt(shared + ALONE * ALONE * (every - shared))
+    every_other = np.bincount(y // size, ny * ny, int(row.max(initial=-1)) + 1)[row]
+    norms = norm(np.bincount(owner, nx * nx, most), np.bincount(of, mine * mine, most)) * norm(every_other, np.bincount(of, theirs * theirs, most))
+    return np.divide(np.bincount(of, mine * theirs, most), norms, out=np.zeros(most), where=norms > 0)
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _likenesses(texts: pa.Array, other: pa.Array) -> pa.Array:
+    """Of each row's texts, lists of topic words, the similarity with the row's other text. Words are numbers that are sorted and looked up by bisection; a map column's entries are tried one after the other, which takes the product of two texts' sizes."""
+    found = []
+    for some, one in _parts(texts, other):
+        each = some.flatten()
+        row = _owners(some)
+        ((text, x), (of, y)), size = _numbered(each, one)
+        values = _cosines(text * size + x, of * size + y, row, size)
+        ends = np.searchsorted(row, np.arange(len(some) + 1)).astype(np.int32)
+        found.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(values), mask=some.is_null()))
+    return pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.float64()))
 
 
 def similarity(a: Column, b: Column) -> Column:
     """Cosine of two texts' TF-IDF vectors fitted on these two alone: a word in both weighs 1, in one ln(1.5) + 1. 0 where either has no words."""
-    return _similar_to(b, lambda like: like(a))
+    return _likenesses(F.array(topic_words(a)), topic_words(b))[0]
 
 
 def grams(tokens: Column, n: int) -> Column:
@@ -121,29 +160,55 @@ def _runs(tokens: list[str], n: int) -> Counter:
     return Counter(zip(*[tokens[k:] for k in range(n)], strict=False))
 
 
-def _bleu(r: list[str], h: list[str]) -> float:
-    if not h or not (found := sum((_runs(r, 1) & _runs(h, 1)).values())):
+def _bleu(matches: list[int], r: int, h: int) -> float:
+    """From the matching runs of one to four words and the two lengths."""
+    if not matches[0]:
         return 0.0
-    logs = math.log(found / len(h))
+    logs = math.log(matches[0] / h)
     for n in range(2, 5):
-        match = sum((_runs(r, n) & _runs(h, n)).values())
-        logs += math.log((match or 0.1) / max(len(h) - n + 1, 1))
-    return (1.0 if len(h) > len(r) else math.exp(1 - len(r) / len(h))) * math.exp(logs / 4)
+        logs += math.log((matches[n - 1] or 0.1) / max(h - n + 1, 1))
+    return (1.0 if h > r else math.exp(1 - r / h)) * math.exp(logs / 4)
+
+
+def _matches(r: tuple[np.ndarray, np.ndarray], h: tuple[np.ndarray, np.ndarray], rows: int, size: int) -> np.ndarray:
+    """For each row how many runs of one to four words two texts share, each as often as in both. Words are numbers below ``size``."""
+    row = np.concatenate((r[0], h[0] + rows))
+    word = runs = np.concatenate((r[1], h[1]))
+    found = np.zeros((rows, 4), np.int64)
+    for n in range(1, 5):
+        if n > 1:  # a run is the number of the one before it and a word
+            runs = np.unique(runs[:-1] * size + word[n - 1 :], return_inverse=True)[1]
+        first = row[: len(runs)]
+        whole = first == row[n - 1 :]
+        most = int(runs.max(initial=0)) + 1
+        (x, nx), (y, ny) = (np.unique((first[own] % rows) * most + runs[own], return_counts=True) for own in (whole & (first < rows), whole & (first >= rows)))
+        both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+        found[:, n - 1] = np.bincount(both // most, np.minimum(nx[i], ny[j]), rows)
+    return found
 
 
 def _pairs(r: pa.Array, h: pa.Array) -> Iterator[tuple[list[str] | None, list[str] | None]]:
     """Pairs of lists of words, of which ``ROWS`` at a time are Python objects, whatever the size of the batch."""
-    for at in range(0, len(r), ROWS):
-        yield from zip(r.slice(at, ROWS).to_pylist(), h.slice(at, ROWS).to_pylist(), strict=True)
+    for x, y in _parts(r, h):
+        yield from zip(x.to_pylist(), y.to_pylist(), strict=True)
+
+
+def _sizes(row: np.ndarray, rows: int) -> list[int]:
+    return np.bincount(row, minlength=rows).tolist()
 
 
 @F.arrow_udf(DoubleType())
 def _bleus(r: pa.Array, h: pa.Array) -> pa.Array:
-    return pa.array([_bleu(x or [], y or []) for x, y in _pairs(r, h)], pa.float64())
+    found: list[float] = []
+    for part in _parts(r, h):
+        (x, y), size = _numbered(*part)
+        rows = len(part[0])
+        found += map(_bleu, _matches(x, y, rows, size).tolist(), _sizes(x[0], rows), _sizes(y[0], rows))
+    return pa.array(found, pa.float64())
 
 
 def bleu(reference: Column, hypothesis: Column) -> Column:
-    """BLEU-4 with equal weights; an order without a match counts as 0.1 matches (smoothing method 1). 0 without any matching word. Words are split once; their runs are counted an Arrow batch at a time."""
+    """BLEU-4 with equal weights; an order without a match counts as 0.1 matches (smoothing method 1). 0 without any matching word. Words are split once; their runs are numbers that are counted for many pairs at once."""
     return _bleus(words(reference), words(hypothesis))
 
 
@@ -197,29 +262,36 @@ def _longest_common(r: list[str], h: list[str]) -> int:
     return len(r) - row.bit_count()
 
 
-@F.arrow_udf(IntegerType())
+@F.arrow_udf(DoubleType())
 def _lcs(r: pa.Array, h: pa.Array) -> pa.Array:
-    return pa.array([0 if x is None or y is None else _longest_common(x, y) for x, y in _pairs(r, h)], pa.int32())
+    """ROUGE-L F-measure."""
+    found: list[float] = []
+    for part in _parts(r, h):
+        columns, _ = _numbered(*part)
+        x, y = ([w.tolist() for w in np.split(words, np.searchsorted(row, np.arange(1, len(part[0]))))] for row, words in columns)
+        for a, b in zip(x, y, strict=True):
+            match = _longest_common(a, b) if a and b else 0
+            p, q = match / max(1, len(b)), match / max(1, len(a))
+            found.append(2 * p * q / (p + q) if match else 0.0)
+    return pa.array(found, pa.float64())
 
 
 def rouge_l(reference: Column, hypothesis: Column, *, stems: bool = False) -> Column:
-    """ROUGE-L F-measure on words of letters and digits, with ``stems`` on their stems. The longest common subsequence is a fold that no column function does in linear memory: an Arrow batch at a time in Python."""
-    if stems:
-        return _stemmed_rouge(None)(_plain(reference), _plain(hypothesis))
-    tokens = lambda c: F.coalesce(_plain(c), F.expr("cast(array() as array<string>)"))
-    r, h = tokens(reference), tokens(hypothesis)
-    return _f(_lcs(r, h).cast("double"), F.size(h), F.size(r))
+    """ROUGE-L F-measure on words of letters and digits, with ``stems`` on their stems. The longest common subsequence is a fold that no column function does in linear memory: an Arrow batch at a time in Python, of words' numbers."""
+    return (_stemmed_rouge(None) if stems else _lcs)(_plain(reference), _plain(hypothesis))
 
 
 def faithfulness(answer: Column, context: Column, at: float = DEFAULTS.faithful_at) -> Column:
     """Share of an answer's sentences that are similar to the context; 0 without sentences."""
-    return _similar_to(context, lambda like: _faithful(answer, like, at))
+    return _share(_likenesses(F.transform(_sentences(answer), lambda s: topic_words(s)), topic_words(context)), at)
+
+
+def _sentences(answer: Column) -> Column:
+    return F.filter(F.transform(F.split(answer, "[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
 
 
-def _faithful(answer: Column, like: Callable[[Column], Column], at: float) -> Column:
-    sentences = F.filter(F.transform(F.split(answer, "[.!?]+"), lambda s: F.regexp_replace(s, r"^\s+|\s+$", "")), lambda s: s != "")
-    share = lambda ss: F.when(F.size(ss) == 0, 0.0).otherwise(F.size(F.filter(ss, lambda s: like(s) >= at)) / F.size(ss))
-    return let(sentences, share)
+def _share(likenesses: Column, at: float) -> Column:
+    return let(likenesses, lambda s: F.when(F.size(s) == 0, 0.0).otherwise(F.size(F.filter(s, lambda x: x >= at)) / F.size(s)))
 
 
 def _new_numbers(answer: Column, context: Column) -> Column:
@@ -235,9 +307,12 @@ def hallucinated(answer: Column, context: Column) -> Column:
 
 
 def grounding(answer: Column, context: Column, at: float = DEFAULTS.faithful_at) -> Column:
-    """``faithfulness`` and ``hallucinated`` as one struct, for which the context's words are counted once."""
-    both = _similar_to(context, lambda like: F.struct(_faithful(answer, like, at).alias("faithfulness"), like(answer).alias("likeness")))
-    return let(both, lambda b: F.struct(b["faithfulness"].alias("faithfulness"), (_new_numbers(answer, context) | (b["likeness"] < DEFAULTS.dissimilar_under)).alias("hallucinated")))
+    """``faithfulness`` and ``hallucinated`` as one struct, for which the context's words are counted once: the answer is compared as a whole and by sentences."""
+    texts = F.concat(F.array(topic_words(answer)), F.transform(_sentences(answer), lambda s: topic_words(s)))
+    likenesses = _likenesses(texts, topic_words(context))
+    # an answer that is null is like nothing
+    whole = F.coalesce(likenesses[0], F.lit(0.0))
+    return F.struct(_share(F.slice(likenesses, F.lit(2), F.size(likenesses)), at).alias("faithfulness"), (_new_numbers(answer, context) | (whole < DEFAULTS.dissimilar_under)).alias("hallucinated"))
 
 
 def citation_accuracy(answer: Column, context: Column) -> Column:

@@ -145,3 +145,61 @@ def test_exact_search_holds_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(search, "BLOCK_ROWS", 7000)
     monkeypatch.setattr(search, "BLOCK_QUERIES", 7000)
     assert sorted(map(tuple, search.top_k(chunks, queries, 6).collect())) == whole and len(whole) == 18000
+
+
+def test_similarity_grows_no_faster_than_the_texts(spark):
+    import time
+
+    def seconds(n):
+        text = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(n)), lambda i: F.concat(F.lit("w"), i)), " ")
+        began = time.perf_counter()
+        assert spark.range(1).select(metrics.similarity(F.concat(text, F.lit(" x")), text).alias("s"), metrics.grounding(text, text).alias("g")).head().s > 0.99
+        return time.perf_counter() - began
+
+    seconds(10)
+    assert seconds(24000) < 6 * seconds(6000)
+
+
+def test_text_metrics_are_those_of_plain_python(spark):
+    import math
+    import random
+    import re
+    from collections import Counter
+
+    rng = random.Random(9)
+    text = lambda: rng.choice([None, "", " . ", "the"]) if rng.random() < 0.15 else "".join(rng.choice(["ab ", "Cd ", "ef. ", "the ", "gh! ", "straße ", "x "]) for _ in range(rng.randrange(30)))
+    rows = [(k, text(), text()) for k in range(2 * metrics.ROWS + 44)]
+
+    def topics(t):
+        return Counter(w for w in re.findall(r"\w{2,}", (t or "").lower()) if w not in metrics.stop_words())
+
+    def cosine(x, y):
+        norm = lambda a, b: math.sqrt(sum((n * (1 if w in b else math.log(1.5) + 1)) ** 2 for w, n in a.items()))
+        return sum(n * y[w] for w, n in x.items()) / (norm(x, y) * norm(y, x)) if x and y else 0
+
+    def bleu(r, h):
+        grams = lambda t, n: Counter(zip(*[t[k:] for k in range(n)], strict=False))
+        if not set(r) & set(h):
+            return 0
+        logs = sum(math.log(((grams(r, n) & grams(h, n)).total() or 0.1) / max(len(h) - n + 1, 1)) for n in range(1, 5))
+        return (1 if len(h) > len(r) else math.exp(1 - len(r) / len(h))) * math.exp(logs / 4)
+
+    def rouge(r, h):
+        table = [[0] * (len(h) + 1) for _ in range(len(r) + 1)]
+        for i, x in enumerate(r):
+            for j, y in enumerate(h):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        return 2 * table[-1][-1] / (len(r) + len(h)) if r and h else 0
+
+    df = spark.createDataFrame(rows, "k long, a string, c string").coalesce(1)
+    a, c = F.col("a"), F.col("c")
+    got = df.select("*", metrics.similarity(a, c).alias("s"), metrics.grounding(a, c).alias("g"), metrics.faithfulness(a, c).alias("f"), metrics.bleu(c, a).alias("b"), metrics.rouge_l(c, a).alias("r")).collect()
+    assert len(got) == len(rows)
+    for x in got:
+        assert x.s == pytest.approx(cosine(topics(x.a), topics(x.c)))
+        said = [t for t in re.split("[.!?]+", x.a or "") if t.strip()]
+        want = None if x.a is None else sum(cosine(topics(t), topics(x.c)) >= 0.4 for t in said) / max(1, len(said))
+        assert x.f == want and x.g.faithfulness == want
+        assert x.g.hallucinated is (None if x.c is None and x.s >= 0.3 else x.s < 0.3)
+        assert x.b == pytest.approx(bleu((x.c or "").lower().split(), (x.a or "").lower().split()))
+        assert x.r == pytest.approx(rouge(re.findall("[a-z0-9]+", (x.c or "").lower()), re.findall("[a-z0-9]+", (x.a or "").lower())))
