@@ -2,8 +2,9 @@
 
 Normalising takes the longest prefix that the model's compiled character map knows
 (characters that it doesn't know stay), and records for each normalised byte where it
-came from. Pieces are merged on the normalised text, best score first; each piece is
-then projected through that record to its span of bytes in the original.
+came from. Pieces are merged on the normalised text, best score first, a merge of each
+of some thousand stretches at a time; each piece is then projected through that record
+to its span of bytes in the original.
 
 Spark deals out the texts; a task encodes a few hundred at a time and shuffles nothing,
 so a lost executor costs its tasks only. Merges never cross a place that no piece of the
@@ -37,6 +38,8 @@ CACHED = 200_000
 SPACE = "▁"
 #: Symbols of a stretch from which a heap of pairs is used.
 LONG = 48
+#: Stretches that are merged together: at least so many, fewer are merged one by one, and at most so many.
+TOGETHER = 48, 16384
 
 
 def default_model() -> str:
@@ -93,6 +96,80 @@ class CharacterMap:
         return found
 
 
+class Pairs:
+    """Pairs of pieces that make a piece, as a table with open addressing: arrays of pairs are looked up at once."""
+
+    NONE = np.int64(1) << 62  # the rank of a pair that makes no piece
+    BITS = 32  # below a rank: the place of a pair
+
+    def __init__(self, piece: dict[str, tuple[float, int]]):
+        self.base = max([i for _, i in piece.values()], default=0) + 2  # one more than there are: the id beside the ends of a stretch
+        scores = np.unique([score for score, _ in piece.values()])
+        made = [(piece[a][1], piece[b][1], *found) for p, found in piece.items() for k in range(1, len(p)) if (a := p[:k]) in piece and (b := p[k:]) in piece]
+        left, right, score, to = (np.array(x) for x in zip(*made, strict=True)) if made else (np.empty(0, np.int64),) * 4
+        keys = left * self.base + right
+        self.shift = 64 - max(4, (4 * len(keys)).bit_length())
+        size = 1 << 64 - self.shift
+        self.keys, self.ranks, self.made = np.full(size, -1, np.int64), np.full(size, self.NONE), np.full(size, -1, np.int32)
+        at, todo = self.slots(keys), np.arange(len(keys))
+        while len(todo):
+            free = todo[self.keys[at[todo]] < 0]
+            self.keys[at[free]] = keys[free]
+            todo = todo[self.keys[at[todo]] != keys[todo]]
+            at[todo] = (at[todo] + 1) % size
+        self.ranks[at] = np.searchsorted(scores, score) << self.BITS  # equal scores have one rank
+        self.made[at] = to
+        # characters that are pieces, by code point; the last one stands for all above
+        alone = {ord(p): i for p, (_, i) in piece.items() if len(p) == 1}
+        self.alone = np.full(max(alone, default=0) + 2, -1, np.int32)
+        self.alone[[*alone]] = [*alone.values()]
+
+    def slots(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(self.shift)).astype(np.int64)
+
+    def find(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Where the pairs are in the table; pairs that make no piece are at an empty place."""
+        keys = left.astype(np.int64) * self.base + right
+        at = self.slots(keys)
+        there = self.keys[at]
+        other = np.flatnonzero((there != keys) & (there >= 0))
+        while len(other):
+            at[other] = (at[other] + 1) % len(self.keys)
+            there = self.keys[at[other]]
+            other = other[(there != keys[other]) & (there >= 0)]
+        return at
+
+    def merged(self, symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces of many stretches, given the pieces that are their characters, and how many each has: in each round every stretch merges its pair of the best score, the leftmost first."""
+        n = len(symbols)
+        starts = np.cumsum(sizes) - sizes
+        # n stands beside the first and the last symbol of a stretch
+        symbols = np.append(symbols, np.int32(self.base - 1))
+        before, after, best = np.arange(-1, n, dtype=np.int32), np.arange(1, n + 2, dtype=np.int32), np.full(n + 1, self.NONE)
+        before[starts], after[starts + sizes - 1] = n, n
+        makes = self.find(symbols[:-1], symbols[after[:-1]])
+        best[:-1] = self.ranks[makes] + np.arange(n)
+        alive = np.ones(n, bool)
+        going = starts
+        while len(going):
+            # a stretch that is done has no pair left, and counts for nothing in the range of the one before
+            found = np.minimum.reduceat(best, going)
+            go = found < self.NONE
+            going, found = going[go], found[go]
+            at = found & ((1 << self.BITS) - 1)
+            gone = after[at]
+            symbols[at] = self.made[makes[at]]
+            alive[gone], best[gone] = False, self.NONE
+            after[at] = after[gone]
+            before[after[at]] = at
+            left = np.concatenate([at, before[at]])
+            here = self.find(symbols[left], symbols[np.concatenate([after[at], at])])
+            best[left] = self.ranks[here] + left
+            left, here = left[left < n], here[left < n]
+            makes[left] = here
+        return symbols[:-1][alive], np.add.reduceat(alive, starts, dtype=np.int64)
+
+
 class Encoder:
     """A BPE model file of the library, and the stretches that were met before."""
 
@@ -113,6 +190,8 @@ class Encoder:
         byte_ids = [i for i, p in enumerate(m.pieces) if p.type == kinds.BYTE]
         self.bytes = {int(self.names[i][1:-1], 16): i for i in byte_ids} if m.trainer_spec.byte_fallback else {}
         self.none = (float("inf"), -1)
+        self.pairs = Pairs(self.piece)
+        self.covers = np.array([len(name.encode()) for name in self.names], np.int32)
         self.surface = [(p.piece.replace(SPACE, " ") if p.type == kinds.NORMAL else m.trainer_spec.unk_surface if p.type == kinds.UNKNOWN else "").encode() for p in m.pieces]
         self.control = {i for i, p in enumerate(m.pieces) if p.type == kinds.CONTROL}
         self.byte_of = {i: b for b, i in self.bytes.items()}
@@ -211,8 +290,33 @@ class Encoder:
                     heapq.heappush(heap, (m[0], a, len(symbols[a]) + len(symbols[b])))
         return [s for s in symbols if s]
 
-    def encoded(self, stretch: str) -> tuple[bytes, bytes]:
-        """Ids of a stretch and the normalised bytes that each covers; of a character's byte pieces the last one covers it."""
+    def learn(self, stretches: list[str]) -> None:
+        """Puts what ``encoded`` gives for stretches into the cache: ordinary ones merged together, long ones and those with characters of no piece one by one."""
+        least, most = TOGETHER
+        young = self.cache.young
+        short = [s for s in stretches if len(s) <= LONG]
+        if len(short) < least:
+            young.update(zip(stretches, map(self.encoded, stretches), strict=True))
+            return
+        young.update((s, self.encoded(s)) for s in stretches if len(s) > LONG)
+        for k in range(0, len(short), most):
+            part = short[k : k + most]
+            codes = np.frombuffer("".join(part).encode("utf-32-le"), "<u4")
+            symbols = self.pairs.alone[np.minimum(codes, len(self.pairs.alone) - 1)]
+            sizes = np.fromiter(map(len, part), np.int64, len(part))
+            whole = np.minimum.reduceat(symbols, np.cumsum(sizes) - sizes) >= 0
+            if not whole.all():
+                young.update((s, self.encoded(s)) for s, w in zip(part, whole.tolist(), strict=True) if not w)
+                part = [s for s, w in zip(part, whole.tolist(), strict=True) if w]
+                symbols, sizes = symbols[np.repeat(whole, sizes)], sizes[whole]
+            if part:
+                ids, counts = self.pairs.merged(symbols, sizes)
+                raw = np.stack([ids, self.covers[ids]], axis=1).astype("<i4", copy=False).tobytes()
+                ends = (8 * np.cumsum(counts)).tolist()
+                young.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
+
+    def encoded(self, stretch: str) -> bytes:
+        """Ids of a stretch, after each the normalised bytes that it covers; of a character's byte pieces the last one covers it."""
         ids: list[int] = []
         sizes: list[int] = []
         for s in self.merged(list(stretch)):
@@ -226,7 +330,7 @@ class Encoder:
             else:
                 ids.append(self.unknown)
                 sizes.append(len(raw))
-        return np.array(ids, "<i4").tobytes(), np.array(sizes, "<i4").tobytes()
+        return np.array([ids, sizes], "<i4").T.tobytes()
 
     def batch(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each text: ids, and the spans of bytes in the text (starts, ends)."""
@@ -234,13 +338,11 @@ class Encoder:
         split = [self.stretch.findall(t) for t, _ in normal]
         cache = self.cache
         young = cache.young
-        for s in cache.missing({s for ss in split for s in ss}):
-            young[s] = self.encoded(s)
+        self.learn(cache.missing(set().union(*split).difference(young)))
         out = []
         for ss, (_, align) in zip(split, normal, strict=True):
-            got = [*map(young.__getitem__, ss)]
-            ids = np.frombuffer(b"".join([g[0] for g in got]), "<i4")
-            sizes = np.frombuffer(b"".join([g[1] for g in got]), "<i4")
+            got = np.frombuffer(b"".join(map(young.__getitem__, ss)), "<i4")
+            ids, sizes = got[::2], got[1::2]
             if not self.bytes and (ids == self.unknown).any():
                 ids, sizes = self.joined_unknown(ids, sizes)
             ends = np.cumsum(sizes)

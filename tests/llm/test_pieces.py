@@ -69,6 +69,37 @@ def test_short_and_long_merging_agree(coder):
         assert "".join(long) == "".join(symbols)
 
 
+def test_ordinary_stretches_are_merged_together(monkeypatch, library):
+    """New words of characters that are pieces cost no Python call each."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice(["th", "on", "er", "in", "qu", "é", "ß", "W", "7"]) for _ in range(rng.randrange(1, 20))) for _ in range(3000)]
+    coder = pieces.Encoder(pieces.read_model(None)[1])
+    monkeypatch.setattr(coder, "encoded", lambda s: pytest.fail(s))
+    monkeypatch.setattr(pieces, "TOGETHER", (1, 700), raising=False)
+    text = " ".join(words)
+    assert coder.batch([text, "a"])[0][0].tolist() == library.encode(text)
+    assert coder.batch([" ".join(words[::-1])])[0][0].tolist() == library.encode(" ".join(words[::-1]))
+
+
+@pytest.mark.parametrize("width", [1, 7, 500, 40_000])
+def test_equal_scores_together_and_alone(width):
+    """Of pairs of one score the leftmost goes first, as in the library; odd and long stretches between ordinary ones keep their places."""
+    m = pieces.proto.ModelProto.FromString(pieces.read_model(None)[1])
+    for i, p in enumerate(m.pieces):
+        p.score = -(i // width)
+    library, coder = sentencepiece.SentencePieceProcessor(model_proto=m.SerializeToString()), pieces.Encoder(m.SerializeToString())
+    rng = random.Random(7)
+    texts = ODD + random_texts(200, 8) + ["".join(rng.choice("abeinorst   ") for _ in range(2000)), " ".join("aab"[: k % 4] * k for k in range(120))]
+    for t, (ids, starts, ends) in zip(texts, coder.batch(texts), strict=True):
+        want = library.encode(t, return_type="proto").pieces
+        assert [*zip(ids.tolist(), starts.tolist(), ends.tolist(), strict=True)] == [(p.id, p.begin, p.end) for p in want], t[:60]
+    words = [w[:40] for t in texts for w in t.split() if all(c in coder.piece for c in w)]
+    symbols = pieces.np.array([coder.piece[c][1] for w in words for c in w[:40]], pieces.np.int32)
+    ids, counts = coder.pairs.merged(symbols, pieces.np.array([*map(len, words)]))
+    alone = [coder.merged(list(w)) for w in words]
+    assert [coder.names[i] for i in ids] == [s for a in alone for s in a] and counts.tolist() == [*map(len, alone)]
+
+
 def test_caches_forget_without_changing_results(monkeypatch, library):
     monkeypatch.setattr(pieces, "CACHED", 20)
     coder = pieces.Encoder(pieces.read_model(None)[1])
