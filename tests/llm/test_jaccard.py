@@ -1,6 +1,9 @@
 import corpus_pipeline
 import numpy as np
 from docquery.llm import jaccard, simhash
+from docquery.llm.common import parted
+from docquery.sources.storage import shared_folder
+from pyspark.sql import functions as F
 
 
 def brute_set(text):
@@ -88,3 +91,34 @@ def test_stage_goes_through_the_tree(spark, monkeypatch):
     # a tree that links everything changes no result
     monkeypatch.setattr(simhash, "linked", lambda fps: fps.selectExpr("fp as a", "min(fp) over () as b"))
     assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, "").collect()) == brute_kept(rows)
+
+
+def test_keys_as_bits(spark):
+    rows = spark.range(200_000).withColumn("k", F.xxhash64("id"))
+    keys = rows.filter("id % 20 = 0").select("k")
+    may, others = parted(rows, F.col("k"), keys)
+    found = {r.id for r in may.select("id").collect()}
+    assert found.isdisjoint(left := {r.id for r in others.select("id").collect()}) and len(found) + len(left) == 200_000
+    assert {*range(0, 200_000, 20)} <= found and len(found) < 10_000 + 190_000 / 8
+    assert parted(rows, F.col("k"), keys.limit(0))[0].isEmpty()
+
+
+def test_texts_that_stay_are_not_shuffled(spark, monkeypatch):
+    """All that the stage shuffles is less than its texts, and nothing is left of its steps."""
+    rng = np.random.default_rng(3)
+    rows = [(d, " ".join(f"{x:x}" for x in rng.integers(1 << 28, 1 << 32, 2000))) for d in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "_frequent", lambda texts, k: (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
+    context = spark.sparkContext._jsc.sc()
+
+    def shuffled():
+        context.listenerBus().waitUntilEmpty(20_000)
+        found = spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(context.statusStore().executorList(False))
+        return sum(x.totalShuffleWrite() for x in found)
+
+    before = shuffled()
+    assert corpus_pipeline.near_duplicates(spark, docs, "").count() == 200
+    assert corpus_pipeline.near_duplicates(spark, docs, "").agg(F.sum(F.length("text"))).head()[0] == sum(len(t) for _, t in rows)
+    assert (shuffled() - before) / 2 < 0.8 * sum(len(t) for _, t in rows)
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/*/steps")
+    assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
