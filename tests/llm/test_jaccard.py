@@ -2,6 +2,7 @@ import corpus_pipeline
 import numpy as np
 from docquery.llm import jaccard, simhash
 from docquery.llm.common import parted
+from docquery.llm.components import components
 from docquery.sources.storage import shared_folder
 from pyspark.sql import functions as F
 
@@ -122,3 +123,10 @@ def test_texts_that_stay_are_not_shuffled(spark, monkeypatch):
     assert (shuffled() - before) / 2 < 0.8 * sum(len(t) for _, t in rows)
     at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_folder(spark)}/*/steps")
     assert not at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at)
+
+
+def test_no_table_of_the_graph_is_broadcast(spark):
+    edges = spark.range(300).selectExpr("id as a", "id + 1 as b")
+    found = components(edges)
+    assert len({r.root for r in found.collect()}) == 1
+    assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
