@@ -84,3 +84,42 @@ def test_every_node_is_reached():
 @pytest.mark.skipif(not os.path.isdir(BIG), reason="no data of that scale")
 def test_measured_beam_reaches_recall_over_generations(spark):
     assert tuple(search_plans.index_recall(spark, BIG).head()) == (40, 400, True)
+
+
+def test_best_rows_of_nodes():
+    """As row by row: nodes of many ids, ties in rounded scores, the query's own id, a threshold."""
+    rng = np.random.default_rng(6)
+    ends = np.append(0, np.cumsum(rng.integers(1, 9, 50)))
+    ids = np.concatenate([np.sort(x) for x in np.split(rng.permutation(ends[-1]), ends[1:-1])])
+    nodes = np.array([np.where(np.arange(20) < 20 - q % 5, rng.permutation(50)[:20], -1) for q in range(40)])
+    scores = np.where(nodes >= 0, -np.sort(-rng.integers(0, 8, nodes.shape) / 8 - 1e-9, axis=1), -np.inf)
+    for threshold, skip in ((None, True), (0.5, True), (None, False)):
+        query, own, score = graph_index._best_ids(np.arange(40), scores, nodes, ends, ids, 4, threshold, skip)
+        for q in range(40):
+            rows = sorted((-round(s, 6), i) for s, n in zip(scores[q].tolist(), nodes[q].tolist(), strict=True) if n >= 0 for i in ids[ends[n] : ends[n + 1]].tolist() if not (skip and i == q))[:4]
+            assert [(-s, i) for s, i in zip(score[query == q].tolist(), own[query == q].tolist(), strict=True)] == [r for r in rows if threshold is None or -r[0] >= threshold]
+
+
+def test_some_beams_are_measured_in_one_reading(spark, tmp_path, monkeypatch):
+    rng = np.random.default_rng(7)
+    chunks = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(600, 48)))], "vec_id long, embedding array<double>")
+    graph_index.write(chunks, str(tmp_path / "index"))
+    index, queries = graph_index.read(spark, str(tmp_path / "index")), spark.createDataFrame([(1000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(20, 48)))], "query_id long, query_vector array<double>")
+    monkeypatch.setattr(graph_index, "WHOLE", 0)
+    calls, met = [], graph_index._met
+    monkeypatch.setattr(graph_index, "_met", lambda index, queries, k, beams, *more: calls.append(beams) or met(index, queries, k, beams, *more))
+    beam = graph_index.beam_for(index, queries, 10, recall=0.99)
+    assert beam > 14 and calls == [[14, 28, 56, 112]]
+
+
+def test_a_part_that_is_small_for_the_beam_is_compared_whole(spark, tmp_path):
+    """Exactly what exact search finds, equal vectors and ties among it."""
+    rng = np.random.default_rng(8)
+    vectors = np.repeat(rng.normal(size=(200, 8)).round(1), 3, axis=0)
+    chunks = spark.createDataFrame([(i * 7919 % 600, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    graph_index.write(chunks, str(tmp_path / "index"))
+    queries = chunks.filter("vec_id % 20 = 0").selectExpr("vec_id as query_id", "embedding as query_vector")
+    got = graph_index.search(graph_index.read(spark, str(tmp_path / "index")), queries, 10)
+    assert {r.visited for r in got.collect()} == {len(np.unique(vectors, axis=0))}
+    columns = ["query_id", "vec_id", "score", "rank"]
+    assert sorted(got.select(columns).collect()) == sorted(search.top_k(chunks, queries, 10).select(columns).collect())
